@@ -36,10 +36,24 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"), length=20)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_exact_topk": op2_exact_topk,
     "op3_packing": op3_packing,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -57,4 +71,18 @@ ORACLE_SQL: dict[str, str] = {
                    FROM q8 a JOIN q8 b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
         SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20""",
+    "op5_substring_dedup": r"""
+        WITH lists AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+        w AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM lists),
+        win AS (SELECT doc_id, pos, word, string_agg(word, ' ') OVER ahead AS s, count(*) OVER ahead AS n FROM w
+                WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+        marked AS (SELECT doc_id, pos, word,
+                          n = 20 AND row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) > 1 AS later FROM win),
+        gone AS (SELECT doc_id, pos, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY pos
+                        ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS g FROM marked),
+        sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (g) AS n_removed,
+                        string_agg(word, ' ' ORDER BY pos) FILTER (NOT g) AS kept FROM gone GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM (SELECT doc_id FROM documents) LEFT JOIN sums USING (doc_id)""",
 }
