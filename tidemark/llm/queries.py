@@ -36,12 +36,24 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
+def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.piece_encoding import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.substring_dedup import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents"), length=20)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.simhash import simhash_groups
 
@@ -52,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_exact_topk": op2_exact_topk,
     "op3_packing": op3_packing,
+    "op4_piece_encoding": op4_piece_encoding,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
 }
 
