@@ -4,7 +4,8 @@ Both kinds of model are decided by a forward cell per prefix of a word, so that
 prefixes:
 
 * unigram: the cell is the best score of the prefix and where its last piece starts. Ties keep the earliest start, and
-  a letter without a piece costs the model's least score less ten, as in the library.
+  a letter without a piece costs the model's least score less ten, as in the library. Sums start afresh in each word;
+  the library sums whole texts in single precision, so in long texts its sums round where these are exact.
 * byte-pair: no sum of scores gives the merges' result, so the maximising step is replaced by an exact one. The last
   piece of a prefix is the one piece that stays apart from the last piece of the rest: a sequence is the result of the
   merges if and only if each two neighbours, merged by themselves, give just those two.
