@@ -110,7 +110,7 @@ class Parser:
         steps = np.ascontiguousarray(grid.T)
         out = np.zeros((len(texts), len(self.automata)))
         for k, table in enumerate(self.automata):
-            state, count = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int64)
+            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
             flat, width = table.reshape(-1), table.shape[1]
             root = np.maximum(table[0], 0)
             for symbol in steps:
@@ -121,7 +121,7 @@ class Parser:
                 alone = ends & (table[0][symbol] < 0)
                 count += alone
                 state = np.where(ends, root[symbol], new)
-            out[:, k] = np.bincount(owner, count, minlength=len(texts))
+            out[:, k] = np.bincount(owner, count + (state != 0), minlength=len(texts))
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:

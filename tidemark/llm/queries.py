@@ -60,6 +60,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.toxicity import grade_toxicity
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
+    "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
 }
