@@ -1,6 +1,6 @@
 """The library's operators applied to the given tables."""
 
-from tidemark.plans import core_queries, series_queries, text_queries
+from tidemark.plans import core_queries, graph_queries, series_queries, text_queries
 from tidemark.plans.registry import QUERIES, SQL, query, ship
 
-__all__ = ["QUERIES", "SQL", "core_queries", "query", "series_queries", "ship", "text_queries"]
+__all__ = ["QUERIES", "SQL", "core_queries", "graph_queries", "query", "series_queries", "ship", "text_queries"]
