@@ -44,18 +44,21 @@ def encode_texts(pieces: Pieces, texts: list[str]) -> list[np.ndarray]:
 
 def decode_ids(pieces: Pieces, ids: Iterable[int]) -> str:
     """The text of ids; byte pieces are joined before they are read as UTF-8."""
-    letters = {i: b for b, i in pieces.bytes.items()}
-    out, held = [], bytearray()
-    for i in ids:
-        if i in letters:
-            held.append(letters[i])
-            continue
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-            held.clear()
-        out.append(pieces.text[i].replace(MARK, " "))
-    out.append(held.decode("utf-8", "replace"))
-    text = "".join(out)
+    ids = list(ids)
+    if pieces.partial.keys().isdisjoint(ids):
+        text = "".join(map(pieces.spoken.__getitem__, ids))
+    else:
+        out, held = [], bytearray()
+        for i in ids:
+            if i in pieces.partial:
+                held.append(pieces.partial[i])
+                continue
+            if held:
+                out.append(held.decode("utf-8", "replace"))
+                held.clear()
+            out.append(pieces.spoken[i])
+        out.append(held.decode("utf-8", "replace"))
+        text = "".join(out)
     return text[1:] if pieces.prefix and text.startswith(" ") else text
 
 

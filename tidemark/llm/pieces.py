@@ -49,6 +49,10 @@ class Pieces:
             raise ValueError("a piece has a word mark inside")
         self.longest = max(map(len, self.id))
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == model.SentencePiece.BYTE}
+        # How pieces read: marks are spaces, bytes of one-byte letters those letters; other bytes are read together.
+        letter = {i: chr(b) for b, i in self.bytes.items() if b < 128}
+        self.spoken = [letter.get(i, t.replace(MARK, " ")) for i, t in enumerate(self.text)]
+        self.partial = {i: b for b, i in self.bytes.items() if b >= 128}
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == model.SentencePiece.UNKNOWN), 0)
         self.penalty = np.float32(min(self.score[i] for i in self.id.values()) - 10)
         self.apart: dict[tuple, bool] = {}
