@@ -49,7 +49,7 @@ def momentum(commits: DataFrame) -> DataFrame:
 def metric_bundle(commits: DataFrame, files: DataFrame, dependency: Column) -> DataFrame:
     """One row of global metrics. ``dependency`` says which of files' rows are dependency manifests."""
     base = commits.agg(
-        F.count("*").alias("commit_count"), F.count_if("is_revert").alias("revert_count"), F.sum("churn").alias("churn_total"), F.countDistinct("author").alias("n_authors")
+        F.count("*").alias("commit_count"), F.count_if("is_revert").alias("revert_count"), F.coalesce(F.sum("churn"), F.lit(0)).alias("churn_total"), F.countDistinct("author").alias("n_authors")
     )
     touches = touch_counts(files)
     top = touches.agg(F.max("touches").alias("top_touch"))

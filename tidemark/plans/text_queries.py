@@ -208,3 +208,12 @@ def _(spark, d):
 )
 def _(spark, d):
     return texts.structure_counts(table(spark, d, "documents").select((F.col("doc_id") % 4).alias("win"), "text"), {"and": r"\band\b", "number": "[0-9]+"})
+
+
+@query("path_types")
+def _(spark, d):
+    from tidemark.operators.ontology import breakout_seed, path_types
+
+    paths = table(spark, d, "pages").select(F.concat(F.lit("src/"), F.regexp_extract("url", r"^[a-z]+://(.*)$", 1)).alias("path"))
+    out = path_types(paths)
+    return out.withColumn("seed", breakout_seed(F.col("path"), F.col("type_path"), F.col("confidence")))
