@@ -76,8 +76,8 @@ def pair_change(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def collapse_chains(tree: DataFrame, kinds: DataFrame) -> DataFrame:
     """(id, hidden): nodes with one child of their own kind and that child's only parent, which a drawing leaves out."""
-    kids = tree.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("n"), F.min("id").alias("kid"))
-    own = tree.join(kinds, "id").join(kids, tree["id"] == kids["parent"], "left").drop(kids["parent"])
+    kids = tree.filter("parent is not null").groupBy(F.col("parent").alias("_p")).agg(F.count("*").alias("n"), F.min("id").alias("kid"))
+    own = tree.join(kinds, "id").join(kids, F.col("id") == F.col("_p"), "left").drop("_p")
     kid = kinds.select(F.col("id").alias("kid"), F.col("kind").alias("kid_kind"))
     hidden = (F.col("n") == 1) & (F.col("kind") == F.col("kid_kind")) & F.col("parent").isNotNull()
     return own.join(kid, "kid", "left").select("id", F.coalesce(hidden, F.lit(False)).alias("hidden"))

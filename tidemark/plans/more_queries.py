@@ -153,3 +153,48 @@ def _(spark, d):
 def _(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("sha"), F.substring("text", 1, 60).alias("subject"), F.substring("text", 61, 240).alias("body"), F.col("n_chars").alias("churn"), F.lit(False).alias("is_revert"), F.lit(None).cast("array<string>").alias("path_words"))
     return traces.evolution_corpus(docs).select("sha", F.size("words").alias("n"))
+
+
+@query("themes")
+def _(spark, d):
+    from tidemark.operators.reports import theme_shares, themes
+
+    e = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat_ws(" ", "role", "text").alias("text"))
+    return theme_shares(themes(e).select((F.col("id") % 1000).alias("bucket"), "theme"))
+
+
+@query("event_themes", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'fix' ELSE NULL END AS theme FROM events WHERE event_type = 'error'")
+def _(spark, d):
+    from tidemark.operators.reports import themes
+
+    e = table(spark, d, "events").filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("event_type").alias("text"))
+    return themes(e).select("id", "theme")
+
+
+_PHY = (
+    C
+    + SEQ
+    + """, w AS (SELECT least(4, seq // greatest(1, n // 5)) AS win, avg(churn) AS c, avg(is_revert::INT) AS r, max(n) AS n FROM placed GROUP BY 1),
+    lw AS (SELECT CASE WHEN r > 0.15 OR c > 400 THEN 'disturbance' WHEN win = 0 AND n < 40 THEN 'pioneer' WHEN c > 120 AND r < 0.08 THEN 'growth' WHEN c < 40 AND r < 0.05 THEN 'maturity' WHEN c < 15 AND win = 4 THEN 'decline' ELSE 'growth' END AS window_stage FROM w ORDER BY win DESC LIMIT 1),
+    m AS (SELECT avg(churn) FILTER (seq >= n - greatest(1, n // 3)) AS r, coalesce(avg(churn) FILTER (seq < n - greatest(1, n // 3)), 0) AS o, avg(is_revert::INT) FILTER (seq >= n - greatest(1, n // 3)) AS rr, coalesce(avg(is_revert::INT) FILTER (seq < n - greatest(1, n // 3)), 0) AS ro FROM placed),
+    b AS (SELECT count(*) AS commit_count, avg(is_revert::INT) AS rate, 1 / (1 + 0.002 * avg(churn) + 3 * avg(is_revert::INT) + 0.5 * (SELECT max(n) FROM (SELECT count(*) AS n FROM files GROUP BY path)) / count(*)) AS st FROM commits)
+    SELECT commit_count, window_stage, CASE WHEN rate > 0.12 THEN 'disturbance' WHEN st > 0.75 AND (r - o) / (o + 1) < 0.2 THEN 'maturity' WHEN (r - o) / (o + 1) > 0.8 AND ro - rr + 0.1 * (o - r) / (o + 1) < 0 THEN 'growth'
+      WHEN ro - rr + 0.1 * (o - r) / (o + 1) > 0.15 THEN 'consolidation' ELSE window_stage END AS current_stage FROM b, m, lw"""
+)
+
+
+@query("phylogeny_report", _PHY)
+def _(spark, d):
+    from tidemark.operators.reports import phylogeny
+
+    return phylogeny(commits(spark, d), commit_files(spark, d), F.col("layer") == "ECONOMY")
+
+
+@query("expectation_rates", "SELECT event_type AS \"case\", 2 AS n, CAST(1 + max((user_id = 3)::INT) AS BIGINT) AS passed, (1 + max((user_id = 3)::INT)) / 2.0::DOUBLE AS rate FROM events GROUP BY 1")
+def _(spark, d):
+    from tidemark.operators.reports import expectations
+
+    e = table(spark, d, "events").select(F.col("event_type").alias("case"), F.col("user_id").alias("kind"))
+    cases = e.select("case").distinct()
+    spec = cases.select("case", F.explode(F.array(F.struct(F.lit(3).cast("bigint").alias("kind"), F.lit(True).alias("present")), F.struct(F.lit(-1).cast("bigint").alias("kind"), F.lit(False).alias("present")))).alias("s")).select("case", "s.*")
+    return expectations(e, spec)
