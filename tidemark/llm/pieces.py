@@ -56,6 +56,12 @@ class Pieces:
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == model.SentencePiece.UNKNOWN), 0)
         self.penalty = np.float32(min(self.score[i] for i in self.id.values()) - 10)
         self.apart: dict[tuple, bool] = {}
+        # Lengths, longest first, of the pieces of three letters or more that end in three given letters.
+        tails: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 2:
+                tails.setdefault(p[-3:], set()).add(len(p))
+        self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
 
     def spelled(self, letter: str) -> list[int]:
         """A letter without a piece: its bytes, or the unknown piece."""
@@ -123,15 +129,26 @@ class Cells:
         (self._extend_unigram if self.pieces.unigram else self._extend_merges)(keep)
 
     def _extend_merges(self, keep: int) -> None:
-        word, known, apart, longest = self.word, self.pieces.id, self.pieces.stay_apart, self.pieces.longest
+        """Longest pieces first; one alone fits, so a single letter needs no test once the others have failed."""
+        word, known, apart, tails, seen = self.word, self.pieces.id, self.pieces.stay_apart, self.pieces.tails, self.pieces.apart
+        last, starts = self.last, self.start
         for end in range(keep + 1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = word[start:end]
-                if (end - start == 1 or piece in known) and apart(self.last[start], piece):
-                    self.start.append(start)
-                    self.last.append(piece)
-                    self.best.append(0.0)
-                    break
+            at, piece = end - 1, word[end - 1]
+            if end > 1:
+                for size in (*tails.get(word[end - 3 : end], ()), 2) if end > 2 else (2,):
+                    start = end - size
+                    if start < 0:
+                        continue
+                    longer = word[start:end]
+                    if longer in known:
+                        pair = (last[start], longer)
+                        fits = seen.get(pair)
+                        if apart(*pair) if fits is None else fits:
+                            at, piece = start, longer
+                            break
+            starts.append(at)
+            last.append(piece)
+            self.best.append(0.0)
 
     def _extend_unigram(self, keep: int) -> None:
         word, known, score, longest = self.word, self.pieces.id, self.pieces.score, self.pieces.longest
