@@ -75,21 +75,39 @@ def _by_end(automaton, text: str) -> Iterator[tuple[int, list[str]]]:
 
 
 def _merges(pieces: Pieces, automaton, text: str, edges: set[int], counts: list[int]) -> None:
-    apart, known = pieces.stay_apart, pieces.id
-    last = [""] * (len(text) + 1)
-    done = [0] * (len(text) + 1)  # pieces of the word so far; a word's first letter starts from none
-    for end, found in _by_end(automaton, text):
+    """``counts`` holds the pieces of each word so far; a word's first letter starts from none.
+
+    At each end the longest match comes first and one alone fits, so a single letter needs no test once others have failed.
+    """
+    apart, known, seen = pieces.stay_apart, pieces.id, pieces.apart
+    n = len(text)
+    last = [""] * (n + 1)
+
+    def single(end: int) -> None:
         letter = text[end - 1]
-        if not found or len(found[-1]) > 1:
-            found.append(letter)
-        for piece in found:
-            start = end - len(piece)
-            first = start in edges
-            if apart("" if first else last[start], piece):
-                last[end] = piece
-                done[end] = (0 if first else done[start]) + (1 if piece in known else len(pieces.spelled(piece)))
-                break
-        counts[end] = done[end]
+        last[end] = letter
+        counts[end] = (0 if end - 1 in edges else counts[end - 1]) + (1 if letter in known else len(pieces.spelled(letter)))
+
+    done = 0  # all ends up to here are settled
+    for i, piece in automaton.iter(text):
+        end, size = i + 1, len(piece)
+        if end > done + 1:
+            for e in range(done + 1, end):
+                if not last[e]:
+                    single(e)
+            done = end - 1
+        if size == 1 or last[end]:
+            continue
+        start = end - size
+        first = start in edges
+        pair = ("" if first else last[start], piece)
+        fits = seen.get(pair)
+        if apart(*pair) if fits is None else fits:
+            last[end] = piece
+            counts[end] = (0 if first else counts[start]) + 1
+    for e in range(done + 1, n + 1):
+        if not last[e]:
+            single(e)
 
 
 def _unigram(pieces: Pieces, automaton, text: str, edges: set[int], counts: list[int]) -> None:
