@@ -41,6 +41,12 @@ def test_chunks_hold_the_text(spark):
     assert got[0]["start"] == 0 and all(text[r["start"] :].startswith(r["text"]) for r in got) and all(b["start"] <= a["start"] + len(a["text"]) for a, b in zip(got, got[1:], strict=False))
 
 
+def test_chunks_as_a_table_function(spark):
+    texts.register_tables(spark)
+    got = spark.sql("select start, length(chunk) as n from chunk_text(repeat('a', 1000))").collect()
+    assert [tuple(r) for r in got] == [(0, 700), (620, 380)]
+
+
 def test_similar_pairs_lose_no_link(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [("a", " ".join(words)), ("b", " ".join(words)), ("c", " ".join(words[:58])), ("d", " ".join(words[30:])), ("e", "short")]

@@ -57,29 +57,43 @@ def alleles(symbols: DataFrame) -> DataFrame:
     return out.withColumn("kind", F.when(F.col("similarity") > 0.85, "exact_clone").when(F.col("similarity") <= 0.65, "mutant_allele").otherwise("allele"))
 
 
+def chunk_spans(text: str, size: int = 700, overlap: int = 80, most: int = 40) -> Iterator[tuple[int, int]]:
+    """(start, end) of overlapping chunks, which end at a line break where one lies in their second half."""
+    at = k = 0
+    while at < len(text) and k < most:
+        end = min(len(text), at + size)
+        if end < len(text):
+            cut_at = text.rfind("\n", at + size // 2, end)
+            end = cut_at + 1 if cut_at >= 0 else end
+        yield at, end
+        if end == len(text):
+            return
+        at, k = max(at + 1, end - overlap), k + 1
+
+
 def chunks(files: DataFrame, size: int = 700, overlap: int = 80, most: int = 40) -> DataFrame:
-    """(path, index, start, text): overlapping chunks that end at a line break where one lies in their second half."""
+    """(path, index, start, text) of files (path, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for path, text in zip(pdf["path"], pdf["text"], strict=True):
-                text, at, k = text or "", 0, 0
-                while at < len(text) and k < most:
-                    end = min(len(text), at + size)
-                    if end < len(text):
-                        cut = text.rfind("\n", at + size // 2, end)
-                        end = cut + 1 if cut >= 0 else end
-                    rows.append((path, k, at, text[at:end]))
-                    k += 1
-                    if end == len(text):
-                        break
-                    at = max(at + 1, end - overlap)
+            rows = [(p, k, a, t[a:b]) for p, t in zip(pdf["path"], pdf["text"], strict=True) for k, (a, b) in enumerate(chunk_spans(t or "", size, overlap, most))]
             yield pd.DataFrame(rows, columns=["path", "index", "start", "text"])
 
     return files.select(F.col("path").cast("string").alias("path"), "text").mapInPandas(run, "path string, index bigint, start bigint, text string")
 
 
+def register_tables(spark) -> None:
+    """Table functions for SQL: chunk_text(text) -> (start, chunk)."""
+
+    @F.udtf(returnType="start bigint, chunk string")
+    class ChunkText:
+        def eval(self, text: str):
+            for a, b in chunk_spans(text or ""):
+                yield a, text[a:b]
+
+    spark.udtf.register("chunk_text", ChunkText)
+
+
 def hash_embedding(rows: DataFrame, dim: int = 64) -> DataFrame:
     """(id, idx, val): sparse hash vectors of rows (id, text). Values are sums of signs, so any order of adding gives them."""
     tokens = rows.select("id", F.explode(tokenize(F.col("text"))).alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
