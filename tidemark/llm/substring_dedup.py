@@ -12,7 +12,9 @@ that can share a window, and documents meet only those:
    passages (over word fingerprints) is built, each state keeps the earliest place its words end at, and the passages
    are streamed through it: where the matching statistic reaches ``length`` the state of the last ``length`` words
    tells whether the window starts earlier elsewhere. An anchor with more than ``CROWD`` contexts is dealt out by the
-   windows' fingerprints instead of the anchor's, so a common line makes no large shard.
+   windows' fingerprints instead of the anchor's, so a common line makes no large shard; a task sends a window once.
+   The ``HOT`` most frequent anchors, found by a first pass, are dealt out like that at once: an anchor that is not
+   among them has at most one in ``HOT`` of all rows or a few of each task, so nothing that meets in one task is a given share of the corpus.
 4. Documents, joined with what was found in them, lose the union of the maximal spans.
 
 Words are compared by 64-bit fingerprints, whole contexts by 128 bits (two independent hashes). No window is skipped
@@ -40,10 +42,13 @@ from tidemark.llm.common import NO_ID, cut
 LENGTH = 20
 GRAM = 8
 CROWD = 256
+HOT = 5000
 #: Texts are worked off together up to this many bytes, which bounds the arrays' size.
 BATCH_BYTES = 1 << 21
 #: So many anchors of a task are settled together.
 FLUSH = 400_000
+#: An anchor with fewer rows than this in a task is not looked at as frequent.
+LEAST_HOT = 64
 
 U = np.uint64
 _RNG = np.random.default_rng(20)
@@ -158,32 +163,47 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def _place_rows(length: int) -> Callable:
-    """Documents -> one row per anchor: its hash and context, the document, its place; ``settled`` if it needs no shard."""
+def _task_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, context, document's id and mark, place) of anchors, about FLUSH at a time."""
+    held: list[tuple] = []
+    for batch in batches:
+        ids, marks = np.asarray(batch.column("d")), np.asarray(batch.column("t"))
+        for first, texts in _pieces(batch):
+            words = words_of(texts)
+            a = anchors_of(words, length)
+            if len(a.places):
+                held.append((a.hashes, a.contexts, ids[first + a.doc], marks[first + a.doc], a.places - words.bounds[a.doc]))
+            if sum(len(x[0]) for x in held) >= FLUSH:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _frequent(length: int, least: int) -> Callable:
+    """Anchors that make up one in HOT of a task's open rows or more: whatever is that frequent in all is so in some task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        for h, c, d, _, pos in _task_anchors(batches, length):
+            values, counts = np.unique(h[~_later_in_task(h, c, d, pos)], return_counts=True)
+            often = counts >= max(least, counts.sum() // HOT)
+            yield pa.RecordBatch.from_pydict({"h": values[often].view(np.int64), "n": counts[often]})
 
-        def flush() -> pa.RecordBatch:
-            h, c, d, t, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            settled = _later_in_task(h, c, d, pos)
-            # What is settled meets nobody: its rows are dealt evenly.
-            h = np.where(settled, _mix(d.view(U) * _P + pos.astype(U)), h)
-            c = np.where(settled, U(0), c)
-            return pa.RecordBatch.from_pydict({"h": h.view(np.int64), "c": c.view(np.int64), "d": d, "t": t, "pos": pos.astype(np.int32), "settled": settled})
+    return run
 
-        for batch in batches:
-            ids, marks = np.asarray(batch.column("d")), np.asarray(batch.column("t"))
-            for first, texts in _pieces(batch):
-                words = words_of(texts)
-                a = anchors_of(words, length)
-                if len(a.places):
-                    held.append((a.hashes, a.contexts, ids[first + a.doc], marks[first + a.doc], a.places - words.bounds[a.doc]))
-                if sum(len(x[0]) for x in held) >= FLUSH:
-                    yield flush()
-        if held:
-            yield flush()
+
+def _place_rows(length: int, shared) -> Callable:
+    """Documents -> one row per anchor: its hash and context, the document, its place; ``settled`` or ``hot`` if it needs no meeting."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, c, d, t, pos in _task_anchors(batches, length):
+            settled = _later_in_task(h, c, d, pos)
+            hot = ~settled & np.isin(h, shared.value)
+            # What is settled or hot meets nobody here: its rows are dealt evenly.
+            alone = settled | hot
+            h = np.where(alone, _mix(d.view(U) * _P + pos.astype(U)), h)
+            c = np.where(alone, U(0), c)
+            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "c": c.view(np.int64), "d": d, "t": t, "pos": pos.astype(np.int32), "settled": settled, "hot": hot})
 
     return run
 
@@ -200,7 +220,7 @@ def _later_in_task(h: np.ndarray, c: np.ndarray, d: np.ndarray, pos: np.ndarray)
     return out
 
 
-_PASSAGE = "route bigint, d bigint, t bigint, start bigint, words binary"
+_PASSAGE = "route bigint, d bigint, t bigint, start bigint, words binary, settled boolean"
 
 
 def _passages(length: int) -> Callable:
@@ -213,7 +233,8 @@ def _passages(length: int) -> Callable:
                 words = words_of(texts)
                 a = anchors_of(words, length)
                 where = {(int(i), int(p)): k for k, (i, p) in enumerate(zip(a.doc, a.places - words.bounds[a.doc], strict=True))}
-                out: dict[str, list] = {"route": [], "d": [], "t": [], "start": [], "words": []}
+                out: dict[str, list] = {"route": [], "d": [], "t": [], "start": [], "words": [], "settled": []}
+                single: dict[bytes, int] = {}  # windows of crowded anchors, each with the row of its earliest start here
 
                 def put(route, row, low, high, out=out, words=words, first=first):
                     out["route"].append(route)
@@ -221,6 +242,12 @@ def _passages(length: int) -> Callable:
                     out["t"].append(marks[first + row])
                     out["start"].append(int(low - words.bounds[row]))
                     out["words"].append(words.hashes[low:high].tobytes())
+                    out["settled"].append(False)
+
+                def settle(k, out=out):
+                    """A window that starts earlier in this task needs no shard: it is dealt anywhere, without its words."""
+                    out["settled"][k], out["words"][k] = True, b""
+                    out["route"][k] = hash((out["d"][k], out["start"][k]))
 
                 for row in range(len(texts)):
                     for o in opened[first + row].as_py():
@@ -231,10 +258,18 @@ def _passages(length: int) -> Callable:
                         low = max(int(a.low[k]), 0)
                         for w in range(low, int(a.places[k]) + 1):
                             if a.owner[w] == a.places[k]:
-                                ids_of = words.hashes[w : w + length]
-                                put(int.from_bytes(hashlib.blake2b(ids_of.tobytes(), digest_size=8).digest(), "little", signed=True), row, w, w + length)
+                                window = words.hashes[w : w + length].tobytes()
+                                put(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), row, w, w + length)
+                                new = len(out["d"]) - 1
+                                old = single.setdefault(window, new)
+                                place = [(out["d"][i], out["start"][i]) for i in (old, new)]
+                                if place[1] > place[0]:
+                                    settle(new)
+                                elif place[1] < place[0]:
+                                    settle(old)
+                                    single[window] = new
                 if out["d"]:
-                    yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("route", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("words", pa.binary())]))
+                    yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("route", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("settled", pa.bool_())]))
 
     return run
 
@@ -344,8 +379,11 @@ def _shards(length: int) -> Callable:
 
         ready: list[tuple] = []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("route", "d", "t", "start", "words")]
-            for r, d, t, s, w in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("route", "d", "t", "start", "words", "settled")]
+            for r, d, t, s, w, settled in zip(*cols, strict=True):
+                if settled:
+                    ready.append((d, t, s))
+                    continue
                 if r != route:
                     ready += finish() or ()
                     held, route = [], r
@@ -437,16 +475,19 @@ def _rewrite(length: int, schema: pa.Schema) -> Callable:
 
 def removals(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     """(d, t, gone) of documents (d, t, text): anchors' places (0 and up) and windows' starts (-1 - start) that go."""
-    rows = keyed.mapInArrow(_place_rows(length), "h bigint, c bigint, d bigint, t bigint, pos int, settled boolean")
+    spark = keyed.sparkSession
+    frequent = keyed.mapInArrow(_frequent(length, LEAST_HOT), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT)
+    shared = spark.sparkContext.broadcast(np.array([r["h"] for r in frequent.collect()], np.int64).view(U))  # at most HOT numbers
+    rows = keyed.mapInArrow(_place_rows(length, shared), "h bigint, c bigint, d bigint, t bigint, pos int, settled boolean, hot boolean")
     met, same = Window.partitionBy("h"), Window.partitionBy("h", "c")
     rows = (
         rows.repartition("h")
         .withColumn("lead", F.min(F.struct("d", "pos")).over(same))
         .withColumn("later", F.col("settled") | (F.struct("d", "pos") > F.col("lead")))
-        .withColumn("open", ~F.col("settled") & (F.min("c").over(met) != F.max("c").over(met)))
+        .withColumn("open", F.col("hot") | (~F.col("settled") & (F.min("c").over(met) != F.max("c").over(met))))
         .withColumn("n", F.count("*").over(met))
     )
-    marks = cut(rows.filter("later or open").select("d", "t", "pos", "later", (F.col("n") > CROWD).alias("crowded")), "anchors")
+    marks = cut(rows.filter("later or open").select("d", "t", "pos", "later", (F.col("hot") | (F.col("n") > CROWD)).alias("crowded")), "anchors")
     opened = marks.filter("not later").groupBy("d", "t").agg(F.collect_set(F.struct("pos", "crowded")).alias("opened"))
     passages = keyed.join(opened, ["d", "t"]).mapInArrow(_passages(length), _PASSAGE)
     found = passages.repartition("route").sortWithinPartitions("route", "d", "start").mapInArrow(_shards(length), "d bigint, t bigint, start bigint")
