@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import cut, table
 from tidemark.llm.exact_dedup import drop_exact_copies
+from tidemark.llm.near_copies import drop_near_copies
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.queries import tokenizer_file
-from tidemark.llm.simhash import drop_near_copies
 from tidemark.llm.substring_dedup import drop_repeated_passages
 from tidemark.llm.toxicity import drop_toxic
 
@@ -26,7 +26,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs, words=3, radius=3)
+    return drop_near_copies(docs, words=5, least=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Neither the trained model, nor the fingerprints' hash, nor the tokenizer can be written in SQL.
+#: Neither the trained model, nor the shingles' hash, nor the tokenizer can be written in SQL.
 ORACLE_SQL = None
 
 
