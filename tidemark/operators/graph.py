@@ -223,14 +223,15 @@ def consistency(states: DataFrame, steps: Column) -> DataFrame:
 
 
 def newick(tree: DataFrame) -> DataFrame:
-    """(id, text): each root's tree in Newick form, from the deepest level upwards."""
+    """(id, text): each root's tree in Newick form, from the deepest level upwards; a round handles one level's rows alone."""
     from tidemark.functions.text import newick_name
 
     depth = generations(tree.filter("parent is not null"), tree.select("id")).select("id", F.col("generation").alias("depth"))
     levels = cut(tree.join(depth, "id").withColumn("name", newick_name(F.col("id").cast("string"))), "newick")
-    texts = levels.select("id", "parent", "depth", F.col("name").alias("text"), "name")
     top = int(levels.agg(F.max("depth")).first()[0] or 0)
+    texts = levels.filter(F.col("depth") == top).withColumn("text", F.col("name"))
     for level in range(top, 0, -1):
-        inner = texts.filter(F.col("depth") == level).groupBy("parent").agg(F.concat_ws(",", F.array_sort(F.collect_list("text"))).alias("kids")).withColumnRenamed("parent", "id")
-        texts = cut(texts.join(inner, "id", "left").withColumn("text", F.when(F.col("kids").isNull(), F.col("text")).otherwise(F.concat(F.lit("("), "kids", F.lit(")"), "name"))).drop("kids"), "newick")
-    return texts.filter("depth = 0").select("id", F.concat("text", F.lit(";")).alias("text"))
+        inner = cut(texts.groupBy("parent").agg(F.concat_ws(",", F.array_sort(F.collect_list("text"))).alias("kids")).withColumnRenamed("parent", "id"), "newick")
+        above = levels.filter(F.col("depth") == level - 1).join(inner, "id", "left")
+        texts = above.withColumn("text", F.when(F.col("kids").isNull(), F.col("name")).otherwise(F.concat(F.lit("("), "kids", F.lit(")"), "name")))
+    return texts.select("id", F.concat("text", F.lit(";")).alias("text"))
