@@ -13,17 +13,18 @@ from tidemark.functions.text import debt_pattern, hash_index, hash_sign, shingle
 from tidemark.operators.graph import cut
 
 
-def matching_lines(files: DataFrame, patterns: list[str], max_lines: int = 5000) -> DataFrame:
-    """(path, line, pattern, text): lines that match, with the number of the first pattern that does."""
-    lines = files.select("path", F.posexplode(F.slice(F.split("text", "\n"), 1, max_lines)).alias("line", "text"))
+def matching_lines(files: DataFrame, patterns: list[str], max_lines: int | None = None) -> DataFrame:
+    """(path, line, pattern, text): lines that match, with the number of the first pattern that does; of all lines or the first ``max_lines``."""
+    split = F.split("text", "\n")
+    lines = files.select("path", F.posexplode(split if max_lines is None else F.slice(split, 1, max_lines)).alias("line", "text"))
     return lines.withColumn("pattern", debt_pattern(F.col("text"), patterns)).filter("pattern is not null").select("path", (F.col("line") + 1).alias("line"), "pattern", "text")
 
 
 def debt_items(files: DataFrame) -> DataFrame:
-    """Debt markers with kind and severity; files over 1.5 MB are left out."""
+    """Debt markers with kind and severity."""
     from tidemark.functions.text import DEBT_PATTERNS
 
-    found = matching_lines(files.filter(F.octet_length("text") <= 1_500_000), DEBT_PATTERNS)
+    found = matching_lines(files, DEBT_PATTERNS)
     todo = F.col("pattern") >= 6
     return found.select("path", "line", F.when(todo, "todo_debt").otherwise("deprecation").alias("kind"), F.when(F.lower("text").contains("deprecated"), "high").otherwise("med").alias("severity"), "text")
 
@@ -57,10 +58,10 @@ def alleles(symbols: DataFrame) -> DataFrame:
     return out.withColumn("kind", F.when(F.col("similarity") > 0.85, "exact_clone").when(F.col("similarity") <= 0.65, "mutant_allele").otherwise("allele"))
 
 
-def chunk_spans(text: str, size: int = 700, overlap: int = 80, most: int = 40) -> Iterator[tuple[int, int]]:
+def chunk_spans(text: str, size: int = 700, overlap: int = 80, most: int | None = None) -> Iterator[tuple[int, int]]:
     """(start, end) of overlapping chunks, which end at a line break where one lies in their second half."""
     at = k = 0
-    while at < len(text) and k < most:
+    while at < len(text) and (most is None or k < most):
         end = min(len(text), at + size)
         if end < len(text):
             cut_at = text.rfind("\n", at + size // 2, end)
@@ -71,7 +72,7 @@ def chunk_spans(text: str, size: int = 700, overlap: int = 80, most: int = 40) -
         at, k = max(at + 1, end - overlap), k + 1
 
 
-def chunks(files: DataFrame, size: int = 700, overlap: int = 80, most: int = 40) -> DataFrame:
+def chunks(files: DataFrame, size: int = 700, overlap: int = 80, most: int | None = None) -> DataFrame:
     """(path, index, start, text) of files (path, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

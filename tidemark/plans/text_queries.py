@@ -32,7 +32,7 @@ TOK = "regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{2,}')"
     SELECT * FROM p WHERE pattern IS NOT NULL""",
 )
 def _(spark, d):
-    return texts.matching_lines(docs(spark, d), _PATTERNS)
+    return texts.matching_lines(docs(spark, d), _PATTERNS, max_lines=5000)  # as the SQL has it
 
 
 @query("debt_markers")
