@@ -130,3 +130,14 @@ def test_toxicity_odd_rows(spark):
     assert left.columns == docs.columns and left.count() == 22
     assert not any(r["rejected"] for r in grade_toxicity(docs, labels.filter("toxic = 0")).collect())
     assert grade_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_pages_with_a_head_or_svg_left_open():
+    words = "The council met on Monday evening and agreed on the plan for the old harbour, after three hours of talk."
+    article = f"<article><h1>Harbour plan</h1><p>{words}</p></article>"
+    want = f"Harbour plan\n{words}"
+    for page in (f"<html><head><title>x</title><meta charset=utf-8><body>{article}", f"<head><title>x</title>{article}", f"<head><noscript><body>{article}", f"<body><svg><path d='x'>{article}"):
+        assert main_text(page, trained()) == want, page
+    assert main_text(f"<html><head><title>x</title><noscript><img src=a></noscript></head><body>{article}", trained()) == want
+    assert "n" in main_text(f"<article><h1>Harbour plan</h1><p>{words} <math><mi>n</mi></math></p></article>", trained()).split()
+    assert [t for _, t in blocks_of("<head><title>t</title>Some text")[3]] == ["Some text"]

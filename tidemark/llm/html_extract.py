@@ -35,8 +35,12 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object head".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg annotation annotation-xml object head".split())
 _RAW_TEXT = frozenset("script style textarea title iframe noembed noframes xmp".split())
+# What may stand in a head, whose end tag is optional; anything else ends it.
+_IN_HEAD = frozenset("html head title meta link base style script noscript template".split())
+# What opening a block ends an svg that was not closed, unless it stands in one of these.
+_SVG_HTML = frozenset("foreignobject desc".split())
 # What an opening tag closes before it opens (fixed values).
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -93,8 +97,16 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[str]], list[int], list[
             if tag in BLOCKS:
                 split[0] = True
 
+    def end_head() -> None:
+        for depth in range(len(stack) - 1, 0, -1):
+            if stack[depth][0] == "head":
+                close(depth)
+                break
+
     while at < n:
         m = _TOKEN.search(page, at)
+        if stack[-1][0] == "head" and page[at : m.start() if m else n].strip():
+            end_head()
         if m is None:
             text(page[at:])
             break
@@ -112,6 +124,15 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[str]], list[int], list[
                 if stack[depth][0] in ("table", "article", "main", "body") and tag not in BLOCKS:
                     break
             continue
+        if tag not in _IN_HEAD and (stack[-1][0] == "head" or tag == "body"):
+            end_head()
+        if tag in BLOCKS:
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth][0] in _SVG_HTML or stack[depth][0] in BLOCKS:
+                    break
+                if stack[depth][0] == "svg":
+                    close(depth)
+                    break
         if tag in _RAW_TEXT:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
