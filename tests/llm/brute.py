@@ -57,6 +57,29 @@ def components(fps, radius=3):
     return {i: find(i) for i in ids}
 
 
+def near_groups(docs, words=5, least=0.8):
+    """{doc_id: text} -> {doc_id: smallest id reachable}, by the Jaccard similarity of word shingles of all pairs."""
+    sets = {}
+    for i, text in docs.items():
+        parts = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets[i] = {" ".join(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))} if parts else set()
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            same = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or same >= least * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
 def exact_top_k(vectors, queries, k, scale=64):
     whole = {i: [int(np.floor(scale * float(x))) for x in v] for i, v in vectors}
     out = []

@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tests.llm import brute
-from tidemark.llm.simhash import connected, fingerprint, forests, lanes_within, simhash_groups, _planes
+from tidemark.llm.simhash import connected, fingerprint, forests, lanes_within, planes_of, simhash_groups
 from tidemark.llm.substring_dedup import LENGTH, drop_repeated_passages, matching_spans, repeated_windows, substring_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, d string, t int, fp string"
@@ -101,7 +101,7 @@ def test_bit_slices(radius):
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(400)], np.uint64)
     fps = np.unique(base[rng.integers(0, 40, 400)] ^ flips)
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-    bits = np.unpackbits(lanes_within(_planes(fps), fps, radius).view(np.uint8), axis=1, bitorder="little")[:, : len(fps)]
+    bits = np.unpackbits(lanes_within(planes_of(fps), fps, radius).view(np.uint8), axis=1, bitorder="little")[:, : len(fps)]
     assert (bits.astype(bool) == near).all()
     for sizes in ([len(fps)], [3, 7, 8, 9, 40, 64, 65]):
         groups = np.repeat(np.arange(len(sizes)), sizes)[: len(fps)]

@@ -1,31 +1,45 @@
-"""Near copies by the Jaccard similarity of word shingles, found by min-hash bands and confirmed exactly.
+"""Near copies by word shingles: min-hash buckets, bit-sliced SimHash fingerprints inside them, exact Jaccard to confirm.
 
-Texts with equal sets of five-word shingles are one class, so copies are compared once. Each class has ``BANDS`` keys of
-``ROWS`` least hashes; classes that share a key meet, and two sets of similarity s share one with a probability of
-1 - (1 - s**ROWS)**BANDS: all but 3 in 100000 at 0.8. What meets is compared by its whole sets, so no pair below the
-threshold is linked. A key over ``CHUNK`` classes is dealt out as pairs of chunks, and a task returns a spanning forest
-of its links, never all pairs. Groups are the links' connected parts.
+Texts with equal sets of five-word shingles are one class, so copies are compared once. At a similarity of 0.8 two
+64-bit fingerprints differ by about ten bits, and no blocks of bits that near copies must share would still tell texts
+apart. So classes meet by ``BANDS`` keys of ``ROWS`` least hashes instead: two sets of similarity s share a key with a
+probability of 1 - (1 - s**ROWS)**BANDS, all but 3 in 100000 at 0.8. Inside a bucket fingerprints are compared by
+vertical bit planes and carry-save counters (``simhash.lanes_within``); lanes within ``RADIUS``, about five deviations
+beyond what 0.8 gives, are compared by their whole sets, so no pair below the threshold is linked. Groups are the
+links' connected parts; a task returns a spanning forest, never all pairs.
+
+Two rounds keep this linear in a group of near copies of any size:
+
+1. Over the first ``FIRST`` bands every bucket is cut into chunks of ``CHUNK`` shingles, dealt anew in each band, and only
+   what lies in one chunk is compared. That unites all but a few of a large group.
+2. Over all bands, buckets whose classes are united already are left out, and buckets of the same classes are one. In the
+   others, classes of the largest part are each sent once, to meet the rest; the rest meets itself in pairs of chunks.
+   Every pair of a bucket that is not united yet meets.
 
 Edge cases: null text is an empty text; texts without words are one class and link to nothing else; texts of fewer than
-five words have one shingle; a null id counts as the largest.
+five words have one shingle; a null id counts as the largest; repeated rows are one class and one of them stays; a very
+long text is a chunk of its own; an empty table gives an empty result; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from tidemark.llm.common import cut
-from tidemark.llm.simhash import connected, shingle_hashes
+from tidemark.llm.simhash import connected, lanes_within, majority, planes_of, shingle_hashes
 
 WORDS, LEAST = 5, 0.8
-BANDS, ROWS = 20, 4
-CHUNK = 1024
+BANDS, ROWS, FIRST = 20, 4, 4
+RADIUS = 28
+#: Shingles that meet in one task at once, on either side.
+CHUNK = 1 << 20
 _RANDOM = np.random.default_rng(42)
 _FLIP = _RANDOM.integers(0, 2**64, BANDS * ROWS, np.uint64)
 _TIMES = _RANDOM.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -45,89 +59,152 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), n) - 2**63 for n, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def _sketches(words: int):
+def _sketches(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, bands = [], []
-            for text in batch.column("text"):
+            names, sizes, bands = [], [], []
+            for text in batch.column("row").field("text"):
                 s = shingle_set(text.as_py() or "", words)
                 names.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
+                sizes.append(len(s))
                 bands.append(band_keys(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(names, pa.string()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text", "class", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["row", "class", "size", "bands"])
 
     return run
 
 
-def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Spanning links (i, root) of the sets whose Jaccard similarity is ``least`` or more; each is compared with what is unseen."""
-    sizes = np.array([len(s) for s in sets])
+def similar_forest(sets: list[np.ndarray], least: float, labels: list | None = None) -> list[tuple[int, int]]:
+    """Spanning links (i, root) of the sets whose Jaccard similarity is ``least`` or more.
+
+    Sets of one label are linked already. Breadth-first; each set is compared with what is unseen.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
     ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
     mark = np.zeros(int(sizes.sum()), bool)
-    unseen, out = np.arange(len(sets)), []
-    while len(unseen):
-        root, unseen = int(unseen[0]), unseen[1:]
-        frontier = [root]
-        while frontier and len(unseen):
-            at = frontier.pop()
-            fit = np.minimum(sizes[unseen], sizes[at]) >= least * np.maximum(sizes[unseen], sizes[at]) - 1e-9
-            if not fit.any():
-                continue
-            others = unseen[fit]
-            mark[ids[at]] = True
-            same = np.add.reduceat(mark[np.concatenate([ids[i] for i in others])].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
-            mark[ids[at]] = False
-            near = others[same >= least * (sizes[others] + sizes[at] - same) - 1e-9]
-            out += [(int(i), root) for i in near]
-            frontier += near.tolist()
-            unseen = np.setdiff1d(unseen, near, assume_unique=True)
+    names = np.unique(np.array(labels), return_inverse=True)[1] if labels else np.arange(n)
+    order = np.argsort(names, kind="stable")
+    own = np.split(order, np.cumsum(np.bincount(names))[:-1])
+    fps = np.array([majority(s) for s in sets], np.uint64)
+    planes = planes_of(fps)
+    unseen, out = np.ones(n, bool), []
+    for root in range(n):
+        if not unseen[root]:
+            continue
+        frontier = own[names[root]].tolist()
+        unseen[frontier] = False
+        while frontier and unseen.any():
+            block, frontier = frontier[:64], frontier[64:]
+            lanes = np.unpackbits(lanes_within(planes, fps[block], RADIUS).view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
+            for at, close in zip(block, lanes, strict=True):
+                others = np.flatnonzero(close & unseen & (np.minimum(sizes, sizes[at]) >= least * np.maximum(sizes, sizes[at]) - 1e-9))
+                if not len(others):
+                    continue
+                mark[ids[at]] = True
+                same = np.add.reduceat(mark[np.concatenate([ids[i] for i in others])].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
+                mark[ids[at]] = False
+                for i in others[same >= least * (sizes[others] + sizes[at] - same) - 1e-9].tolist():
+                    if unseen[i]:
+                        unseen[own[names[i]]] = False
+                        frontier += own[names[i]].tolist()
+                        out.append((i, root))
     return out
 
 
-def _links(words: int, least: float):
+def _links(words: int, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by bucket -> confirmed links."""
-        now, names, sets = None, [], []
+        now, names, labels, sets = None, [], [], []
 
         def found() -> list[tuple[str, str]]:
-            return [(names[i], names[k]) for i, k in similar_forest(sets, least)] if len(sets) > 1 else []
+            return [(names[i], names[k]) for i, k in similar_forest(sets, least, labels)] if len(sets) > 1 else []
+
+        def out(links: list[tuple[str, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.string()), "b": pa.array([b for _, b in links], pa.string())})
 
         for batch in batches:
             links = []
-            for bucket, name, text in zip(batch.column("bucket").to_pylist(), batch.column("class").to_pylist(), batch.column("text"), strict=True):
+            for bucket, name, label, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "class", "label")), batch.column("text"), strict=True):
                 if bucket != now:
                     links += found()
-                    now, names, sets = bucket, [], []
+                    now, names, labels, sets = bucket, [], [], []
                 names.append(name)
+                labels.append(label)
                 sets.append(shingle_set(text.as_py() or "", words))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.string()), "b": pa.array([b for _, b in links], pa.string())})
-        links = found()
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.string()), "b": pa.array([b for _, b in links], pa.string())})
+            yield out(links)
+        yield out(found())
 
     return run
 
 
+def _marked(docs: DataFrame, words: int) -> DataFrame:
+    """Each row with a number of its own, its class, its number of shingles and its keys; written, so the numbers stay."""
+    src = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    schema = StructType([*src.schema.fields]).add("class", StringType()).add("size", LongType()).add("bands", ArrayType(LongType()))
+    return cut(src.mapInArrow(_sketches(words), schema).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+
+
+def _chunks(size: Column | str) -> Column:
+    return F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col(size) / CHUNK if isinstance(size, str) else size / CHUNK))
+
+
+def _range(n: Column) -> Column:
+    """0 to n - 1; empty for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _named(marked: DataFrame, words: int, least: float) -> DataFrame:
+    """(class, root): the group of every class."""
+    lead = F.min(F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id"), "rid"))
+    classes = cut(marked.groupBy("class").agg(lead.alias("lead"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+    keyed = classes.select("class", "size", F.col("lead.rid").alias("rid"), F.posexplode("bands").alias("band", "key"))
+    texts = marked.select("rid", F.col("row.text").alias("text"))
+
+    def compare(met: DataFrame) -> DataFrame:
+        full = met.select("bucket", "class", "label", "rid").join(texts, "rid").select("bucket", "class", "label", "text")
+        return full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(words, least), "a string, b string").distinct()
+
+    def distinct_buckets(sums: DataFrame, *more: str) -> DataFrame:
+        """Buckets of the same classes need only be one."""
+        return sums.groupBy("n", "total", "members", *more).agg(F.min("key").alias("key"))
+
+    members = F.bit_xor(F.xxhash64("class"))
+    first = keyed.filter(F.col("band") < FIRST)
+    sums = first.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), members.alias("members")).filter("n > 1")
+    chunk = F.pmod(F.xxhash64("class", "key"), _chunks("total"))
+    met = first.join(distinct_buckets(sums).select("key", "total"), "key").select(F.xxhash64("key", chunk).alias("bucket"), "class", F.col("class").alias("label"), "rid")
+    links = cut(compare(met), "first-links")
+
+    roots = connected(links)
+    every = cut(keyed.join(roots, keyed["class"] == roots["node"], "left").select("class", "size", "rid", "band", "key", F.coalesce("root", "class").alias("label")), "keyed")
+    per = every.groupBy("key", "label").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.sum("size").alias("size"), members.alias("members"))
+    sums = per.groupBy("key").agg(F.min("band").alias("band"), F.sum("n").alias("n"), F.sum("size").alias("total"), F.bit_xor("members").alias("members"), F.count("*").alias("parts"), F.max(F.struct("size", "label")).alias("main"))
+    sums = sums.filter((F.col("parts") > 1) & ((F.col("band") >= FIRST) | (F.col("total") > CHUNK)))
+    met = every.join(distinct_buckets(sums, "main").select("key", "total", F.col("main.label").alias("main"), F.col("main.size").alias("main_size")), "key")
+    small, main = F.col("total") <= CHUNK, F.col("label") == F.col("main")
+    n_main, n_rest = _chunks("main_size"), _chunks(F.col("total") - F.col("main_size"))
+    chunk = F.pmod(F.xxhash64("class"), F.when(main, n_main).otherwise(n_rest))
+    place = lambda kind, a, b: F.xxhash64("key", F.lit(kind), a, b)
+    among = F.transform(F.filter(_range(n_rest), lambda f: f != chunk), lambda f: place(1, F.least(chunk, f), F.greatest(chunk, f)))
+    buckets = (
+        F.when(small, F.array(F.col("key")))
+        .when(main, F.transform(_range(n_rest), lambda e: place(0, chunk, e)))
+        .otherwise(F.concat(F.transform(_range(n_main), lambda m: place(0, m, chunk)), among))
+    )
+    met = met.withColumn("bucket", F.explode(buckets))
+    roots = connected(links.unionByName(compare(met)))
+    return classes.join(roots, classes["class"] == roots["node"], "left").select("class", "lead", F.coalesce("root", "class").alias("root"))
+
+
 def near_copy_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id reachable over links of ``least`` similarity or more)."""
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    marked = cut(src.mapInArrow(_sketches(words), "doc_id bigint, text string, class string, bands array<bigint>"), "sketches")
-    classes = cut(marked.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "classes")
-    keyed = classes.select("class", F.explode("bands").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = cut(keyed.join(crowded, "key"), "met")
-    texts = marked.select("class", "text").join(met.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.max("text").alias("text"))
-    met = met.withColumn("chunks", F.ceil(F.col("n") / CHUNK)).withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")))
-    other = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
-    met = met.withColumn("other", F.explode(other)).filter("chunks = 1 or other <> own")
-    met = met.select("class", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket")).join(texts, "class")
-    links = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(words, least), "a string, b string").distinct()
-    roots = connected(links)
-    named = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "class").join(named.join(smallest, "root").select("class", "component_id"), "class").select("doc_id", "component_id")
+    marked = _marked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), words)
+    named = _named(marked, words, least)
+    smallest = named.groupBy("root").agg(F.min("lead").getField("doc_id").alias("component_id"))
+    return marked.select("row.doc_id", "class").join(named.join(smallest, "root").select("class", "component_id"), "class").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """The documents with one of each group: the one whose id names it. All columns as they were."""
-    groups = near_copy_groups(docs, words, least).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = groups.select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi")
+    """The documents with one row of each group, that of the smallest id. All columns as they were."""
+    marked = _marked(docs, words)
+    stay = _named(marked, words, least).groupBy("root").agg(F.min("lead").getField("rid").alias("rid"))
+    return marked.join(stay.select("rid"), "rid", "left_semi").select("row.*")

@@ -48,8 +48,11 @@ def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
 
 
 def fingerprint(text: str, words: int = 3) -> int:
-    """A bit is one if it is set in over half the shingle hashes."""
-    h = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is one if it is set in over half the hashes."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -104,7 +107,7 @@ def lanes_within(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.nda
     return out
 
 
-def _planes(fps: np.ndarray) -> np.ndarray:
+def planes_of(fps: np.ndarray) -> np.ndarray:
     n = -(-len(fps) // 64) * 64
     padded = np.zeros(n, np.uint64)
     padded[: len(fps)] = fps
@@ -113,7 +116,7 @@ def _planes(fps: np.ndarray) -> np.ndarray:
 
 def large_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of one large bucket: breadth-first, each fingerprint is compared once, with what is still unseen."""
-    planes, n = _planes(fps), len(fps)
+    planes, n = planes_of(fps), len(fps)
     unseen = np.ones(n, bool)
     a, b = [], []
     words = planes.shape[1]
@@ -262,10 +265,3 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFram
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = named.join(smallest, "root").select("fp", "component_id")
     return marked.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The documents with one of each group: the one whose id names it. All columns as they were."""
-    groups = simhash_groups(docs, words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = groups.select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi")
