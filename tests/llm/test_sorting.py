@@ -126,3 +126,15 @@ def test_encoder_equals_the_library():
     for _ in range(300):
         t = "".join(rng.choice(" aZé日\t\n\r'😀1.,<|endoftext|>  ") for _ in range(rng.randrange(50)))
         assert encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_on_long_runs(spark):
+    library, encode = Tokenizer.from_file(PATH), byte_level_encoder(PATH)
+    space = " " * 12_000
+    for t in (space, space + "a", "a" + space + "<|endoftext|>b", f"a\n{space}\n", space + "\u3000x" + "\n" * 11_000 + "'s", "x" * 30_000, "\x1c" * 11_000 + "y"):
+        assert encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    for t in (" " * 1_000_000, "word " + "\n" * 1_000_000 + "word"):
+        assert encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "ab " * 200_000)], "doc_id bigint, text string")
+    totals = {r["doc_id"]: r["doc_tokens"] for r in pack_documents(docs, PATH).collect()}
+    assert totals == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in ((1, " " * 1_000_000), (2, "ab " * 200_000))}

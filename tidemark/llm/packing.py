@@ -6,13 +6,15 @@ of each length, so the plan is made from that histogram (one number per length,
 segment tree over remaining capacities, for whole groups of equal pieces at a time; its size is bounded by the capacity
 and not by the corpus. Pieces then find their windows by their rank among those of equal length, in a join.
 
-Edge cases: null text is an empty text, one end token; repeated rows are documents of their own; a null id stays null
+Edge cases: null text is an empty text, one end token; a text of any length, also one of white space alone, is encoded
+whole; among equal pieces the smaller id, then the smaller start goes first; repeated rows are documents of their own; a null id stays null
 and its pieces are told apart by the row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -29,6 +31,11 @@ _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
 _PIECES_IDS = _PIECES + ", ids binary"
 
 
+#: Runs of white space (Unicode's property, fixed values) from this length on are cut out before a text is split.
+LONG_RUN = 10_000
+_LONG = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_RUN)
+
+
 def _byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in byte-level vocabularies: printable bytes stand for themselves."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,7 +60,26 @@ def byte_level_encoder(path: str):
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     # Bytes beyond single-byte tokens get ids in merge order, which the ids of this vocabulary are.
     encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    marks = tuple(special)
+
+    def plain(text: str) -> np.ndarray:
+        return encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+
+    def encode(text: str) -> np.ndarray:
+        """Long runs of white space are cut out first, as the split rule's look-ahead would step back through all of one.
+
+        Where such a run ends the text, or a special token follows, all of it is one piece; elsewhere all but its last letter.
+        """
+        if len(text) < LONG_RUN:
+            return plain(text)
+        parts, at = [], 0
+        for m in _LONG.finditer(text):
+            stop = m.end() if m.end() == len(text) or text.startswith(marks, m.end()) else m.end() - 1
+            parts += [plain(text[at : m.start()]), np.array(encoding._encode_single_piece(text[m.start() : stop]), np.uint32)]
+            at = stop
+        return np.concatenate([*parts, plain(text[at:])])
+
+    return encode
 
 
 def _cut_documents(tokenizer_path: str, end_id: int, capacity: int, with_ids: bool) -> Callable:
