@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from tests.llm import brute
 from tidemark.llm.simhash import connected, fingerprint, forests, lanes_within, planes_of, simhash_groups
-from tidemark.llm.substring_dedup import LENGTH, drop_repeated_passages, matching_spans, repeated_windows, substring_dedup
+from tidemark.llm.substring_dedup import LENGTH, SETTLED, WINDOW, _passages, anchors_of, drop_repeated_passages, matching_spans, repeated_windows, substring_dedup, words_of
 
 SCHEMA = "doc_id bigint, text string, lang string, d string, t int, fp string"
 
@@ -130,3 +131,21 @@ def test_star_contraction_of_a_long_chain(spark):
 
 def test_fingerprint_of_few_words():
     assert fingerprint("") == 0 and fingerprint("a b") == brute.fingerprint("a b")
+
+
+@pytest.mark.parametrize("in_order", [True, False])
+def test_a_common_line_sends_few_rows(monkeypatch, in_order):
+    """A line in every document of a task, over several pieces: its windows go on once, or as often as the logarithm of the documents."""
+    monkeypatch.setattr("tidemark.llm.substring_dedup.BATCH_BYTES", 20_000)
+    line = " ".join(f"line{i}" for i in range(22))
+    texts = [f"{' '.join(f'a{i}b{k}' for k in range(30))} {line} {' '.join(f'c{i}d{k}' for k in range(30))}" for i in range(400)]
+    ids = list(range(400)) if in_order else random.Random(1).sample(range(400), 400)
+    opened = []
+    for text in texts:
+        words = words_of([text.encode()])
+        opened.append([{"pos": int(p), "crowded": True} for p in anchors_of(words).places])
+    batch = pa.RecordBatch.from_pydict({"d": ids, "t": [0] * 400, "opened": opened, "text": texts})
+    rows = [r for out in _passages(LENGTH)(iter([batch])) for r in out.to_pylist()]
+    routes = brute.groups([(r["route"], r["start"]) for r in rows if r["kind"] == WINDOW])
+    assert max(map(len, routes.values())) <= (1 if in_order else 20)
+    assert sum(r["kind"] == SETTLED for r in rows) >= 3 * 380

@@ -11,14 +11,17 @@ that can share a window, and documents meet only those:
 3. Where an anchor comes with different contexts, these contexts are the shard's passages. A suffix automaton of the
    passages (over word fingerprints) is built, each state keeps the earliest place its words end at, and the passages
    are streamed through it: where the matching statistic reaches ``length`` the state of the last ``length`` words
-   tells whether the window starts earlier elsewhere. An anchor with more than ``CROWD`` contexts is dealt out by the
-   windows' fingerprints instead of the anchor's, so a common line makes no large shard; a task sends a window once.
+   tells whether the window starts earlier elsewhere. An anchor with more than ``CROWD`` contexts is dealt out by its
+   windows instead, each with the SHA-256 of its words, so a common line makes no large shard. A task sends a window
+   on only where it starts earlier than all the task saw of it, which is once or, where documents come in no order,
+   about as often as the logarithm of their number says. Where windows meet they are read in order of document and
+   start, and only the first is remembered: nothing is gathered, however many there are.
    The ``HOT`` most frequent anchors, found by a first pass, are dealt out like that at once: an anchor that is not
-   among them has at most one in ``HOT`` of all rows or a few of each task, so nothing that meets in one task is a given share of the corpus.
+   among them has at most one in ``HOT`` of all rows or ``LEAST_HOT`` of each task.
 4. Documents, joined with what was found in them, lose the union of the maximal spans.
 
-Words are compared by 64-bit fingerprints, whole contexts by 128 bits (two independent hashes). No window is skipped
-and nothing is capped.
+In shards words are compared by 64-bit fingerprints, and repeated contexts by a sum of these, so two words whose
+fingerprints collide count as equal there (2**-64 for a pair). No window is skipped and nothing is capped.
 
 Edge cases: null text has no words; a null id sorts before all others; rows that repeat an id are one document in the
 order of windows, so they take nothing from each other at equal starts; an empty table gives an empty result; extra
@@ -42,13 +45,15 @@ from tidemark.llm.common import NO_ID, cut
 LENGTH = 20
 GRAM = 8
 CROWD = 256
-HOT = 5000
+HOT = 100_000
 #: Texts are worked off together up to this many bytes, which bounds the arrays' size.
 BATCH_BYTES = 1 << 21
 #: So many anchors of a task are settled together.
 FLUSH = 400_000
 #: An anchor with fewer rows than this in a task is not looked at as frequent.
 LEAST_HOT = 64
+#: So many windows of crowded anchors a task remembers; beyond, it forgets them and may send some once more.
+REMEMBERED = 1 << 17
 
 U = np.uint64
 _RNG = np.random.default_rng(20)
@@ -220,60 +225,55 @@ def _later_in_task(h: np.ndarray, c: np.ndarray, d: np.ndarray, pos: np.ndarray)
     return out
 
 
-_PASSAGE = "route bigint, d bigint, t bigint, start bigint, words binary, settled boolean"
+#: A passage's words are the fingerprints of its words; a window's are the SHA-256 of its text, and none if it is settled.
+_PASSAGE = "route bigint, d bigint, t bigint, start bigint, words binary, kind tinyint"
+PASSAGE, WINDOW, SETTLED = range(3)
+_PASSAGE_ARROW = pa.schema([("route", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("kind", pa.int8())])
 
 
 def _passages(length: int) -> Callable:
     """Documents with their open anchors -> the passages that go to shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        earliest: dict[bytes, tuple[int, int]] = {}  # windows of crowded anchors -> where this task saw them start first
         for batch in batches:
             ids, marks, opened = batch.column("d").to_pylist(), batch.column("t").to_pylist(), batch.column("opened")
             for first, texts in _pieces(batch):
                 words = words_of(texts)
                 a = anchors_of(words, length)
                 where = {(int(i), int(p)): k for k, (i, p) in enumerate(zip(a.doc, a.places - words.bounds[a.doc], strict=True))}
-                out: dict[str, list] = {"route": [], "d": [], "t": [], "start": [], "words": [], "settled": []}
-                single: dict[bytes, int] = {}  # windows of crowded anchors, each with the row of its earliest start here
-
-                def put(route, row, low, high, out=out, words=words, first=first):
-                    out["route"].append(route)
-                    out["d"].append(ids[first + row])
-                    out["t"].append(marks[first + row])
-                    out["start"].append(int(low - words.bounds[row]))
-                    out["words"].append(words.hashes[low:high].tobytes())
-                    out["settled"].append(False)
-
-                def settle(k, out=out):
-                    """A window that starts earlier in this task needs no shard: it is dealt anywhere, without its words."""
-                    out["settled"][k], out["words"][k] = True, b""
-                    out["route"][k] = hash((out["d"][k], out["start"][k]))
-
-                for row in range(len(texts)):
+                out: list[tuple] = []
+                for row, text in enumerate(texts):
+                    d, t, base = ids[first + row], marks[first + row], int(words.bounds[row])
+                    parts: list[bytes] = []
                     for o in opened[first + row].as_py():
                         k = where[row, o["pos"]]
                         if not o["crowded"]:
-                            put(int(a.hashes[k].view(np.int64)), row, a.low[k], a.high[k])
+                            out.append((int(a.hashes[k].view(np.int64)), d, t, int(a.low[k]) - base, words.hashes[a.low[k] : a.high[k]].tobytes(), PASSAGE))
                             continue
-                        low = max(int(a.low[k]), 0)
-                        for w in range(low, int(a.places[k]) + 1):
-                            if a.owner[w] == a.places[k]:
-                                window = words.hashes[w : w + length].tobytes()
-                                put(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), row, w, w + length)
-                                new = len(out["d"]) - 1
-                                old = single.setdefault(window, new)
-                                place = [(out["d"][i], out["start"][i]) for i in (old, new)]
-                                if place[1] > place[0]:
-                                    settle(new)
-                                elif place[1] < place[0]:
-                                    settle(old)
-                                    single[window] = new
-                if out["d"]:
-                    yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("route", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("settled", pa.bool_())]))
+                        parts = parts or text.split()
+                        for w in range(int(a.low[k]) - base, int(a.places[k]) - base + 1):
+                            if a.owner[base + w] == a.places[k]:
+                                digest = hashlib.sha256(b" ".join(parts[w : w + length])).digest()
+                                seen = earliest.get(digest)
+                                if seen is not None and seen < (d, w):
+                                    out.append((_anywhere(d, w), d, t, w, b"", SETTLED))  # needs no meeting
+                                    continue
+                                if len(earliest) >= REMEMBERED:
+                                    earliest.clear()
+                                earliest[digest] = d, w
+                                out.append((int.from_bytes(digest[:8], "little", signed=True), d, t, w, digest, WINDOW))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PASSAGE_ARROW, strict=True)], schema=_PASSAGE_ARROW)
 
     return run
 
 
+def _anywhere(d: int, start: int) -> int:
+    """A route that deals rows evenly."""
+    return ((d * 0x9E3779B97F4A7C15 + start) * 0xC2B2AE3D27D4EB4F + 2**63) % 2**64 - 2**63
+
+
 class Automaton:
     """A suffix automaton of several passages. ``first[state]`` is the earliest place (as given) where its words end."""
 
@@ -366,32 +366,32 @@ def repeated_windows(passages: list[tuple[int, int, list[int]]], length: int) ->
 
 def _shards(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Passages sorted by route, document and start -> windows that start earlier."""
-        held: list[tuple] = []
+        """Rows sorted by route, document and start -> windows that start earlier."""
+        held: list[tuple] = []  # a shard's passages, at most CROWD
+        lead: dict[bytes, tuple[int, int]] = {}  # the windows of a route, nearly always one, each with its first start
         route = None
 
-        def finish():
-            if len(held) < 2:
-                return None
+        def finish() -> list[tuple]:
             passages = [(d, s, w) for d, _, s, w in held]
-            found = [(held[k][0], held[k][1], held[k][2] + i) for k, i in repeated_windows(passages, length)]
-            return found or None
+            return [(held[k][0], held[k][1], held[k][2] + i) for k, i in repeated_windows(passages, length)] if len(held) > 1 else []
 
         ready: list[tuple] = []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("route", "d", "t", "start", "words", "settled")]
-            for r, d, t, s, w, settled in zip(*cols, strict=True):
-                if settled:
+            for r, d, t, s, w, kind in zip(*(batch.column(c).to_pylist() for c in ("route", "d", "t", "start", "words", "kind")), strict=True):
+                if kind == SETTLED:
                     ready.append((d, t, s))
                     continue
                 if r != route:
-                    ready += finish() or ()
-                    held, route = [], r
-                held.append((d, t, s, np.frombuffer(w, U).tolist()))
+                    ready += finish()
+                    held, lead, route = [], {}, r
+                if kind == PASSAGE:
+                    held.append((d, t, s, np.frombuffer(w, U).tolist()))
+                elif lead.setdefault(w, (d, s)) != (d, s):
+                    ready.append((d, t, s))
             if len(ready) > 5000:
                 yield _windows(ready)
                 ready = []
-        ready += finish() or ()
+        ready += finish()
         if ready:
             yield _windows(ready)
 
