@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 
 from tidemark.llm.html_extract import Tree, Weights, blocks_of, extract_main_text, main_text, marginals, trained
 from tidemark.llm.language_id import Parser, identify_language
-from tidemark.llm.toxicity import drop_toxic, fit_ordinal, grade_toxicity
+from tidemark.llm.toxicity import REJECT, drop_toxic, fit_ordinal, grade_toxicity, limit_of, train
 
 SF = "/root/testdata/sf0.01"
 
@@ -128,6 +128,7 @@ def test_toxicity_odd_rows(spark):
     assert len(got) == len(rows) and {r["doc_id"] for r in got if r["rejected"]} == {i for i in range(40) if i % 2}
     left = drop_toxic(docs, labels)
     assert left.columns == docs.columns and left.count() == 22
+    assert all(r["severity"] == 0 for r in got if r["doc_id"] in (None, 41))
     assert not any(r["rejected"] for r in grade_toxicity(docs, labels.filter("toxic = 0")).collect())
     assert grade_toxicity(docs.limit(0), labels).count() == 0
 
@@ -141,3 +142,25 @@ def test_pages_with_a_head_or_svg_left_open():
     assert main_text(f"<html><head><title>x</title><noscript><img src=a></noscript></head><body>{article}", trained()) == want
     assert "n" in main_text(f"<article><h1>Harbour plan</h1><p>{words} <math><mi>n</mi></math></p></article>", trained()).split()
     assert [t for _, t in blocks_of("<head><title>t</title>Some text")[3]] == ["Some text"]
+
+
+def test_severity_against_a_plain_version(spark):
+    """The whole query's rows from the trained weights, word by word."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = train(docs, labels)
+    assert len(model.weights) > 5 and list(model.thresholds) == sorted(model.thresholds)
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in grade_toxicity(docs, labels).collect():
+        words, counts = re.findall(r"[^\W\d_]+", (texts[r["doc_id"]] or "").lower()), {}
+        for w in words:
+            for f in [w] + ["^" + w[:5]] * (len(w) > 5) + ["^" + w[:4]] * (len(w) > 4):
+                counts[f] = counts.get(f, 0) + 1
+        s = sum(model.weights.get(f, 0.0) * (1 + 0.5 * np.log(n)) for f, n in counts.items())
+        want = [1 / (1 + np.exp(t - s)) if words else 0.0 for t in model.thresholds]
+        assert abs(r["severity"] - sum(want)) < 1e-6 and r["rejected"] == (want[0] >= model.reject)
+
+
+def test_limit_is_set_on_held_out_labels():
+    assert limit_of(np.array([]), np.array([0.1])) == REJECT
+    assert limit_of(np.array([0.12, 0.9]), np.array([0.01, 0.02])) == 0.1
+    assert limit_of(np.array([0.12] + [0.9] * 99), np.array([0.3, 0.01])) == 0.35

@@ -2,15 +2,16 @@
 
 A document's grade y is 0 (not toxic) to 3. The model has one weight per feature, shared by all thresholds:
 P(y > k) = 1 / (1 + exp(theta_k - w.x)), theta_0 < theta_1 < theta_2; the severity is the expected grade, the sum of
-P(y > k). It is rejected as toxic if P(y > 0) is at least ``REJECT``: one clear insult in a short text is enough, and
-texts without any lie far below.
+P(y > k). It is rejected as toxic if P(y > 0) reaches a limit, which is set on held-out labels: of ``LIMITS`` the one with
+the least share of toxic documents missed and, ``COST`` times as dear, of clean ones rejected.
 
 Training uses at most ``TOXIC`` toxic and ``CLEAN`` other labelled documents, those of least hash, so the bound holds
-at any size; everything else runs over all rows. Features are lower-case words and the first four and five letters of
+at any size; one in four of them is held out for the limit. Everything else runs over all rows. Features are lower-case words and the first four and five letters of
 longer ones; those that set toxic documents apart (log-likelihood ratio, at most ``FEATURES`` of them) are kept. The
-labels only say toxic or not, so toxic documents are graded by how often such features occur in them, in thirds.
+labels only say toxic or not, so toxic documents are graded by how often such features occur in them, in thirds: the
+severity orders texts by that, and no label says whether people would.
 
-Edge cases: null or empty text has severity 0; labels without id or grade are left out; with no toxic or no other
+Edge cases: a null text or one without a word has severity 0 and stays; a very long text is read whole; labels without id or grade are left out; with no toxic or no other
 labelled documents nothing is rejected; repeated rows are scored each; extra columns are ignored.
 """
 
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 TOXIC, CLEAN, FEATURES = 3000, 6000, 4000
 GRADES = 4
+LIMITS, COST = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5), 10
+#: The limit where no labels are held out.
 REJECT = 0.25
 #: A feature must occur in so many toxic documents, and stand out so clearly.
 LEAST_DOCS, LEAST_RATIO, LEAST_LIFT = 3, 12.0, 8.0
@@ -56,9 +59,12 @@ def strength(n: int) -> float:
 class Model(NamedTuple):
     weights: dict[str, float]
     thresholds: tuple[float, ...]
+    reject: float = REJECT
 
     def exceed(self, counts: Counter) -> list[float]:
-        """P(y > k) for each threshold."""
+        """P(y > k) for each threshold; 0 for a text without words."""
+        if not counts:
+            return [0.0] * len(self.thresholds)
         s = sum(self.weights[f] * strength(n) for f, n in counts.items() if f in self.weights)
         return [float(1 / (1 + np.exp(np.clip(t - s, -60, 60)))) for t in self.thresholds]
 
@@ -88,7 +94,7 @@ def _vectors(keep: Callable[[], set]) -> Callable:
         for batch in batches:
             rows = [[(f, n) for f, n in sorted(features(t).items()) if f in wanted] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "f": pa.array([[f for f, _ in r] for r in rows], pa.list_(pa.string())), "n": pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int64()))}
+                {"part": batch.column("part"), "f": pa.array([[f for f, _ in r] for r in rows], pa.list_(pa.string())), "n": pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int64()))}
             )
 
     return run
@@ -143,12 +149,20 @@ def fit_ordinal(x: list[list[tuple[int, float]]], y: np.ndarray, size: int, grad
     return w, np.concatenate([t[:1], t[0] + np.cumsum(np.exp(t[1:]))])
 
 
+def limit_of(toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The limit for P(y > 0) on held-out documents; of equally good ones the nearest to ``REJECT``."""
+    if not len(toxic) or not len(clean):
+        return REJECT
+    return min(LIMITS, key=lambda t: (float(np.mean(toxic < t) + COST * np.mean(clean >= t)), abs(t - REJECT), t))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     sc = docs.sparkSession.sparkContext
     sample = {g: _sample(labels, g, n) for g, n in ((1, TOXIC), (0, CLEAN))}
     picked = sample[1].withColumn("toxic", F.lit(1)).unionByName(sample[0].join(sample[1], "doc_id", "left_anti").withColumn("toxic", F.lit(0)))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most TOXIC + CLEAN ids
-    held = texts.persist()
+    both = texts.withColumn("aside", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).persist()
+    held = both.filter("not aside")
     try:
         sizes = {r["toxic"]: r["count"] for r in held.groupBy("toxic").count().collect()}
         n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -163,16 +177,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         chosen = sorted((f for f, r in ratios.items() if r >= LEAST_RATIO), key=lambda f: (-ratios[f], f))[:FEATURES]
         index = {f: i for i, f in enumerate(chosen)}
         known = sc.broadcast(set(chosen))
-        vectors = held.select("toxic", "doc_id", "text").filter("toxic = 1").select("doc_id", "text").mapInArrow(_vectors(lambda: known.value), "doc_id bigint, f array<string>, n array<bigint>")
-        toxic_rows = vectors.select("f", "n").collect()
-        clean_rows = held.filter("toxic = 0").select("doc_id", "text").mapInArrow(_vectors(lambda: known.value), "doc_id bigint, f array<string>, n array<bigint>").select("f", "n").collect()
+        vectors = both.withColumn("part", F.col("aside").cast("int") * 2 + F.col("toxic")).select("part", "text").mapInArrow(_vectors(lambda: known.value), "part int, f array<string>, n array<bigint>")
+        rows: list[list[dict[str, int]]] = [[], [], [], []]  # clean and toxic ones to learn from, then those held out
+        for r in vectors.collect():
+            rows[r["part"]].append(dict(zip(r["f"], r["n"], strict=True)))
     finally:
-        held.unpersist()
-    x = [[(index[f], strength(n)) for f, n in zip(r["f"], r["n"], strict=True)] for r in [*toxic_rows, *clean_rows]]
-    amount = np.array([sum(r["n"]) for r in toxic_rows], float)
+        both.unpersist()
+    clean_rows, toxic_rows = rows[:2]
+    x = [[(index[f], strength(n)) for f, n in r.items()] for r in [*toxic_rows, *clean_rows]]
+    amount = np.array([sum(r.values()) for r in toxic_rows], float)
     y = np.concatenate([1 + np.searchsorted(np.quantile(amount, [1 / 3, 2 / 3]), amount, side="left"), np.zeros(len(clean_rows))]).astype(int)
     w, theta = fit_ordinal(x, np.minimum(y, GRADES - 1), len(chosen))
-    return Model({f: float(w[i]) for f, i in index.items()}, tuple(map(float, theta)))
+    model = Model({f: float(w[i]) for f, i in index.items()}, tuple(map(float, theta)))
+    # Texts without a chosen feature are scored as such, not as empty ones.
+    chance = [np.array([model.exceed(Counter(r) or Counter({"": 1}))[0] for r in part]) for part in rows[2:]]
+    return model._replace(reject=limit_of(chance[1], chance[0]))
 
 
 def _scores(shared) -> Callable:
@@ -182,7 +201,7 @@ def _scores(shared) -> Callable:
             texts = batch.column("text")
             exceed = [model.exceed(features(texts[i].as_py())) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "severity": pa.array([sum(e) for e in exceed], pa.float64()), "p_toxic": pa.array([e[0] for e in exceed], pa.float64()), "rejected": pa.array([e[0] >= REJECT for e in exceed], pa.bool_())}
+                {"doc_id": batch.column("doc_id"), "severity": pa.array([sum(e) for e in exceed], pa.float64()), "p_toxic": pa.array([e[0] for e in exceed], pa.float64()), "rejected": pa.array([e[0] >= model.reject for e in exceed], pa.bool_())}
             )
 
     return run
@@ -201,7 +220,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            keep = [shared.value.exceed(features(texts[i].as_py()))[0] < REJECT for i in range(batch.num_rows)]
+            keep = [shared.value.exceed(features(texts[i].as_py()))[0] < shared.value.reject for i in range(batch.num_rows)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
