@@ -28,9 +28,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from tidemark.llm.common import cut
 from tidemark.llm.simhash import connected, lanes_within, majority, planes_of, shingle_hashes
@@ -63,12 +62,13 @@ def _sketches(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, sizes, bands = [], [], []
-            for text in batch.column("row").field("text"):
+            for text in batch.column("text"):
                 s = shingle_set(text.as_py() or "", words)
-                names.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
+                names.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
                 bands.append(band_keys(s))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["row", "class", "size", "bands"])
+            own = [batch.column(c) for c in ("h1", "h2", "doc_id")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["h1", "h2", "doc_id", "class", "size", "bands"])
 
     return run
 
@@ -115,15 +115,15 @@ def _links(words: int, least: float) -> Callable:
         """Rows sorted by bucket -> confirmed links."""
         now, names, labels, sets = None, [], [], []
 
-        def found() -> list[tuple[str, str]]:
+        def found() -> list[tuple[int, int]]:
             return [(names[i], names[k]) for i, k in similar_forest(sets, least, labels)] if len(sets) > 1 else []
 
-        def out(links: list[tuple[str, str]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.string()), "b": pa.array([b for _, b in links], pa.string())})
+        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
         for batch in batches:
             links = []
-            for bucket, name, label, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "class", "label")), batch.column("text"), strict=True):
+            for bucket, name, label, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "cid", "label")), batch.column("text"), strict=True):
                 if bucket != now:
                     links += found()
                     now, names, labels, sets = bucket, [], [], []
@@ -136,11 +136,16 @@ def _links(words: int, least: float) -> Callable:
     return run
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(h1, h2, row): two hashes of all columns tell rows apart, so none needs a number; equal rows are interchangeable."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.xxhash64(F.lit(1), *columns).alias("h1"), F.xxhash64(F.lit(2), *columns).alias("h2"), F.struct(*columns).alias("row"))
+
+
 def _marked(docs: DataFrame, words: int) -> DataFrame:
-    """Each row with a number of its own, its class, its number of shingles and its keys; written, so the numbers stay."""
-    src = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
-    schema = StructType([*src.schema.fields]).add("class", StringType()).add("size", LongType()).add("bands", ArrayType(LongType()))
-    return cut(src.mapInArrow(_sketches(words), schema).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    """(h1, h2, doc_id, class, size, bands) of each row."""
+    src = _hashed(docs).select("h1", "h2", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text"))
+    return cut(src.mapInArrow(_sketches(words), "h1 bigint, h2 bigint, doc_id bigint, class binary, size bigint, bands array<bigint>"), "sketches")
 
 
 def _chunks(size: Column | str) -> Column:
@@ -152,59 +157,61 @@ def _range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _named(marked: DataFrame, words: int, least: float) -> DataFrame:
-    """(class, root): the group of every class."""
-    lead = F.min(F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id"), "rid"))
-    classes = cut(marked.groupBy("class").agg(lead.alias("lead"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
-    keyed = classes.select("class", "size", F.col("lead.rid").alias("rid"), F.posexplode("bands").alias("band", "key"))
-    texts = marked.select("rid", F.col("row.text").alias("text"))
+def _named(docs: DataFrame, marked: DataFrame, words: int, least: float) -> DataFrame:
+    """(class, lead, root): every class with its first row and the number of its group."""
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2"))
+    classes = marked.groupBy("class").agg(lead.alias("lead"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    texts = _hashed(docs).select("h1", "h2", F.col("row.text").alias("text"))
 
     def compare(met: DataFrame) -> DataFrame:
-        full = met.select("bucket", "class", "label", "rid").join(texts, "rid").select("bucket", "class", "label", "text")
-        return full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(words, least), "a string, b string").distinct()
-
-    def distinct_buckets(sums: DataFrame, *more: str) -> DataFrame:
-        """Buckets of the same classes need only be one."""
-        return sums.groupBy("n", "total", "members", *more).agg(F.min("key").alias("key"))
-
-    members = F.bit_xor(F.xxhash64("class"))
-    first = keyed.filter(F.col("band") < FIRST)
-    sums = first.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), members.alias("members")).filter("n > 1")
-    chunk = F.pmod(F.xxhash64("class", "key"), _chunks("total"))
-    met = first.join(distinct_buckets(sums).select("key", "total"), "key").select(F.xxhash64("key", chunk).alias("bucket"), "class", F.col("class").alias("label"), "rid")
-    links = cut(compare(met), "first-links")
+        """met(bucket, cid, label) -> links, from the text of each class's first row."""
+        need = met.select("cid").distinct().join(classes.select("cid", "lead.h1", "lead.h2"), "cid")
+        same = Window.partitionBy("h1", "h2").orderBy("cid")
+        own = texts.join(need, ["h1", "h2"]).withColumn("k", F.row_number().over(same)).filter("k = 1").select("cid", "text")
+        full = met.join(own, "cid").select("bucket", "cid", "label", "text")
+        return full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(words, least), "a bigint, b bigint").distinct()
+
+    def crossed(keyed: DataFrame, where: str) -> DataFrame:
+        """Keys whose classes are not united yet, one of those that hold the same classes."""
+        sums = keyed.groupBy("key").agg(
+            F.min("band").alias("band"), F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("cid")).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")
+        )
+        return sums.filter(f"lo <> hi and ({where})").groupBy("n", "total", "members").agg(F.min("key").alias("key")).select("key", "total")
+
+    first = classes.select("cid", F.col("cid").alias("label"), "size", F.posexplode(F.slice("bands", 1, FIRST)).alias("band", "key"))
+    met = first.join(crossed(first, "true"), "key").select(F.xxhash64("key", F.pmod(F.xxhash64("cid", "key"), _chunks("total"))).alias("bucket"), "cid", "label")
+    links = cut(compare(cut(met, "met")), "first-links")
 
     roots = connected(links)
-    every = cut(keyed.join(roots, keyed["class"] == roots["node"], "left").select("class", "size", "rid", "band", "key", F.coalesce("root", "class").alias("label")), "keyed")
-    per = every.groupBy("key", "label").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.sum("size").alias("size"), members.alias("members"))
-    sums = per.groupBy("key").agg(F.min("band").alias("band"), F.sum("n").alias("n"), F.sum("size").alias("total"), F.bit_xor("members").alias("members"), F.count("*").alias("parts"), F.max(F.struct("size", "label")).alias("main"))
-    sums = sums.filter((F.col("parts") > 1) & ((F.col("band") >= FIRST) | (F.col("total") > CHUNK)))
-    met = every.join(distinct_buckets(sums, "main").select("key", "total", F.col("main.label").alias("main"), F.col("main.size").alias("main_size")), "key")
-    small, main = F.col("total") <= CHUNK, F.col("label") == F.col("main")
-    n_main, n_rest = _chunks("main_size"), _chunks(F.col("total") - F.col("main_size"))
-    chunk = F.pmod(F.xxhash64("class"), F.when(main, n_main).otherwise(n_rest))
+    labelled = cut(classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", F.coalesce("root", "cid").alias("label"), "size", "bands"), "labelled")
+    every = labelled.select("cid", "label", "size", F.posexplode("bands").alias("band", "key"))
+    met = cut(every.join(crossed(every, f"band >= {FIRST} or total > {CHUNK}"), "key").select("key", "total", "cid", "label", "size"), "met")
+    small, large = met.filter(F.col("total") <= CHUNK), met.filter(F.col("total") > CHUNK)
+    parts = large.groupBy("key", "label").agg(F.sum("size").alias("size")).groupBy("key").agg(F.max(F.struct("size", "label")).alias("main"))
+    large = large.join(parts, "key")
+    main = F.col("label") == F.col("main.label")
+    n_main, n_rest = _chunks("main.size"), _chunks(F.col("total") - F.col("main.size"))
+    chunk = F.pmod(F.xxhash64("cid"), F.when(main, n_main).otherwise(n_rest))
     place = lambda kind, a, b: F.xxhash64("key", F.lit(kind), a, b)
     among = F.transform(F.filter(_range(n_rest), lambda f: f != chunk), lambda f: place(1, F.least(chunk, f), F.greatest(chunk, f)))
-    buckets = (
-        F.when(small, F.array(F.col("key")))
-        .when(main, F.transform(_range(n_rest), lambda e: place(0, chunk, e)))
-        .otherwise(F.concat(F.transform(_range(n_main), lambda m: place(0, m, chunk)), among))
-    )
-    met = met.withColumn("bucket", F.explode(buckets))
-    roots = connected(links.unionByName(compare(met)))
-    return classes.join(roots, classes["class"] == roots["node"], "left").select("class", "lead", F.coalesce("root", "class").alias("root"))
+    buckets = F.when(main, F.transform(_range(n_rest), lambda e: place(0, chunk, e))).otherwise(F.concat(F.transform(_range(n_main), lambda m: place(0, m, chunk)), among))
+    met = small.select(F.col("key").alias("bucket"), "cid", "label").unionByName(large.select(F.explode(buckets).alias("bucket"), "cid", "label"))
+    roots = connected(links.unionByName(compare(cut(met, "met"))))
+    return classes.join(roots, classes["cid"] == roots["node"], "left").select("class", "lead", F.coalesce("root", "cid").alias("root"))
 
 
 def near_copy_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id reachable over links of ``least`` similarity or more)."""
-    marked = _marked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), words)
-    named = _named(marked, words, least)
+    docs = docs.select("doc_id", "text")
+    marked = _marked(docs, words)
+    named = _named(docs, marked, words, least)
     smallest = named.groupBy("root").agg(F.min("lead").getField("doc_id").alias("component_id"))
-    return marked.select("row.doc_id", "class").join(named.join(smallest, "root").select("class", "component_id"), "class").select("doc_id", "component_id")
+    return marked.select("doc_id", "class").join(named.join(smallest, "root").select("class", "component_id"), "class").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """The documents with one row of each group, that of the smallest id. All columns as they were."""
-    marked = _marked(docs, words)
-    stay = _named(marked, words, least).groupBy("root").agg(F.min("lead").getField("rid").alias("rid"))
-    return marked.join(stay.select("rid"), "rid", "left_semi").select("row.*")
+    stay = _named(docs, _marked(docs, words), words, least).groupBy("root").agg(F.min("lead").alias("lead")).select("lead.h1", "lead.h2")
+    same = Window.partitionBy("h1", "h2").orderBy("h1")
+    return _hashed(docs).join(stay, ["h1", "h2"], "left_semi").withColumn("k", F.row_number().over(same)).filter("k = 1").select("row.*")
