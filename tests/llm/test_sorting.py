@@ -138,3 +138,25 @@ def test_encoder_on_long_runs(spark):
     docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "ab " * 200_000)], "doc_id bigint, text string")
     totals = {r["doc_id"]: r["doc_tokens"] for r in pack_documents(docs, PATH).collect()}
     assert totals == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in ((1, " " * 1_000_000), (2, "ab " * 200_000))}
+
+
+def test_huge_components_rank_without_an_error(spark):
+    rows = [(0, [1e300, 1.0]), (1, [-1e300, 0.0]), (2, [2.0, 1.0]), (3, [1e12, 5.0]), (4, [4e9, -4e9])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in exact_top_k(frame, frame, k=4).collect()}
+    whole = {i: [max(-(2**62), min(2**62, int(np.floor(np.clip(64 * x, -(2.0**62), 2.0**62))))) for x in v] for i, v in rows}
+    for q in whole:
+        scores = sorted((-max(1 - 2**62, min(2**62 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)
+        assert [got[q, r + 1] for r in range(4)] == [(i, -s) for s, i in scores]
+
+
+def test_many_blocks_leave_no_broadcast_and_a_flat_plan(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    made, gone = [], []
+    make, destroy = spark.sparkContext.broadcast, Broadcast.destroy
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: made.append(1) or make(v))
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: gone.append(1) or destroy(self, *a))
+    frame = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(12)], "vec_id bigint, embedding array<double>").coalesce(1)
+    out = exact_top_k(frame, frame, k=2, block=1)
+    assert len(made) == len(gone) == 12 and out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1 and out.count() == 24

@@ -4,16 +4,19 @@ Queries go in blocks of a fixed number of vectors, so a broadcast block has a kn
 block every candidate is scored in every pass. A pass counts scores in a histogram per query over the interval that
 still holds its k-th best; partial histograms are summed per query and the interval shrinks to the bin found, until it
 is one integer wide: the k-th score. The last pass keeps what lies above that score and, of ties with it, the smallest
-ids, as many as each query still needs.
+ids, as many as each query still needs. A block's winners are written before the next block is read, and its broadcast
+is released, so neither the driver nor the plan grows with the number of queries.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; a row
 whose id equals the query's is its own row and no candidate; a repeated query id is asked once; fewer than k candidates
 give all of them; vectors of another length than the query's have no inner product with it and are left out; an empty
-table gives an empty result.
+table gives an empty result. Scores are exact whole numbers up to 2**62 - 1; components are held at 2**62 and scores at
+2**62 - 1, either way of zero, so values of any size rank without an error.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, shared_dir
 
 BINS = 256
 BLOCK = 4096
 ROWS = 2048
+#: Whole numbers are held within this.
+MOST = 2**62 - 1
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -36,7 +41,7 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
     return (
         vectors.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("v"))
         .filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & fine)
-        .select("id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
+        .select("id", F.transform("v", lambda x: F.floor(F.least(F.lit(2.0**62), F.greatest(F.lit(-(2.0**62)), x * F.lit(float(scale)))))).alias("v"))
     )
 
 
@@ -59,11 +64,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.nd
 
 
 def _scorer(qvecs: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """Exact integer products: single precision where no sum or bin edge can reach 2**24, then double, else integers."""
+    """Exact integer products: single precision where no sum or bin edge can reach 2**24, then double, else integers, of any size if need be."""
     top = float(np.abs(qvecs).max(initial=0))
 
     def score(c: np.ndarray) -> np.ndarray:
         bound = top * float(np.abs(c).max(initial=0)) * c.shape[1]
+        if bound >= 2**61:  # beyond a long: Python's own integers
+            return np.clip(qvecs.astype(object) @ c.astype(object).T, -MOST, MOST).astype(np.int64)
         kind = np.float32 if bound < 2**22 else np.float64 if bound < 2**51 else np.int64
         return qvecs.astype(kind) @ c.astype(kind).T
 
@@ -141,19 +148,18 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: i
     spark = queries.sparkSession
     cand = cut(quantised(candidates, id_col, vec_col, scale), "candidates")
     asked = quantised(queries, id_col, vec_col, scale).dropDuplicates(["id"])
-    reach = cand.agg(F.max(F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x))).first()[0]
+    reach = cand.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0]
     # Blocks are slices of the sorted queries; each is read when its turn comes.
     slices = max(1, -(-asked.count() // block)) if reach is not None else 0
     asked = cut(asked.withColumn("dim", F.size("v")).repartitionByRange(max(1, slices), "id"), "queries") if slices else asked
-    found = []
-    for piece in _query_blocks(asked, block) if slices else ():
-        qids, qvecs = piece
-        found.append(_search_block(spark, cand, qids, qvecs, reach, k))
-    if not found:
+    schema = "query_id bigint, vec_id bigint, score bigint"
+    folder, none = f"{shared_dir(spark)}/winners-{uuid.uuid4().hex}", True
+    for n, (qids, qvecs) in enumerate(_query_blocks(asked, block) if slices else ()):
+        _search_block(spark, cand, qids, qvecs, reach, k, f"{folder}/block={n}")
+        none = False
+    if none:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    out = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -175,11 +181,12 @@ def _query_blocks(asked: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np
                 break
 
 
-def _search_block(spark, cand: DataFrame, qids: np.ndarray, qvecs: np.ndarray, reach: int, k: int) -> DataFrame:
+def _search_block(spark, cand: DataFrame, qids: np.ndarray, qvecs: np.ndarray, reach: float, k: int, path: str) -> None:
+    """Writes (query_id, vec_id, score) of the block's winners."""
     n, dim = qvecs.shape
     shared = spark.sparkContext.broadcast((qids, qvecs))
     # No score exceeds |q| * max |c|; the first interval is a power of two times the number of bins.
-    bound = int(np.ceil(np.sqrt(float((qvecs.astype(np.float64) ** 2).sum(axis=1).max()) * float(reach)))) + 1
+    bound = min(MOST, int(np.ceil(np.sqrt(float((qvecs.astype(np.float64) ** 2).sum(axis=1).max()) * reach) * 1.0001)) + 1)
     width = 1
     while width * BINS < 2 * bound + 1:
         width *= 2
@@ -198,4 +205,5 @@ def _search_block(spark, cand: DataFrame, qids: np.ndarray, qvecs: np.ndarray, r
             break
         bins = min(BINS, int(widths[0]))
         widths = widths // bins
-    return cand.mapInArrow(_winners(shared, lows, np.maximum(0, k - above), dim, k), "query_id bigint, vec_id bigint, score bigint")
+    cand.mapInArrow(_winners(shared, lows, np.maximum(0, k - above), dim, k), "query_id bigint, vec_id bigint, score bigint").write.parquet(path)
+    shared.destroy()
