@@ -3,9 +3,11 @@ import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from tidemark.llm.html_extract import Tree, Weights, blocks_of, extract_main_text, main_text, marginals, trained
-from tidemark.llm.language_id import Parser, identify_language
+from tidemark.llm.language_id import Parser, identify_language, learn, normal, pack, suffix_automaton
+from tidemark.llm.queries import QUERIES
 from tidemark.llm.toxicity import REJECT, drop_toxic, fit_ordinal, grade_toxicity, limit_of, train
 
 SF = "/root/testdata/sf0.01"
@@ -73,12 +75,49 @@ def longest_phrases(text, sample):
     return n
 
 
-def test_phrases_equal_a_plain_parse():
-    samples = (("aa", "banana bandana cabana"), ("bb", "the quick brown fox that thinks"))
+@pytest.mark.parametrize("lane", [512, 7, 3])
+def test_phrases_equal_a_plain_parse(monkeypatch, lane):
+    monkeypatch.setattr("tidemark.llm.language_id.LANE", lane)
+    rng = np.random.default_rng(lane)
+    samples = (("aa", "banana bandana cabana" * 3), ("bb", "the quick brown fox that thinks"), ("cc", "日本語の文字 と 言葉"))
     parser = Parser(samples)
-    texts = ["banana", "the bandana", "zz", "thhthh ananan", "xyz ban"]
-    got = parser.phrases(texts)
-    assert got.tolist() == [[longest_phrases(t, s) for _, s in samples] for t in texts]
+    texts = ["banana", "the bandana", "zz", "thhthh ananan", "xyz ban", "", "日本語 zz 言", "banana" * 40]
+    texts += [samples[1][1] + " " + samples[1][1] * 3 + w + samples[0][1] * 2 for w in ("x", " fox", "日")]  # phrases over several lanes, more than once
+    texts += ["".join(rng.choice(list("banac theq日"), rng.integers(1, 90))) for _ in range(60)]
+    assert parser.phrases(texts).tolist() == [[longest_phrases(t, s) for _, s in samples] for t in texts]
+
+
+def test_packed_automata_keep_every_transition():
+    for text in ("banana", "".join(chr(200 + i * 7 % 900) for i in range(3000)) * 2, "a"):
+        letters = sorted(set(text))
+        rows = suffix_automaton([letters.index(c) for c in text])
+        p = pack(rows, len(letters) + 1)
+        for s, row in enumerate(rows):
+            for c in range(len(letters) + 1):
+                at = p.base[s] + c
+                assert (int(p.goal[at]) if p.owner[at] == s else None) == row.get(c)
+
+
+def test_words_are_letters_with_their_marks():
+    assert normal("½ ²") == "" and normal("Größe 3²") == " größe " and normal("हिन्दी") == " हिन्दी "
+
+
+def test_query_against_a_plain_version(spark):
+    """Rows of the query from the learned samples alone, one letter after the other."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    parser = learn(docs)
+    assert len(parser.languages) > 2 and len(parser.samples) == len(parser.languages)
+    texts = {r["doc_id"]: normal(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    seen = 0
+    for r in QUERIES["op10_language"](spark, "/root/testdata/sf0.001").collect():
+        t = texts[r["doc_id"]]
+        if not t or len(t) > 2500:
+            continue
+        bits = np.array([longest_phrases(t, s) * np.log2(len(s)) / len(t) for _, s in parser.samples])
+        assert r["lang_pred"] == parser.languages[int(bits.argmin())]
+        assert abs(r["score"] - 1 / np.exp(-parser.sharpness * (bits - bits.min())).sum()) < 1e-9
+        seen += 1
+    assert seen > 100
 
 
 def test_language_of_held_out_documents(spark):
