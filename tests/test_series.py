@@ -10,6 +10,8 @@ def test_steps_and_rises(spark):
     step = np.array([1.0] * 8 + [20.0] * 8)
     assert 5 <= series.binary_segmentation(step)[0] <= 11 and series.binary_segmentation(np.ones(20)) == []
     assert series.cusum(np.array([1.0, 2, 1])) == []
+    late = np.array([0.0] * 12 + [9.0, 9.0])
+    assert all(3 <= i <= 11 for i in series.cusum(late, 0.1)) and (np.diff(series.cusum(np.tile([0.0, 5.0], 12), 0.05)) >= 3).all()
     df = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(step)] + [("flat", i, 3.0) for i in range(16)], "id string, t int, x double")
     got = series.changepoints(df).collect()
     assert {r["id"] for r in got} == {"s"} and all(r["direction"] == "up" for r in got)

@@ -115,3 +115,22 @@ def test_plans_gates_and_suites(spark):
     suites = spark.createDataFrame([("a", 0.25, 0.8), ("b", 0.25, None), ("c", 0.5, 0.5)], "suite string, weight double, score double")
     assert abs(risk.combine_suites(suites).first()["combined"] - 0.6) < 1e-12
     assert risk.smells(spark.createDataFrame([("a", 6)], "path string, touches int"), spark.createDataFrame([(10, 20, 1, 0, 2)], "n int, feature_commits int, test_touches int, utility_touches int, revert_files int")).count() == 3
+
+
+def test_cycles_have_no_generation(spark):
+    """Two commits that name each other as parents, one that follows them, and a chain of its own with a second parent."""
+    nodes = spark.createDataFrame([(i,) for i in "abcxyz"], "id string")
+    parents = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("y", "x"), ("z", "y")], "id string, parent string")
+    got = {r["id"]: (r["root"], r["generation"]) for r in graph.generations(parents, nodes).collect()}
+    assert got == {"a": (None, None), "b": (None, None), "c": (None, None), "x": ("x", 0), "y": ("x", 1), "z": ("x", 2)}
+    every = parents.union(spark.createDataFrame([("z", "x")], "id string, parent string"))
+    assert {r["id"]: r["generation"] for r in graph.least_generations(every, nodes).collect()} == {"a": None, "b": None, "c": None, "x": 0, "y": 1, "z": 1}
+
+
+def test_a_hot_key_makes_small_arrays_and_all_pairs(spark):
+    from tidemark.operators import coupling
+
+    items = spark.range(300).selectExpr("'hot' as k", "id as v").union(spark.createDataFrame([("x", 1), ("x", 1), ("x", 2), ("y", 1), (None, 3)], "k string, v bigint"))
+    pairs = coupling.pairs_within(items, "k", "v")
+    got = {(r["k"], r["a"], r["b"]) for r in pairs.collect()}
+    assert pairs.count() == len(got) == 300 * 299 // 2 + 1 and ("x", 1, 2) in got and all(a < b for _, a, b in got)

@@ -182,7 +182,23 @@ def owner_repo(url: Column) -> Column:
 
 
 def record_id(kind: str, *parts: Column) -> Column:
-    return F.substring(F.concat_ws(":", F.lit(kind), *[p.cast("string") for p in parts]), 1, 160)
+    """kind:part:part, whole: rows are joined by it."""
+    return F.concat_ws(":", F.lit(kind), *[p.cast("string") for p in parts])
+
+
+def json_get(body: Column, path: str, default: str | None = None) -> Column:
+    """The value at a dotted path of a JSON text as a string, or the default."""
+    return F.coalesce(F.get_json_object(body, "$." + path), F.lit(default))
+
+
+def age_decay(at: Column, now: Column, hours: float = 24.0) -> Column:
+    """1 / (1 + age in hours over ``hours``); what lies ahead has no age."""
+    return 1 / (1 + F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(at)) / 3.6e9) / hours)
+
+
+def month_ordinal(month: Column) -> Column:
+    """Months since year 0 of a text like 2024-05."""
+    return F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int") - 1
 
 
 def newick_name(name: Column) -> Column:

@@ -15,28 +15,37 @@ def split_large(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return commits.filter(~large), commits.agg(F.count_if(large).alias("filtered_large_commits"))
 
 
-def pairs_within(items: DataFrame, key: str, item: str, limit: int) -> DataFrame:
-    """(a, b) of distinct items of one key, a < b; a key gives at most its first ``limit`` items.
+#: Items of one key that meet in one array on either side.
+BLOCK = 64
 
-    Each key's items become one bounded array, so its pairs are made in place: one shuffle, no self-join.
+
+def pairs_within(items: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, a, b) of all distinct items of one key, a < b.
+
+    A key's items are dealt into blocks of about ``BLOCK``, and each pair of blocks becomes one small array whose pairs
+    are made in place. So no array grows with a hot key, and no task holds all of its items.
     """
-    arrays = items.select(key, item).distinct().groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("_all"))
-    own = F.slice("_all", 1, limit)
-    made = F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, F.lit(limit)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return arrays.filter(F.size("_all") > 1).select(key, F.explode(made).alias("p")).select(key, "p.a", "p.b")
+    own = items.select(F.col(key).alias("_key"), F.col(item).alias("_item")).filter("_key is not null and _item is not null").distinct()
+    sizes = own.groupBy("_key").agg(F.ceil(F.count("*") / BLOCK).alias("_n")).withColumnRenamed("_key", "_k")
+    dealt = own.join(sizes, own["_key"] == sizes["_k"]).withColumn("_own", F.pmod(F.xxhash64("_item"), F.col("_n")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    met = dealt.groupBy("_key", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi")).agg(F.array_sort(F.collect_list(F.struct("_item", "_own"))).alias("_all"))
+    # Items of one block meet in its own array, those of two blocks in theirs.
+    later = F.transform("_all", lambda x, i: F.transform(F.filter(F.slice("_all", i + 2, F.size("_all")), lambda y: (F.col("_lo") == F.col("_hi")) | (x["_own"] != y["_own"])), lambda y: F.struct(x["_item"].alias("a"), y["_item"].alias("b"))))
+    return met.filter(F.size("_all") > 1).select(F.col("_key").alias(key), F.explode(F.flatten(later)).alias("p")).select(key, "p.a", "p.b")
 
 
 def cochange_edges(files: DataFrame, commits: DataFrame, min_weight: int = 2) -> DataFrame:
     """(a, b, weight): in how many commits both files change."""
     small, _ = split_large(commits)
     kept = files.select("sha", "path").join(small.select("sha"), "sha", "left_semi")
-    return pairs_within(kept, "sha", "path", MAX_FILES).groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
+    return pairs_within(kept, "sha", "path").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
 
 
 def ticket_edges(files: DataFrame, tickets: DataFrame, min_weight: int = 1) -> DataFrame:
-    """(a, b, weight): files linked by tickets (sha, ticket), the first thirty of each ticket."""
+    """(a, b, weight): files linked by tickets (sha, ticket)."""
     per = files.select("sha", "path").join(tickets.select("sha", "ticket").distinct(), "sha").select("ticket", "path").distinct()
-    return pairs_within(per, "ticket", "path", 30).groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
+    return pairs_within(per, "ticket", "path").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
 
 
 def sum_of_coupling(edges: DataFrame) -> DataFrame:
@@ -45,9 +54,9 @@ def sum_of_coupling(edges: DataFrame) -> DataFrame:
     return ends.groupBy("path").agg(F.sum("weight").alias("coupling"))
 
 
-def blast_radius(files: DataFrame, limit: int = 50) -> DataFrame:
+def blast_radius(files: DataFrame) -> DataFrame:
     """(path, degree, score): how many other files change with it, over forty and at most one."""
-    both = pairs_within(files, "sha", "path", limit).select(F.explode(F.array(F.struct(F.col("a").alias("path"), F.col("b").alias("other")), F.struct(F.col("b").alias("path"), F.col("a").alias("other")))).alias("e"))
+    both = pairs_within(files, "sha", "path").select(F.explode(F.array(F.struct(F.col("a").alias("path"), F.col("b").alias("other")), F.struct(F.col("b").alias("path"), F.col("a").alias("other")))).alias("e"))
     degree = both.select("e.path", "e.other").distinct().groupBy("path").agg(F.count("*").alias("degree"))
     return degree.withColumn("score", F.least(F.lit(1.0), F.col("degree") / 40))
 
@@ -62,7 +71,7 @@ def coupled_neighbors(edges: DataFrame, edit: DataFrame, k: int | None = None) -
 
 def gene_flow(files: DataFrame) -> DataFrame:
     """(a, b, weight, kind): pairs of clades that commits touch together; five or more are a bridge."""
-    pairs = pairs_within(files.select("sha", "clade"), "sha", "clade", 1 << 15)
+    pairs = pairs_within(files, "sha", "clade")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).withColumn("kind", F.when(F.col("weight") >= 5, "merge_bridge").otherwise("cochange"))
 
 

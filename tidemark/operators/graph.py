@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Kinds of node and relations by family (fixed values).
@@ -31,13 +31,20 @@ FAMILY_RELS = {
 FLOW_STAGES = ("sense", "deliberate", "act", "verify")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set, one machine may use a temporary folder; a cluster may not."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Rows written to the folder all executors share (spark.checkpoint.dir) and read again."""
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
-    path = f"{jsc.getCheckpointDir().get()}/walk-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/walk-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -97,16 +104,32 @@ def descendants(edges: DataFrame, starts: DataFrame, rel: str = "parent_of", dep
 
 
 def generations(parents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, root, generation) along first parents (id, parent), by pointer jumping: rounds grow with the log of the depth."""
+    """(id, root, generation) along first parents (id, parent), by pointer jumping: rounds grow with the log of the depth.
+
+    What lies on a cycle or leads into one has no root and no generation: it still moves after as many rounds as would
+    have taken any chain of that many nodes to its end.
+    """
+    left = max(1, nodes.count()).bit_length() + 1
     up = cut(nodes.select("id").join(parents.select("id", "parent"), "id", "left").select("id", F.coalesce("parent", "id").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("generation")), "jump")
     while True:
         top = up.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("generation").alias("more"))
         jumped = cut(up.join(top, "root").select("id", F.col("next").alias("root"), (F.col("generation") + F.col("more")).alias("generation"), (F.col("more") > 0).alias("moved")), "jump")
-        if jumped.filter("moved").isEmpty():
-            return jumped.drop("moved")
+        left -= 1
+        if not left or jumped.filter("moved").isEmpty():
+            ends = lambda c: F.when(~F.col("moved"), F.col(c)).alias(c)
+            return jumped.select("id", ends("root"), ends("generation"))
         up = jumped.drop("moved")
 
 
+def least_generations(parents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, generation): least number of steps from a root over all parents (id, parent); none for what no root leads to.
+
+    Breadth-first from the roots, so there are as many rounds as generations.
+    """
+    roots = nodes.select("id").join(parents.select("id"), "id", "left_anti")
+    return nodes.select("id").join(reach(parents.select(F.col("parent").alias("source"), F.col("id").alias("target")), roots, 1 << 30).withColumnRenamed("hops", "generation"), "id", "left")
+
+
 def shortest_paths(edges: DataFrame, source: DataFrame, targets: DataFrame, depth: int = 6, directed: bool = True) -> DataFrame:
     """(id, path): a shortest path from a source (id) to each target (id); of several the least in order."""
     step = (edges if directed else undirected(edges)).select("source", "target").distinct()
@@ -181,6 +204,11 @@ def close_windows(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("key").orderBy("valid_from", "id")))
 
 
+def open_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes whose window hasn't ended (valid_to null or empty)."""
+    return nodes.filter(F.col("valid_to").isNull() | (F.col("valid_to").cast("string") == ""))
+
+
 def fitch(tree: DataFrame, states: DataFrame) -> tuple[DataFrame, int]:
     """((id, set) of every node, parsimony steps) for a rooted tree (id, parent) with leaf states (id, state).
 

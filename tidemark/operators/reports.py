@@ -50,7 +50,7 @@ def frames_of_commits(commits: DataFrame, frames: DataFrame, most: int = 8) -> D
     """(sha, frame) of commits (sha, clade) and frames (id, claim, clades): by clade, or by hash or clade named in the claim; frames are few."""
     f = frames.select(F.col("id").alias("frame"), "claim", "clades")
     match = F.array_contains("clades", F.col("clade")) | F.contains(F.col("claim"), F.substring(F.col("sha").cast("string"), 1, 7)) | F.contains(F.col("claim"), F.col("clade"))
-    hits = commits.join(F.broadcast(f), match)
+    hits = commits.join(f, match)
     return hits.withColumn("_k", F.row_number().over(Window.partitionBy("sha").orderBy("frame"))).filter(F.col("_k") <= most).select("sha", "frame")
 
 
@@ -121,3 +121,51 @@ def expectations(results: DataFrame, spec: DataFrame) -> DataFrame:
     seen = results.select("case", "kind").distinct().withColumn("_seen", F.lit(True))
     ok = F.coalesce("_seen", F.lit(False)) == F.col("present")
     return spec.join(seen, ["case", "kind"], "left").groupBy("case").agg(F.count("*").alias("n"), F.count_if(ok).alias("passed")).withColumn("rate", F.col("passed") / F.col("n"))
+
+
+def priorities(one: DataFrame) -> DataFrame:
+    """(rank, priority) by threshold rules from a one-row table (revert_rate, debt, dependency_rate, drift, stage)."""
+    stage = F.col("stage")
+    rules = [
+        F.when(F.col("revert_rate") > 0.1, "stabilize reverts"), F.when(F.col("debt") > 0.4, "pay down debt"), F.when(F.col("dependency_rate") > 0.15, "audit dependencies"), F.when(F.col("drift") > 0.35, "document drift"),
+        F.when(stage == "disturbance", "consolidate").when(stage == "growth", "protect boundaries").when(stage == "maturity", "observe and refactor"),
+    ]
+    found = F.array_compact(F.array(*rules))
+    return one.select(F.posexplode(F.when(F.size(found) == 0, F.array(F.lit("keep course"))).otherwise(found)).alias("rank", "priority"))
+
+
+def sprint_report(commits: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
+    """(span, n, churn, n_reverts): commits within each milestone (span, start, due), or of each ISO week where there are none."""
+    if milestones is None or milestones.isEmpty():
+        spans = commits.select(series.week_key(F.col("ts")).alias("span"), "churn", "is_revert", F.lit(True).alias("inside"))
+    else:
+        within = (F.col("start").isNull() | (F.col("ts") >= F.col("start"))) & (F.col("due").isNull() | (F.col("ts") <= F.col("due")))
+        spans = milestones.join(commits.select("ts", "churn", "is_revert"), within, "left").withColumn("inside", F.col("ts").isNotNull())
+    return spans.groupBy("span").agg(F.count_if("inside").alias("n"), F.coalesce(F.sum("churn"), F.lit(0)).alias("churn"), F.count_if(F.coalesce("is_revert", F.lit(False))).alias("n_reverts"))
+
+
+def dashboard(clades: DataFrame, drift: DataFrame, risk: DataFrame, debt: DataFrame) -> DataFrame:
+    """(clade, drift, risk, debt): mean drift, gravest risk and weighted debt hits over the most of any clade. Debt rows have a weight."""
+    hits = debt.groupBy("clade").agg(F.sum("weight").alias("hits"))
+    most = hits.agg(F.greatest(F.lit(1e-9), F.max("hits").cast("double")).alias("_most"))
+    out = clades.select("clade").distinct().join(drift.groupBy("clade").agg(F.avg("drift").alias("drift")), "clade", "left").join(risk.groupBy("clade").agg(F.max("severity").alias("risk")), "clade", "left").join(hits, "clade", "left")
+    return out.crossJoin(most).select("clade", F.coalesce("drift", F.lit(0.0)).alias("drift"), F.coalesce("risk", F.lit(0.0)).alias("risk"), F.coalesce(F.col("hits") / F.col("_most"), F.lit(0.0)).alias("debt"))
+
+
+def repositories(commits: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, ...): the metrics of many repositories at once, from commits and files that carry a repo key."""
+    touches = files.groupBy("repo", "path").agg(F.count("*").alias("t"))
+    p = F.col("t") / F.sum("t").over(Window.partitionBy("repo"))
+    spread = touches.withColumn("h", -p * F.log2(p + 1e-12)).groupBy("repo").agg(F.sum("h").alias("file_touch_entropy"), F.max("t").alias("_top"))
+    base = commits.groupBy("repo").agg(F.count("*").alias("commit_count"), F.count_if("is_revert").alias("revert_count"), F.sum("churn").alias("churn_total"), F.countDistinct("author").alias("n_authors"))
+    n = F.col("commit_count")
+    stable = 1 / (1 + 0.002 * F.col("churn_total") / n + 3 * F.col("revert_count") / n + 0.5 * F.coalesce("_top", F.lit(0)) / n)
+    return base.join(spread, "repo", "left").withColumn("code_stability", stable).drop("_top")
+
+
+def regime_checks(months: DataFrame, points: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(check, ok): a year of months, a changepoint, one upward in activity, a disturbance, and a number of stages within bounds."""
+    one = months.agg(F.count("*").alias("months")).crossJoin(points.agg(F.count("*").alias("points"), F.count_if((F.col("id") == "n_commits") & (F.col("direction") == "up")).alias("up")))
+    one = one.crossJoin(pieces.agg(F.count("*").alias("pieces"), F.count_if(F.col("stage").isin("disturbance", "decline")).alias("cool")))
+    checks = {"months": F.col("months") >= 12, "changepoint": F.col("points") >= 1, "upward": F.col("up") >= 1, "cooling": F.col("cool") >= 1, "stages": F.col("pieces").between(5, 11)}
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("ok")) for k, v in checks.items()])).alias("c")).select("c.*")

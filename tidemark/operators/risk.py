@@ -48,7 +48,7 @@ def scalar_point(one: DataFrame, kind: str, when: Column, severity: Column) -> D
     return points(one.filter(when), kind, severity, None)
 
 
-def rank_points(*kinds: DataFrame, limit: int | None = 40) -> DataFrame:
+def rank_points(*kinds: DataFrame, limit: int | None = None) -> DataFrame:
     """(id, kind, path, severity, priority): the gravest of each kind and path, in order of severity; W1 is the first.
 
     The kinds' lists are short, so numbering them is one small sort.
@@ -142,7 +142,7 @@ def gate(stability: DataFrame, fresh: DataFrame, fatigue: DataFrame, min_stabili
 
 def budget_breach(usage: DataFrame, prices: DataFrame, limit: float) -> DataFrame:
     """(run, at, spent): where each run's running cost first passes the limit. usage(run, at, model, tokens), prices(model, per_1k)."""
-    cost = usage.join(F.broadcast(prices), "model", "left").withColumn("cost", F.col("tokens") / 1000 * F.coalesce("per_1k", F.lit(0.0)))
+    cost = usage.join(prices, "model", "left").withColumn("cost", F.col("tokens") / 1000 * F.coalesce("per_1k", F.lit(0.0)))
     spent = cost.withColumn("spent", F.sum("cost").over(Window.partitionBy("run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
     return spent.filter(F.col("spent") > limit).groupBy("run").agg(F.min(F.struct("at", "spent")).alias("s")).select("run", "s.at", "s.spent")
 

@@ -158,16 +158,20 @@ def binary_segmentation(values: np.ndarray, penalty: float = 0.75, min_seg: int
     return sorted(cuts)
 
 
-def cusum(values: np.ndarray, factor: float = 1.5) -> list[int]:
-    """Places where a two-sided running sum of deviations passes factor * sd * sqrt(n); it starts afresh at each."""
+def cusum(values: np.ndarray, factor: float = 1.5, min_seg: int = 3) -> list[int]:
+    """Places where a two-sided running sum of deviations passes factor * sd * sqrt(n).
+
+    They lie ``min_seg`` or more apart and from both ends; the sums start afresh at each, and go on where a place is too near.
+    """
     n, sd = len(values), float(np.std(values))
-    if n < 4 or sd < 1e-9:
+    if n < 2 * min_seg or sd < 1e-9:
         return []
-    up = down = 0.0
-    out, mean, limit = [], float(values.mean()), factor * sd * math.sqrt(n)
-    for i, x in enumerate(values):
-        up, down = max(0.0, up + x - mean), min(0.0, down + x - mean)
-        if up > limit or down < -limit:
+    mean, limit = float(values.mean()), factor * sd * math.sqrt(n)
+    out, up, down = [], 0.0, 0.0
+    for i, gap in enumerate((values - mean).tolist()):
+        up, down = max(0.0, up + gap), min(0.0, down + gap)
+        far = i - (out[-1] if out else 0) >= min_seg and i <= n - min_seg
+        if far and max(up, -down) > limit:
             out.append(i)
             up = down = 0.0
     return out
@@ -257,7 +261,7 @@ def within_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
 
 def stage_at(times: DataFrame, segs: DataFrame) -> DataFrame:
     """(label, stage, confidence): the segment that holds a time, else the last one before it at nine tenths of its confidence."""
-    joined = times.join(F.broadcast(segs), F.col("at") >= F.col("start"), "left")
+    joined = times.join(segs, F.col("at") >= F.col("start"), "left")
     inside = F.col("at") < F.col("end")
     pick = F.max(F.struct(inside.cast("int").alias("i"), "start", "stage", F.when(inside, F.col("confidence")).otherwise(F.col("confidence") * 0.9).alias("confidence")))
     return joined.groupBy("label").agg(pick.alias("s")).select("label", "s.stage", "s.confidence")

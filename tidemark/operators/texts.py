@@ -195,7 +195,7 @@ def similar_pairs(files: DataFrame, n: int = 5, least: float = 0.8) -> tuple[Dat
     """((a, b, jaccard) between classes, (path, class) membership): files whose n-word shingle sets overlap by ``least``.
 
     Files with equal sets are one class, named by its least path, so copies make no pairs. Sets that similar share one of
-    their (1 - least) * size + 1 least hashes: only those are joined, and the pairs found are compared in full.
+    their (1 - least) * size + 1 rarest shingles: only those are joined, and the pairs found are compared in full.
     """
     split = files.select("path", F.regexp_extract_all(F.lower("text"), F.lit(r"([^\s]+)")).alias("words"))
     hashed = F.array_sort(F.array_distinct(F.transform(shingles(F.col("words"), n), lambda s: F.xxhash64(s))))
@@ -204,8 +204,10 @@ def similar_pairs(files: DataFrame, n: int = 5, least: float = 0.8) -> tuple[Dat
     names = sets.groupBy("key").agg(F.min("path").alias("class"))
     members = sets.select("path", "key").join(names, "key").select("path", "class")
     classes = sets.join(names, (sets["key"] == names["key"]) & (sets["path"] == names["class"])).select("class", "h").withColumn("size", F.size("h"))
-    prefix = F.slice("h", 1, (F.floor((1 - least) * F.col("size") + 1e-9) + 1).cast("int"))
-    index = classes.select("class", "size", F.explode(prefix).alias("s"))
+    # Any order of all shingles will do; with the rarest first, one that many files share meets only where a set holds little else.
+    held = classes.select("class", "size", F.explode("h").alias("s"))
+    ranked = held.join(held.groupBy("s").agg(F.count("*").alias("df")), "s").withColumn("k", F.row_number().over(Window.partitionBy("class").orderBy("df", "s")))
+    index = ranked.filter(F.col("k") <= F.floor((1 - least) * F.col("size") + 1e-9) + 1).select("class", "size", "s")
     a, b = index.select("s", F.col("class").alias("a"), F.col("size").alias("na")), index.select("s", F.col("class").alias("b"), F.col("size").alias("nb"))
     near = a.join(b, "s").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
     full = near.join(classes.select(F.col("class").alias("a"), F.col("h").alias("ha")), "a").join(classes.select(F.col("class").alias("b"), F.col("h").alias("hb")), "b")
@@ -238,6 +240,12 @@ def structure_counts(files: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return per.withColumn("delta", F.col("n") - F.lag("n").over(Window.partitionBy("node").orderBy("win")))
 
 
+def morpheme_weights(rows: DataFrame, domains: DataFrame, depth: float = 0.15) -> DataFrame:
+    """(stem, domain, n, weight) of texts (id, text): how often a stem of an ontology (stem, domain, level) stands there, n * (2 + depth * level)."""
+    words = rows.select(F.explode(tokenize(F.col("text"))).alias("w")).groupBy(F.col("w").alias("stem")).agg(F.count("*").alias("n"))
+    return words.join(domains, "stem").select("stem", "domain", "n", (F.col("n") * (2 + depth * F.col("level"))).alias("weight"))
+
+
 def clone_patterns(functions: DataFrame, windows: int = 4) -> DataFrame:
     """(fingerprint, presence, pattern) of rows (win, path, fingerprint): clones of two files or more, and when they live."""
     groups = functions.groupBy("win", "fingerprint").agg(F.countDistinct("path").alias("members")).filter("members >= 2")

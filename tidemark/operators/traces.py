@@ -76,13 +76,54 @@ def hypotheses(tests: DataFrame, claims: DataFrame) -> DataFrame:
     return j.select("claim", verdict.alias("verdict"), F.coalesce(hypothesis_confidence(F.col("n"), F.col("p")), F.lit(0.15)).alias("confidence"))
 
 
-def lehman(commits: DataFrame, entropy: Column, stability: Column, momentum: Column) -> DataFrame:
-    """One row of law proxies from the log's totals."""
-    one = commits.agg(F.avg("churn").alias("c"), F.avg(F.col("is_revert").cast("int")).alias("r"), F.countDistinct("author").alias("authors"))
-    clamp = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+def laws(commits: DataFrame, files: DataFrame, bundle: DataFrame, windows: int = 6) -> DataFrame:
+    """One row of eight law proxies, each between 0 and 1, from the log, its files and its metrics (``metric_bundle``)."""
+    from tidemark.functions.ordering import clamp, k_window, with_seq
+    from tidemark.operators.metrics import author_counts, entropy, file_growth
+
+    growth = file_growth(files, commits).select(F.col("growth").alias("continuing_growth"))
+    rates = with_seq(commits.select("ts", "sha"), "ts", "sha", total="n").groupBy(k_window(F.col("seq"), F.col("n"), windows)).agg(F.count("*").alias("rate"))
+    even = rates.agg(F.when(F.count("*") < 2, 0.5).otherwise(clamp(1 - F.stddev_pop("rate") / F.avg("rate"))).alias("self_regulation"))
+    authors = author_counts(commits)
+    spread = entropy(authors, "n_commits").crossJoin(authors.agg(F.log2(F.greatest(F.lit(2), F.count("*"))).alias("most")))
+    one = bundle.crossJoin(growth).crossJoin(even).crossJoin(spread.select(clamp(F.col("entropy") / F.col("most")).alias("organisational_stability")))
     return one.select(
-        clamp(entropy / 6).alias("increasing_complexity"), clamp(2.5 * F.col("r") + 0.5 * (1 - stability)).alias("declining_quality"), clamp(F.abs(momentum) / 2).alias("continuing_change"), clamp(F.col("c") / 200).alias("continuing_growth"),
-    )
+        clamp(F.col("avg_churn_per_commit") / 200).alias("continuing_change"), clamp(F.col("file_touch_entropy") / 6).alias("increasing_complexity"), "continuing_growth",
+        clamp(2.5 * F.col("revert_rate") + 0.5 * (1 - F.col("code_stability"))).alias("declining_quality"), (1 - F.col("continuing_growth")).alias("conservation_of_familiarity"),
+        clamp(F.abs("momentum") / 2).alias("feedback_volatility"), "self_regulation", "organisational_stability",
+    )
+
+
+def law_support(tests: DataFrame) -> DataFrame:
+    """(law, verdict) from trend tests (id, trend) of churn_rate, file_growth, revert_rate and work_rate; a law without its test has no row."""
+    by = tests.groupBy().agg(*[F.max(F.when(F.col("id") == i, F.col("trend"))).alias(i) for i in ("churn_rate", "file_growth", "revert_rate", "work_rate")])
+    rises = lambda c, down: F.when(F.col(c) == "rising", "support").when(F.col(c) == "flat", "weak").when(F.col(c).isNotNull(), down)
+    even = F.when(F.col("work_rate") == "flat", "support").when(F.col("work_rate").isNotNull(), "contradict")
+    rules = {
+        "continuing_change": rises("churn_rate", "contradict"), "continuing_growth": rises("file_growth", "contradict"), "declining_quality": rises("revert_rate", "contradict"),
+        "self_regulation": even, "organisational_stability": even, "increasing_complexity": rises("churn_rate", "weak"),
+        "conservation_of_familiarity": F.when(F.col("file_growth") == "rising", "contradict").otherwise("support"), "feedback_system": F.lit("weak"),
+    }
+    rows = F.array(*[F.struct(F.lit(law).alias("law"), v.alias("verdict")) for law, v in rules.items()])
+    return by.select(F.explode(rows).alias("r")).select("r.*").filter("verdict is not null")
+
+
+def tool_findings(name: Column, size: Column, summary: Column) -> Column:
+    """One line on a tool's output, from the number of things in it; null for other tools."""
+    line = lambda word, unit: F.concat(F.lit(word + ":"), size.cast("string"), F.lit(unit))
+    return (
+        F.when(name == "grep", line("grep", " hits")).when(name == "web_search", line("web", " results")).when(name == "rag_query", line("rag", " chunks"))
+        .when(name == "morpheme_scan", F.coalesce(summary, F.lit("morphemes"))).when(name == "provenance_hint", line("frames", "")).when(name == "file_read", line("read", " chars")).when(name == "graph_search", line("graph", " hits"))
+    )
+
+
+def pack_violations(packs: DataFrame, required: dict[str, str]) -> DataFrame:
+    """(id, key, problem) of packs (id, body as JSON): keys that are missing, or of another JSON type than required."""
+    parsed = packs.select("id", F.try_parse_json("body").alias("v"))
+    kind = lambda k: F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant"))
+    wanted = {"array": "ARRAY", "object": "OBJECT", "string": "STRING", "number": "(BIGINT|DECIMAL|DOUBLE)"}
+    rows = [F.struct(F.lit(k).alias("key"), F.when(kind(k).isNull(), "missing").when(~kind(k).rlike("^" + wanted[t]), "type").alias("problem")) for k, t in required.items()]
+    return parsed.select("id", F.explode(F.array(*rows)).alias("r")).select("id", "r.*").filter("problem is not null")
 
 
 def evolution_corpus(commits: DataFrame) -> DataFrame:
@@ -90,7 +131,7 @@ def evolution_corpus(commits: DataFrame) -> DataFrame:
     from tidemark.functions.text import tokenize
 
     churn = F.when(F.col("churn") > 400, "churn_high").when(F.col("churn") > 50, "churn_mid").otherwise("churn_low")
-    words = F.concat(tokenize(F.concat_ws(" ", "subject", F.substring(F.coalesce("body", F.lit("")), 1, 240))), F.coalesce("path_words", F.array().cast("array<string>")), F.array(churn), F.when(F.col("is_revert"), F.array(F.lit("is_revert"))).otherwise(F.array().cast("array<string>")))
+    words = F.concat(tokenize(F.concat_ws(" ", "subject", F.coalesce("body", F.lit("")))), F.coalesce("path_words", F.array().cast("array<string>")), F.array(churn), F.when(F.col("is_revert"), F.array(F.lit("is_revert"))).otherwise(F.array().cast("array<string>")))
     return commits.select("sha", F.array_distinct(words).alias("words")).filter(F.size("words") >= 2)
 
 

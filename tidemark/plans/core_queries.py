@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import coupling, metrics
 from tidemark.plans.registry import query
-from tidemark.plans.testmap import SQL_COMMITS, SQL_FILES, SQL_HEADERS, commit_files, commit_headers, commits
+from tidemark.plans.testmap import SQL_COMMITS, SQL_FILES, SQL_HEADERS, commit_files, commit_headers, commits, table
 
 C = "WITH " + SQL_COMMITS
 SEQ = ", placed AS (SELECT *, row_number() OVER (ORDER BY ts, sha) - 1 AS seq, count(*) OVER () AS n FROM commits)"
@@ -37,20 +37,18 @@ def _(spark, d):
 @query(
     "ticket_coupling",
     C
-    + """, t AS (SELECT DISTINCT CAST(email % 97 AS VARCHAR) AS ticket, path FROM files JOIN commits USING (sha)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY ticket ORDER BY path) AS k FROM t),
-    f AS (SELECT ticket, path FROM r WHERE k <= 30)
+    + """, f AS (SELECT DISTINCT CAST(email AS VARCHAR) AS ticket, path FROM files JOIN commits USING (sha))
     SELECT x.path AS a, y.path AS b, count(*) AS weight FROM f x JOIN f y ON x.ticket = y.ticket AND x.path < y.path GROUP BY 1, 2 HAVING count(*) >= 2""",
 )
 def _(spark, d):
-    tickets = commits(spark, d).select("sha", (F.col("email") % 97).cast("string").alias("ticket"))
+    tickets = commits(spark, d).select("sha", F.col("email").cast("string").alias("ticket"))
     return coupling.ticket_edges(commit_files(spark, d), tickets, 2)
 
 
 @query(
     "blast_radius",
-    "WITH " + SQL_FILES + """, r AS (SELECT sha, path, row_number() OVER (PARTITION BY sha ORDER BY path) AS k FROM files), f AS (SELECT sha, path FROM r WHERE k <= 50)
-    SELECT x.path, count(DISTINCT y.path) AS degree, least(1.0, count(DISTINCT y.path) / 40.0::DOUBLE)::DOUBLE AS score FROM f x JOIN f y ON x.sha = y.sha AND x.path <> y.path GROUP BY 1""",
+    "WITH " + SQL_FILES + """
+    SELECT x.path, count(DISTINCT y.path) AS degree, least(1.0, count(DISTINCT y.path) / 40.0::DOUBLE)::DOUBLE AS score FROM files x JOIN files y ON x.sha = y.sha AND x.path <> y.path GROUP BY 1""",
 )
 def _(spark, d):
     return coupling.blast_radius(commit_files(spark, d))
@@ -190,10 +188,12 @@ def _(spark, d):
 
 @query(
     "single_owner_hot",
-    C + ", o AS (SELECT path, count(*) AS touches, count(DISTINCT author) AS owners FROM files JOIN commits USING (sha) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200) SELECT path, touches FROM o WHERE owners = 1",
+    "WITH o AS (SELECT o_custkey AS path, count(*) AS touches, count(DISTINCT o_orderpriority) AS owners FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100000) SELECT path, touches FROM o WHERE owners = 1",
 )
 def _(spark, d):
-    return coupling.single_owner_hot(commit_files(spark, d), commits(spark, d), hot=200)
+    """Customers stand for files and priorities for authors, as every part is on orders of many."""
+    o = table(spark, d, "orders")
+    return coupling.single_owner_hot(o.select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("path")), o.select(F.col("o_orderkey").alias("sha"), F.col("o_orderpriority").alias("author")), hot=100000)
 
 
 @query(
@@ -232,8 +232,6 @@ def _(spark, d):
     SELECT path, touches, cx AS complexity, round(touches / (SELECT max(touches) FROM t) * cx / (cx + 20), 6) AS score FROM t JOIN x USING (path)""",
 )
 def _(spark, d):
-    from tidemark.plans.testmap import table
-
     cx = table(spark, d, "part").select(F.concat("p_brand", F.lit("/"), "p_type", F.lit("/"), "p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_size").cast("bigint").alias("complexity"))
     return metrics.hotspots(metrics.touch_counts(commit_files(spark, d)), cx).withColumn("score", F.round("score", 6))
 
@@ -243,8 +241,7 @@ def _(spark, d):
     C
     + """, s AS (SELECT avg(k - 1) AS switches FROM (SELECT count(DISTINCT clade) AS k FROM files GROUP BY sha)),
     n AS (SELECT count(*) AS n FROM files GROUP BY clade), a AS (SELECT -sum(n / s * log2(n / s + 1e-12)) AS attention FROM n, (SELECT sum(n)::DOUBLE AS s FROM n)),
-    r AS (SELECT sha, path, row_number() OVER (PARTITION BY sha ORDER BY path) AS k FROM files), f AS (SELECT sha, path FROM r WHERE k <= 50),
-    g AS (SELECT x.path FROM f x JOIN f y ON x.sha = y.sha AND x.path <> y.path GROUP BY 1 HAVING count(DISTINCT y.path) >= 3),
+    g AS (SELECT x.path FROM files x JOIN files y ON x.sha = y.sha AND x.path <> y.path GROUP BY 1 HAVING count(DISTINCT y.path) >= 3),
     o AS (SELECT path, count(DISTINCT author) AS owners FROM files JOIN commits USING (sha) GROUP BY 1),
     l AS (SELECT coalesce(avg((owners = 1)::INT), 0) AS lone FROM g JOIN o USING (path)), u AS (SELECT avg((layer = 'PROMO')::INT) AS utility FROM files)
     SELECT round(switches, 6) AS switches, round(attention, 6) AS attention, round(lone, 6) AS lone, round(utility, 6) AS utility,

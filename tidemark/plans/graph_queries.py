@@ -130,9 +130,3 @@ def _(spark, d):
 def _(spark, d):
     nodes = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("valid_from"))
     return graph.close_windows(nodes).select("id", "key", F.date_format(F.col("valid_to").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("valid_to"))
-
-
-@query("tree_newick")
-def _(spark, d):
-    first = parents(spark, d).filter("pos = 0").select(F.col("sha").alias("id"), "parent")
-    return graph.newick(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(first, "id", "left"))

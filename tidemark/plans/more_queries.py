@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import coupling, lineage, traces
 from tidemark.plans.core_queries import C, SEQ
+from tidemark.operators.reports import THEMES
 from tidemark.plans.registry import query
+from tidemark.plans.series_queries import _MK, _P, MONTHS
 from tidemark.plans.testmap import SQL_PARENTS, commit_files, commits, parents, table
+from tidemark.plans.text_queries import _EMB
 
 PART = "p_brand || '/' || p_type || '/' || p_name || '-' || p_partkey"
 
@@ -129,38 +132,49 @@ def _(spark, d):
     return traces.compact_notes(notes).withColumn("text", F.sha2("text", 256))
 
 
-@query("lifecycle_events")
-def _(spark, d):
-    from tidemark.operators.series import storms
-
-    c = commits(spark, d)
-    storm = storms(c.filter("is_revert").select(F.col("author").alias("repo"), "ts")).select(F.lit("revert_storm").alias("kind"), F.col("repo").alias("label"), "at", F.lit("disturbance").alias("stage"), "confidence")
-    releases = c.groupBy(F.year("ts").alias("y")).agg(F.min("ts").alias("at")).select(F.lit("minor_release").alias("kind"), F.concat(F.lit("v"), F.col("y").cast("string")).alias("label"), "at", F.lit("growth").alias("stage"), F.lit(0.75).alias("confidence"))
-    return lineage.lifecycle(lineage.pioneer(c), releases, storm)
-
-
-@query("hypotheses")
+@query(
+    "hypotheses",
+    C
+    + MONTHS
+    + _MK
+    + _P
+    + """, c AS (SELECT * FROM (VALUES ('growth continues', 'commits', 'rising'), ('change continues', 'churn', 'rising')) v(claim, id, expects))
+    SELECT claim, CASE WHEN n < 12 THEN 'insufficient' WHEN trend = expects THEN 'support' WHEN trend = 'flat' THEN 'weak' ELSE 'contradict' END AS verdict,
+      round(CASE WHEN n < 8 THEN 0.15 WHEN n < 20 THEN 0.35 WHEN n < 80 THEN 0.55 + 0.25 * (n - 20) / 60 ELSE least(0.95, 0.8 + 0.001 * (n - 80)) END * (0.4 + 0.6 * (1 - p)), 4)::DOUBLE AS confidence FROM c JOIN labels USING (id)""",
+)
 def _(spark, d):
     from tidemark.operators.series import mann_kendall, with_trend_labels
     from tidemark.plans.series_queries import _monthly_long
 
     claims = spark.createDataFrame([("growth continues", "commits", "rising"), ("change continues", "churn", "rising")], "claim string, id string, expects string")
-    return traces.hypotheses(with_trend_labels(mann_kendall(_monthly_long(spark, d))), claims)
+    return traces.hypotheses(with_trend_labels(mann_kendall(_monthly_long(spark, d))), claims).withColumn("confidence", F.round("confidence", 4))
 
 
-@query("evolution_corpus", """WITH w AS (SELECT doc_id AS sha, list_distinct(list_concat(regexp_extract_all(lower(substr(text, 1, 60) || ' ' || substr(text, 61, 240)), '[a-z_][a-z0-9_]{2,}'), [CASE WHEN n_chars > 400 THEN 'churn_high' WHEN n_chars > 50 THEN 'churn_mid' ELSE 'churn_low' END])) AS words FROM documents)
+@query("evolution_corpus", """WITH w AS (SELECT doc_id AS sha, list_distinct(list_concat(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{2,}'), [CASE WHEN n_chars > 400 THEN 'churn_high' WHEN n_chars > 50 THEN 'churn_mid' ELSE 'churn_low' END])) AS words FROM documents)
   SELECT sha, CAST(len(words) AS INTEGER) AS n FROM w WHERE len(words) >= 2""")
 def _(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("sha"), F.substring("text", 1, 60).alias("subject"), F.substring("text", 61, 240).alias("body"), F.col("n_chars").alias("churn"), F.lit(False).alias("is_revert"), F.lit(None).cast("array<string>").alias("path_words"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("sha"), F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("subject"), F.regexp_replace("text", r"^[^\n]*\n?", "").alias("body"), F.col("n_chars").alias("churn"), F.lit(False).alias("is_revert"), F.lit(None).cast("array<string>").alias("path_words"))
     return traces.evolution_corpus(docs).select("sha", F.size("words").alias("n"))
 
 
-@query("themes")
+_THEMES = " UNION ALL ".join(f"SELECT {-1 - i}, '{words}'" for i, words in enumerate(THEMES.values()))
+_THEME_NAMES = ", ".join(f"({-1 - i}, '{name}')" for i, name in enumerate(THEMES))
+
+
+@query(
+    "themes",
+    "WITH r AS (SELECT conv_id * 1000 + turn AS id, concat_ws(' ', role, text) AS text FROM conversations UNION ALL " + _THEMES + ")"
+    + _EMB
+    + f""", u AS (SELECT id, idx, val / sqrt(sum(val * val) OVER (PARTITION BY id)) AS x FROM e), n AS (SELECT * FROM (VALUES {_THEME_NAMES}) v(k, theme)),
+    s AS (SELECT a.id, theme, round(sum(a.x * b.x), 9) AS score FROM u a JOIN u b ON a.idx = b.idx AND a.id >= 0 AND b.id < 0 JOIN n ON n.k = b.id GROUP BY 1, 2),
+    b AS (SELECT id, theme, row_number() OVER (PARTITION BY id ORDER BY score DESC, theme) AS k FROM s WHERE score > 0), own AS (SELECT r.id % 1000 AS bucket, coalesce(theme, 'chore') AS theme FROM r LEFT JOIN b ON b.id = r.id AND b.k = 1 WHERE r.id >= 0)
+    SELECT bucket, theme, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY bucket), 6) AS share FROM own GROUP BY 1, 2""",
+)
 def _(spark, d):
     from tidemark.operators.reports import theme_shares, themes
 
     e = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat_ws(" ", "role", "text").alias("text"))
-    return theme_shares(themes(e).select((F.col("id") % 1000).alias("bucket"), "theme"))
+    return theme_shares(themes(e).select((F.col("id") % 1000).alias("bucket"), "theme")).withColumn("share", F.round("share", 6))
 
 
 @query("event_themes", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'fix' ELSE NULL END AS theme FROM events WHERE event_type = 'error'")

@@ -105,12 +105,12 @@ def _(spark, d):
 @query(
     "snapshot_set_changes",
     C
-    + """, p AS (SELECT path, arg_max(layer, sha) AS v FROM files JOIN commits USING (sha) WHERE year(ts) < 1998 AND sha % 3 = 0 GROUP BY 1), n AS (SELECT path, arg_max(layer, sha) AS v FROM files JOIN commits USING (sha) WHERE year(ts) >= 1998 AND sha % 3 = 0 GROUP BY 1)
-    SELECT path, CASE WHEN p.v IS NULL THEN 'added' ELSE 'removed' END AS change, CASE WHEN p.v IS NULL THEN 0.45 ELSE 0.4 END::DOUBLE AS urgency FROM p FULL JOIN n USING (path) WHERE p.v IS NULL OR n.v IS NULL""",
+    + """, p AS (SELECT path, arg_max(author, sha) AS v FROM files JOIN commits USING (sha) WHERE year(ts) < 1998 GROUP BY 1), n AS (SELECT path, arg_max(author, sha) AS v FROM files JOIN commits USING (sha) WHERE year(ts) >= 1998 GROUP BY 1)
+    SELECT path, CASE WHEN p.v IS NULL THEN 'added' WHEN n.v IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN p.v IS NULL THEN 0.45 WHEN n.v IS NULL THEN 0.4 ELSE 0.55 END::DOUBLE AS urgency FROM p FULL JOIN n USING (path) WHERE p.v IS DISTINCT FROM n.v""",
 )
 def _(spark, d):
-    rows = commit_files(spark, d).join(commits(spark, d).select("sha", "ts"), "sha").filter(F.col("sha") % 3 == 0)
-    half = lambda c: rows.filter(c).groupBy("path").agg(F.max_by("layer", "sha").alias("v"))
+    rows = commit_files(spark, d).join(commits(spark, d).select("sha", "ts", "author"), "sha")
+    half = lambda c: rows.filter(c).groupBy("path").agg(F.max_by("author", "sha").alias("v"))
     return risk.set_changes(half(F.year("ts") < 1998), half(F.year("ts") >= 1998), "path", "v")
 
 
@@ -152,15 +152,9 @@ def _(spark, d):
     return risk.path_pack(the_ledger(spark, d)).select("path", "n", "kinds")
 
 
-@query("frame_expansion", C + RISKS + " SELECT 'frame:risk:' || id AS frame, 'failure_point:' || id || ':' || path AS id, 'failure_point' AS kind, path FROM risks WHERE path IS NOT NULL AND length(path) < 130")
+@query("frame_expansion", C + RISKS + " SELECT 'frame:risk:' || id AS frame, 'failure_point:' || id || ':' || path AS id, 'failure_point' AS kind, path FROM risks WHERE path IS NOT NULL ")
 def _(spark, d):
-    return risk.expand(risk.frames(risks(spark, d)).filter("claim is not null"), the_ledger(spark, d)).filter("path is not null and length(path) < 130")
-
-
-@query("gold_accuracy", "WITH p AS (SELECT doc_id, n_chars >= 300 AS good FROM documents) SELECT quality, count(*) AS n, count(*) FILTER (good = (quality = 1)) AS hits FROM labels JOIN p USING (doc_id) GROUP BY 1")
-def _(spark, d):
-    p = table(spark, d, "documents").select("doc_id", (F.col("n_chars") >= 300).alias("good"))
-    return table(spark, d, "labels").join(p, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("good") == (F.col("quality") == 1)).alias("hits"))
+    return risk.expand(risk.frames(risks(spark, d)).filter("claim is not null"), the_ledger(spark, d)).filter("path is not null")
 
 
 @query(

@@ -15,6 +15,13 @@ WEEK = "CAST(isoyear(ts) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(ts) AS VARC
 RELEASES = """, firsts AS (SELECT year(ts) AS y, min(ts) AS at_ FROM commits GROUP BY 1), rel AS (SELECT 'v' || y AS label, at_ FROM firsts)"""
 
 
+#: Runs of three or more within 14 days of their first: from each place the walk goes on behind the run, or to the next one.
+STORMS = """WITH RECURSIVE ev AS (SELECT CAST(user_id AS VARCHAR) AS repo, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE event_type = 'error'),
+    far AS (SELECT *, max(k) OVER (PARTITION BY repo ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 14 DAYS FOLLOWING) - k + 1 AS n FROM ev),
+    walk AS (SELECT * FROM far WHERE k = 1 UNION ALL SELECT f.* FROM walk w JOIN far f ON f.repo = w.repo AND f.k = w.k + CASE WHEN w.n >= 3 THEN w.n ELSE 1 END),
+    storms AS (SELECT repo, ts, k, n FROM walk WHERE n >= 3)"""
+
+
 def events(spark, d):
     e = table(spark, d, "events")
     return e.select(F.col("event_id").alias("sha"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("churn"), (F.col("event_type") == "error").alias("is_revert"), "user_id")
@@ -106,9 +113,16 @@ def _(spark, d):
     return rounded(series.mann_kendall(_monthly_long(spark, d)), "tau", "slope")
 
 
-@query("trend_labels")
+# Abramowitz and Stegun's formula 7.1.26 for erfc, good to 1.5e-7 (fixed values).
+_P = """, z AS (SELECT mk.*, n, CASE WHEN s > 0 THEN (s - 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18) WHEN s < 0 THEN (s + 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18) ELSE 0 END AS z FROM mk, (SELECT count(*) AS n FROM months)),
+    u AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS w FROM z),
+    tests AS (SELECT id, n, s, w * (0.254829592 + w * (-0.284496736 + w * (1.421413741 + w * (-1.453152027 + w * 1.061405429)))) * exp(-x * x) AS p, sls[m // 2 + 1] AS slope, s / m AS tau FROM u),
+    labels AS (SELECT *, CASE WHEN p >= 0.05 THEN 'flat' WHEN s > 0 THEN 'rising' ELSE 'falling' END AS trend FROM tests)"""
+
+
+@query("trend_labels", C + MONTHS + _MK + _P + " SELECT id, n, s, round(tau, 6) AS tau, round(slope, 6) AS slope, round(p, 5) AS p, trend FROM labels")
 def _(spark, d):
-    return series.with_trend_labels(series.mann_kendall(_monthly_long(spark, d)))
+    return rounded(series.with_trend_labels(series.mann_kendall(_monthly_long(spark, d))), "tau", "slope").withColumn("p", F.round("p", 5))
 
 
 @query("changepoints")
@@ -119,10 +133,15 @@ def _(spark, d):
     return series.changepoints(long)
 
 
-@query("revert_storms")
+@query(
+    "revert_storms",
+    STORMS
+    + """ SELECT s.repo, epoch_us(s.ts) AS first, epoch_us(l.ts) AS last, epoch_us(m.ts) AS "at", s.n, round(least(0.95, 0.55 + 0.05 * s.n), 6)::DOUBLE AS confidence
+    FROM storms s JOIN ev l ON l.repo = s.repo AND l.k = s.k + s.n - 1 JOIN ev m ON m.repo = s.repo AND m.k = s.k + s.n // 2""",
+)
 def _(spark, d):
     e = events(spark, d).filter("is_revert").select(F.col("user_id").cast("string").alias("repo"), "ts")
-    return series.storms(e)
+    return rounded(series.storms(e), "confidence").withColumns({c: F.unix_micros(c) for c in ("first", "last", "at")})
 
 
 @query(
@@ -211,13 +230,6 @@ def _(spark, d):
     return series.path_episodes(table(spark, d, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("pos"), F.col("role").alias("item")))
 
 
-@query("stage_segments")
-def _(spark, d):
-    bounds = releases(spark, d).select(F.lit("r").alias("repo"), "at", F.lit("growth").alias("stage"), (F.lit(0.5) + F.month("at") / 100).alias("confidence"))
-    more = bounds.select("repo", (F.col("at") + F.expr("interval 9 days")).alias("at"), F.lit("maturity").alias("stage"), F.lit(0.55).alias("confidence"))
-    return series.segments(bounds.unionByName(more))
-
-
 @query(
     "branch_trends",
     C

@@ -6,17 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import shared_dir
 from tidemark.plans.registry import query
+from tidemark.plans.series_queries import STORMS
 from tidemark.streaming import jobs
 
 
 def shared(spark) -> str:
-    import tempfile
-
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return f"{jsc.getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark, d):
@@ -37,10 +34,13 @@ def _(spark, d):
     return spark.read.parquet(f"{to}/weeks").select(F.date_format("week", "yyyy-MM-dd").alias("week"), "n", F.round("churn", 4).alias("churn"))
 
 
-@query("storm_stream")
+@query("storm_stream", STORMS + " SELECT repo, epoch_us(ts) AS first, n FROM storms")
 def _(spark, d):
     to = shared(spark)
     reverts = event_stream(spark, d).filter("event_type = 'error'").select("repo", "ts")
-    run = jobs.storms(reverts).writeStream.outputMode("append").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).format("parquet").option("path", f"{to}/storms").start()
+    run = (
+        jobs.storms(reverts).writeStream.outputMode("update").option("checkpointLocation", f"{to}/state")
+        .foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{to}/storms/batch={k}")).trigger(availableNow=True).start()
+    )
     run.awaitTermination()
-    return spark.read.schema(jobs.STORM).parquet(f"{to}/storms")
+    return jobs.newest(spark.read.schema(jobs.STORM).parquet(f"{to}/storms").drop("batch")).select("repo", F.unix_micros("first").alias("first"), "n")

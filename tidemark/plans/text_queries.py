@@ -27,17 +27,12 @@ TOK = "regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{2,}')"
 @query(
     "pattern_lines",
     D
-    + r""", l AS (SELECT path, unnest(list_slice(string_split(text, chr(10)), 1, 5000)) AS text, generate_subscripts(list_slice(string_split(text, chr(10)), 1, 5000), 1) AS line FROM d),
+    + r""", l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),
     p AS (SELECT path, CAST(line AS INTEGER) AS line, CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 0 WHEN regexp_matches(text, 'All rights') THEN 1 WHEN regexp_matches(text, '\d{4}-\d{4}') THEN 2 END AS pattern, text FROM l)
     SELECT * FROM p WHERE pattern IS NOT NULL""",
 )
 def _(spark, d):
-    return texts.matching_lines(docs(spark, d), _PATTERNS, max_lines=5000)  # as the SQL has it
-
-
-@query("debt_markers")
-def _(spark, d):
-    return texts.debt_items(docs(spark, d))
+    return texts.matching_lines(docs(spark, d), _PATTERNS)
 
 
 _PATH = r"regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)?', 1)"
@@ -196,7 +191,7 @@ def _(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text").withColumn("text", F.col("text"))
     qv = texts.unit(texts.hash_embedding(q)).select(F.col("id").alias("item_id"), "idx", F.col("val").alias("q"))
     cv = texts.unit(texts.hash_embedding(chunk))
-    score = cv.join(F.broadcast(qv), "idx").groupBy("item_id", "id").agg(F.sum(F.col("val") * F.col("q")).alias("score"))
+    score = cv.join(qv, "idx").groupBy("item_id", "id").agg(F.sum(F.col("val") * F.col("q")).alias("score"))
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), "id")
     return score.withColumn("rank", F.row_number().over(best)).filter("rank <= 5")
 

@@ -34,31 +34,38 @@ STORM = "repo string, first timestamp, n bigint"
 
 
 def storms(events: DataFrame, days: int = 14, least: int = 3) -> DataFrame:
-    """(repo, first, n) for each run of ``least`` or more reverts within ``days`` of its first; state is dropped once a run is over."""
-    span = pd.Timedelta(days=days)
+    """(repo, first, n) for each run of ``least`` or more reverts within ``days`` of its first, found greedily.
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, n = state.get if state.exists else (None, 0)
-        out = []
-
-        def close():
-            if n >= least:
-                out.append((key[0], pd.Timestamp(first, unit="us"), n))
+    In update mode: a storm is given as soon as it is one, and again whenever a batch adds to it (``newest`` keeps the last),
+    so none waits for the stream to go on. The state of a repo is the times of less than ``least`` reverts, or a storm's
+    first time and number; it is dropped once a run is over. A repo's reverts come in order from batch to batch.
+    """
+    span = int(pd.Timedelta(days=days).total_seconds() * 1_000_000)
 
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, n = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        out: dict[int, int] = {}
         if state.hasTimedOut:
-            close()
             state.remove()
         else:
-            times = pd.concat(list(frames))["ts"].sort_values()
-            for t in times:
-                us = int(t.value // 1000)
-                if n and pd.Timestamp(us, unit="us") - pd.Timestamp(first, unit="us") <= span:
+            for t in (pd.concat(list(frames))["ts"].sort_values().astype("datetime64[us]").astype("int64")).tolist():
+                waiting = [x for x in waiting if t - x <= span]
+                if n >= least and waiting:
                     n += 1
                 else:
-                    close()
-                    first, n = us, 1
-            state.update((first, n))
-            state.setTimeoutTimestamp(max(first // 1000 + int(span.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["repo", "first", "n"])
-
-    return events.withWatermark("ts", f"{days} days").groupBy("repo").applyInPandasWithState(step, STORM, "first bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
+                    waiting.append(t)
+                    n = len(waiting)
+                if n >= least:
+                    waiting = waiting[:1]
+                    out[waiting[0]] = n
+            state.update((waiting, n))
+            state.setTimeoutTimestamp(max((waiting[-1] + span) // 1000, state.getCurrentWatermarkMs()) + 1)
+        if out:
+            yield pd.DataFrame({"repo": [key[0]] * len(out), "first": pd.to_datetime(list(out), unit="us"), "n": list(out.values())})
+
+    return events.withWatermark("ts", f"{days} days").groupBy("repo").applyInPandasWithState(step, STORM, "waiting array<bigint>, n bigint", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def newest(updates: DataFrame) -> DataFrame:
+    """The last state of each storm of a stream of updates."""
+    return updates.groupBy("repo", "first").agg(F.max("n").alias("n"))
