@@ -87,11 +87,13 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[str]], list[int], list[
             linked[block] += len(plain.strip())
 
     split = [False]  # whether the next text starts a new run
+    held: dict[str, int] = {}  # how many elements of each kind are open, so that none is looked for in vain
 
     def close(depth: int) -> None:
         nonlocal hidden, links
         while len(stack) > depth:
             tag, _ = stack.pop()
+            held[tag] -= 1
             hidden -= tag in RAW
             links -= tag == "a"
             if tag in BLOCKS:
@@ -103,12 +105,13 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[str]], list[int], list[
                 close(depth)
                 break
 
+    last = page.rfind(">")
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last else None  # no tag ends behind ``last``
         if stack[-1][0] == "head" and page[at : m.start() if m else n].strip():
             end_head()
         if m is None:
-            text(page[at:])
+            text(page[at:].partition("<!--")[0])  # an open comment hides the rest, all else is text
             break
         text(page[at : m.start()])
         at = m.end()
@@ -117,16 +120,16 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[str]], list[int], list[
             continue
         tag = tag.lower()
         if slash:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1 if held.get(tag) else 0, 0, -1):
                 if stack[depth][0] == tag:
                     close(depth)
                     break
                 if stack[depth][0] in ("table", "article", "main", "body") and tag not in BLOCKS:
                     break
             continue
-        if tag not in _IN_HEAD and (stack[-1][0] == "head" or tag == "body"):
+        if tag not in _IN_HEAD and (stack[-1][0] == "head" or tag == "body") and held.get("head"):
             end_head()
-        if tag in BLOCKS:
+        if tag in BLOCKS and held.get("svg"):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] in _SVG_HTML or stack[depth][0] in BLOCKS:
                     break
@@ -143,7 +146,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[str]], list[int], list[
                     split[0] = True
                 text(" ")
             continue
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and held.get("p"):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == "p":
                     close(depth)
@@ -152,7 +155,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[str]], list[int], list[
                     break
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1 if any(held.get(t) for t in ends) else 0, 0, -1):
                 if stack[depth][0] in stops:
                     break
                 if stack[depth][0] in ends:
@@ -168,6 +171,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[str]], list[int], list[
         if attrs.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         stack.append((tag, block))
+        held[tag] = held.get(tag, 0) + 1
         hidden += tag in RAW
         links += tag == "a"
     return blocks, own, linked, [(b, " ".join("".join(p).split())) for b, p in runs]
@@ -185,17 +189,21 @@ _TAGS = {t: t for t in "p li td div section article main aside nav header footer
 _NAME = re.compile(r"[a-z]+")
 
 
-def block_features(block: Block, text: str, linked: int, depth: int) -> list[str]:
+def block_features(block: Block, text: str, linked: int, depth: int, below: tuple[int, int] = (0, 0)) -> list[str]:
+    """``below``: letters of the block and all within it, and how many of them are links."""
     names = set(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", block.names).lower()))
     size = len(text)
     share = linked / size if size else 0.0
     kind = _TAGS.get(block.tag, "other")
     length = "none" if not size else "short" if size < 25 else "line" if size < 80 else "some" if size < 250 else "long"
     out = ["bias", f"tag={kind}", f"length={length}", f"{kind}:{length}"]
-    out += ["outer"] * bool(names & OUTER) + ["inner"] * bool(names & INNER and not names & OUTER) + ["reader"] * bool(names & COMMENT)
+    out += ["outer"] * bool(names & OUTER and not names & INNER) + ["inner"] * bool(names & INNER and not names & OUTER) + ["reader"] * bool(names & COMMENT)
     if size:
-        out.append("links=" + ("most" if share > 0.6 else "many" if share > 0.25 else "few"))
+        out.append("links=" + ("most" if share > 0.6 else "many" if share > 0.25 else "few" if linked else "none"))
         out += ["stop"] * (text[-1:] in ".!?…\"”»") + ["rights"] * ("©" in text[:40])
+    if below[0]:
+        lies = below[1] / below[0]
+        out.append(f"{kind}:below=" + ("links" if lies > 0.6 else "mixed" if lies > 0.25 else "text"))
     return out + ["deep"] * (depth > 8)
 
 
@@ -212,10 +220,15 @@ class Tree(NamedTuple):
 
 def tree_of(blocks: list[Block], own: list[list[str]], linked: list[int]) -> Tree:
     depth = [0] * len(blocks)
+    texts = [" ".join("".join(x).split()) for x in own]
+    below = [[len(t), k] for t, k in zip(texts, linked, strict=True)]
+    for i in range(len(blocks) - 1, 0, -1):
+        for j in (0, 1):
+            below[blocks[i].parent][j] += below[i][j]
     features = []
     for i, b in enumerate(blocks):
         depth[i] = depth[b.parent] + 1 if i else 0
-        features.append(block_features(b, " ".join("".join(own[i]).split()), linked[i], depth[i]))
+        features.append(block_features(b, texts[i], linked[i], depth[i], (below[i][0], below[i][1])))
     return Tree([b.parent for b in blocks], features, [_PAIR.get(b.tag, "other") for b in blocks], [b.label for b in blocks])
 
 
@@ -299,6 +312,25 @@ def _short_page(i: int) -> str:
 
 
 PAGES += [_short_page(i) for i in range(44)]
+# Pages of other make-up: short items and steps in articles, tables, headers within, no usual frame.
+_ITEMS = ("One egg", "Two cups of flour", "Salt", "A spoon of butter", "Warm milk")
+_STEPS = ("Mix the flour and the salt.", "Add <a href='/milk'>warm milk</a>", "<a href='/knead'>Knead the dough</a>", "Bake it.")
+
+
+def _other_page(i: int) -> str:
+    listed = "".join(f"<li>{x}</li>" for x in _ITEMS[: 2 + i % 4])
+    steps = "".join(f"<li>{x}</li>" for x in _STEPS[: 2 + i % 3])
+    parts = (f"<ul>{listed}</ul>", f"<p>{_LINE}</p><ul>{listed}</ul><ol>{steps}</ol>", f"<header data-main><h1>{_BITS[i % 4]}</h1></header><ol>{steps}</ol><p>{_MORE}</p>", f"<h2>{_BITS[(i + 1) % 4]}</h2><p>{_LONG}</p><dl><dt>Serves</dt><dd>Four</dd></dl><ul>{listed}</ul>")
+    notice = (f"<form data-rest><p>{_BITS[i % 3]}</p><input></form>", "", f"<div class='notice' data-rest><p>{_LINE}</p></div>", "")[i % 4]
+    name = ("", " class='post-header-wide'", " class='entry share-open'", " id='story'")[i // 2 % 4]
+    tag = ("article", "main", "article", "div class='content'")[i % 4] if not name else ("article", "main")[i % 2]
+    main = f"<{tag}{name} data-main><h1>{_BITS[(i + 2) % 4]}</h1>{parts[i % 4]}{notice}</{tag.split()[0]}>"
+    before = (f"<div id=top>{_MENU}</div>", f"<header><p>The Post</p><ul><li><a href='/'>Home</a><li><a href='/b'>Bread</a></ul></header>", "", f"<nav><a href='/'>Home</a> <a href='/x'>All recipes</a></nav>")[i % 4]
+    after = (f"<section class='related'><ul><li><a href='/r'>{_LINE}</a></li><li><a href='/s'>Soups</a></li></ul></section>", "<footer><ul><li><a href='/i'>Imprint</a></li><li><a href='/p'>Privacy</a></li></ul></footer>", "<aside><h3>Popular</h3><ul><li><a href='/q'>Quick bread</a></li></ul></aside>", "")[i // 3 % 4]
+    return f"<body data-rest>{before}{main}{after}"
+
+
+PAGES += [_other_page(i) for i in range(24)]
 # Fragments without the page around them.
 PAGES += [f"<article data-main>{''.join(f'<p>{w}</p>' for w in _BITS[i : i + 1 + i % 3])}</article>" for i in range(len(_BITS))]
 PAGES += [f"<nav>{_MENU}</nav><main data-main><h1>{_BITS[i]}</h1><p>{_BITS[i + 1]}</main><footer>{_BITS[i + 2]}</footer>" for i in range(0, 8, 2)]
