@@ -23,6 +23,10 @@ import numpy as np
 MARK = "▁"
 
 
+#: So many pairs of pieces are remembered in a worker; beyond, all are forgotten.
+REMEMBERED = 1 << 21
+
+
 class Pieces:
     """A model's vocabulary: piece -> id, scores, and the byte pieces for letters that have none."""
 
@@ -99,6 +103,8 @@ class Pieces:
     def stay_apart(self, left: str, right: str) -> bool:
         known = self.apart.get((left, right))
         if known is None:
+            if len(self.apart) >= REMEMBERED:
+                self.apart.clear()
             known = self.apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
