@@ -29,7 +29,10 @@ def entropy(counts: DataFrame, column: str, name: str = "entropy") -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).agg(F.coalesce(-F.sum(p * F.log2(p + TINY)), F.lit(0.0)).alias(name))
 
 
-def hot_files(files: DataFrame, limit: int | None = 15) -> DataFrame:
+def hot_files(files: DataFrame, limit: int | None = 15, endings: tuple[str, ...] = ()) -> DataFrame:
+    """The most touched files; with ``endings``, of those whose path has one of them, in any case."""
+    if endings:
+        files = files.filter(reduce(lambda a, b: a | b, [F.lower("path").endswith(e.lower()) for e in endings]))
     ranked = touch_counts(files).orderBy(F.desc("touches"), "path")
     return ranked.limit(limit) if limit else ranked
 

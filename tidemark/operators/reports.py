@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, metrics, series, texts, traces
+from tidemark.operators import graph, metrics, series, taxonomy, texts, traces
 
 # What each theme sounds like (fixed values).
 THEMES = {
@@ -169,3 +169,14 @@ def regime_checks(months: DataFrame, points: DataFrame, pieces: DataFrame) -> Da
     one = one.crossJoin(pieces.agg(F.count("*").alias("pieces"), F.count_if(F.col("stage").isin("disturbance", "decline")).alias("cool")))
     checks = {"months": F.col("months") >= 12, "changepoint": F.col("points") >= 1, "upward": F.col("up") >= 1, "cooling": F.col("cool") >= 1, "stages": F.col("pieces").between(5, 11)}
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("ok")) for k, v in checks.items()])).alias("c")).select("c.*")
+
+
+def attention_rank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = 3, per_family: int = 4, limit: int = 12, tau_hours: float = 24.0) -> DataFrame:
+    """(id, kind, family, attention): what spreads from the seeds (id, value) to nodes (id, kind, age_hours), older ones less.
+
+    A list of at most ``per_family`` nodes of a family and ``limit`` in all. A null age: no decay. Pass only nodes whose window is open.
+    """
+    heat = graph.spreading(edges, seeds, max(2, rounds))
+    decay = F.coalesce(1 / (1 + F.greatest(F.lit(0.0), F.col("age_hours")) / max(1.0, tau_hours)), F.lit(1.0))
+    scored = heat.join(nodes, "id").select("id", "kind", F.coalesce(graph.family_of(F.col("kind")), F.col("kind")).alias("family"), F.round(F.col("value") * decay, 9).alias("attention"))
+    return taxonomy.capped(scored, "family", [F.desc("attention"), F.col("id")], per_family, limit)

@@ -132,11 +132,11 @@ def new_critical(current: DataFrame, previous: DataFrame, least: float = 0.85) -
     return c.join(p.select("kind", F.col("path").alias("_p")), (c["kind"] == p["kind"]) & c["path"].eqNullSafe(F.col("_p")), "left_anti")
 
 
-def gate(stability: DataFrame, fresh: DataFrame, fatigue: DataFrame, min_stability: float = 0.35, max_fatigue: float = 0.75, max_new: int = 0) -> DataFrame:
-    """One row: passed, failures and warnings."""
+def gate(stability: DataFrame, fresh: DataFrame, fatigue: DataFrame, min_stability: float = 0.35, max_fatigue: float = 0.75, max_new: int = 0, baseline: bool = False, max_baseline: int = 12) -> DataFrame:
+    """One row: passed, failures and warnings. In a baseline run ``fresh`` holds all critical points; more than ``max_baseline`` warn, none fail."""
     one = stability.crossJoin(fatigue).crossJoin(fresh.agg(F.count("*").alias("new_p0")))
-    fails = F.array_compact(F.array(F.when(F.col("code_stability") < min_stability, F.lit("stability")), F.when(F.col("new_p0") > max_new, F.lit("new_p0"))))
-    warns = F.array_compact(F.array(F.when(F.col("fatigue") > max_fatigue, F.lit("fatigue"))))
+    fails = F.array_compact(F.array(F.when(F.col("code_stability") < min_stability, F.lit("stability")), F.when(~F.lit(baseline) & (F.col("new_p0") > max_new), F.lit("new_p0"))))
+    warns = F.array_compact(F.array(F.when(F.col("fatigue") > max_fatigue, F.lit("fatigue")), F.when(F.lit(baseline) & (F.col("new_p0") > max_baseline), F.lit("baseline"))))
     return one.select((F.size(fails) == 0).alias("passed"), F.array_join(fails, ",").alias("failures"), F.array_join(warns, ",").alias("warnings"), "new_p0")
 
 

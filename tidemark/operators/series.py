@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -177,22 +178,23 @@ def cusum(values: np.ndarray, factor: float = 1.5, min_seg: int = 3) -> list[int
     return out
 
 
-def changepoints(series: DataFrame, finder: Callable[[np.ndarray], list[int]] | None = None) -> DataFrame:
+def changepoints(series: DataFrame, finder: Callable[[np.ndarray], list[int]] | None = None, min_seg: int = 3) -> DataFrame:
     """(id, t, index, direction, magnitude, before_mean, after_mean) of rows (id, t, x), one task per series.
 
-    Means are over the whole prefix and suffix; weak changes and those at the margins are left out.
+    Means are over the whole prefix and suffix; weak changes and those within ``min_seg`` of an end are left out. A change is
+    weak under 0.15 of the series' mean (1 at least), or of a series of reverts, whose id starts so, under 0.25.
     """
     find = finder or (lambda v: sorted({*binary_segmentation(v), *cusum(v)}))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         x, rows = pdf["x"].to_numpy(float), []
-        margin = 0.25 if str(pdf["id"].iloc[0]).startswith("revert") else 0.15
+        margin = 0.25 if str(pdf["id"].iloc[0]).startswith("revert") else 0.15 * max(1.0, float(x.mean()))
         for i in find(x):
-            if not 2 <= i <= len(x) - 2:
+            if not min_seg <= i <= len(x) - min_seg:
                 continue
             before, after = float(x[:i].mean()), float(x[i:].mean())
-            if abs(after - before) >= margin * max(1.0, float(x.mean())):
+            if abs(after - before) >= margin:
                 rows.append((pdf["id"].iloc[0], pdf["t"].iloc[i], i, "up" if after > before else "down", abs(after - before), before, after))
         return pd.DataFrame(rows, columns=["id", "t", "index", "direction", "magnitude", "before_mean", "after_mean"])
 
@@ -220,10 +222,23 @@ def storms(events: DataFrame, days: int = 14, least: int = 3) -> DataFrame:
     return events.select("repo", "ts").groupBy("repo").applyInPandas(run, "repo string, first timestamp, last timestamp, at timestamp, n bigint, confidence double")
 
 
-def segments(bounds: DataFrame, days: int = 14) -> DataFrame:
+def changepoint_bounds(points: DataFrame, most: int = 8, confidence: float = 0.45) -> DataFrame:
+    """(repo, at, stage, confidence) of the ``most`` greatest changepoints (repo, id, t, direction, magnitude) of each repository.
+
+    Equal magnitudes: the earlier stays, then the lesser id.
+    """
+    up, reverts = F.col("direction") == "up", F.col("id").startswith("revert")
+    down = ~up & F.col("id").isin("commits", "churn")
+    stage = F.when(up & reverts, "disturbance").when(down, "consolidation").when(~up & (F.col("id") == "authors"), "decline").otherwise("growth")
+    rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("magnitude"), "t", "id"))
+    return points.withColumn("_r", rank).filter(F.col("_r") <= most).select("repo", F.col("t").cast("timestamp").alias("at"), stage.alias("stage"), F.lit(confidence).alias("confidence"))
+
+
+def segments(bounds: DataFrame, days: int = 14, spans: DataFrame | None = None) -> DataFrame:
     """(repo, start, end, stage, confidence): bounds (repo, at, stage, confidence) closer than ``days`` merge, the surer stays.
 
-    A fold over each repository's sorted bounds; they are anchors and a few changepoints, never raw rows.
+    A fold over each repository's sorted bounds; they are anchors and a few changepoints, never raw rows. With spans
+    (repo, first, last) of all commits, a pioneer segment leads where the first bound lies over a week in, and the last one ends with the span.
     """
     item = "struct<at:timestamp,stage:string,confidence:double>"
     ordered = bounds.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("at", "stage", "confidence"))).alias("b"))
@@ -237,7 +252,14 @@ def segments(bounds: DataFrame, days: int = 14) -> DataFrame:
 
     merged = ordered.select("repo", F.aggregate("b", F.array().cast(f"array<{item}>"), step).alias("b")).select("repo", F.posexplode("b").alias("k", "x")).select("repo", "k", "x.*")
     end = F.coalesce(F.lead("at").over(Window.partitionBy("repo").orderBy("k")), F.col("at") + F.expr("interval 1 day"))
-    return merged.select("repo", F.col("at").alias("start"), F.greatest(end, F.col("at") + F.expr("interval 1 day")).alias("end"), "stage", "confidence")
+    out = merged.select("repo", F.col("at").alias("start"), F.greatest(end, F.col("at") + F.expr("interval 1 day")).alias("end"), "stage", "confidence")
+    if spans is None:
+        return out
+    own = Window.partitionBy("repo")
+    placed = out.join(spans, "repo").withColumns({"_head": F.min("start").over(own), "_tail": F.max("start").over(own)})
+    closed = placed.withColumn("end", F.when(F.col("start") == F.col("_tail"), F.when(F.col("last") > F.col("start"), F.col("last")).otherwise(F.col("end"))).otherwise(F.col("end")))
+    lead = closed.filter((F.col("start") == F.col("_head")) & (F.col("start") > F.col("first") + F.expr("interval 7 days")))
+    return closed.select(*out.columns).unionByName(lead.select("repo", F.col("first").alias("start"), F.col("start").alias("end"), F.lit("pioneer").alias("stage"), F.lit(0.55).alias("confidence")))
 
 
 def nearest_within(events: DataFrame, points: DataFrame, days: int = 45) -> DataFrame:
@@ -284,6 +306,30 @@ def path_episodes(rows: DataFrame, gap: int = 5) -> DataFrame:
     )
 
 
+def file_episodes(touches: DataFrame, gap: int = 5) -> DataFrame:
+    """(path, episode, touches, churn, first_sha, last_sha, clade) of touches (path, ts, sha, churn, clade).
+
+    Groups of ``gap`` touches of a path in order of time, then sha; the clade is the last touch's, else the first's.
+    """
+    place = F.row_number().over(Window.partitionBy("path").orderBy("ts", "sha"))
+    at = F.struct("ts", "sha")
+    got = touches.withColumn("episode", F.floor((place - 1) / gap)).groupBy("path", "episode").agg(
+        F.count("*").alias("touches"), F.sum("churn").alias("churn"), F.min_by("sha", at).alias("first_sha"), F.max_by("sha", at).alias("last_sha"),
+        F.coalesce(F.max_by("clade", at), F.min_by("clade", at)).alias("clade"),
+    )
+    return got
+
+
+def dominant_responses(samples: DataFrame, events: DataFrame, *columns: str, horizon: int = 3) -> DataFrame:
+    """(label, coordinate, response, confidence): which of the columns of monthly samples moves most after each event.
+
+    Equal moves: the coordinate named first.
+    """
+    each = [impulse_responses(samples, events, c, horizon).select("label", F.lit(c).alias("coordinate"), F.lit(-k).alias("_k"), "response", "confidence") for k, c in enumerate(columns)]
+    most = F.max_by(F.struct("coordinate", "response", "confidence"), F.struct(F.abs("response"), "_k"))
+    return reduce(DataFrame.unionByName, each).groupBy("label").agg(most.alias("s")).select("label", "s.*")
+
+
 def hit_rate(points: DataFrame, events: DataFrame, days: int = 45) -> DataFrame:
     """One row: the share of points in time with an event within ``days``."""
     near = nearest_within(points.select(F.col("at").cast("string").alias("label"), "at"), events, days)

@@ -180,6 +180,39 @@ def kmeans_step(vectors: DataFrame, centroids: DataFrame) -> tuple[DataFrame, Da
     return best, fresh
 
 
+def _similarities(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(id, v, sims): every vector's cosines with the k centroids as (score, -cluster), greatest first. No vector is shuffled."""
+    all_of = centroids.agg(F.collect_list(F.struct("cluster", "c")).alias("_cs"))  # one row of k centroids
+    norm = lambda v: F.sqrt(dot(v, v))
+    cos = lambda x: dot(F.col("v"), x["c"]) / (norm(F.col("v")) * norm(x["c"]))
+    sims = F.transform("_cs", lambda x: F.struct(cos(x).alias("score"), (-x["cluster"]).alias("m")))
+    return vectors.crossJoin(F.broadcast(all_of)).select("id", "v", F.sort_array(sims, asc=False).alias("sims"))
+
+
+def kmeans(vectors: DataFrame, seeds: DataFrame, rounds: int = 15) -> tuple[DataFrame, DataFrame]:
+    """(id, cluster) of vectors (id, v) after ``rounds`` rounds by cosine, and the centroids (cluster, c), from seeds (cluster, c).
+
+    A round reads the vectors once and shuffles sums of components, k times the dimensions a task. A cluster without vectors keeps
+    its centroid; ties go to the smaller cluster. Vectors are neither null nor zero.
+    """
+    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(dot(c, c)))
+    cents = cut(seeds.select("cluster", unit(F.col("c").cast("array<double>")).alias("c")), "centroids")
+    best = None
+    for _ in range(rounds):
+        best = _similarities(vectors, cents).select("id", "v", (-F.col("sims")[0]["m"]).alias("cluster"))
+        sums = best.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+        fresh = sums.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("_new"))
+        cents = cut(cents.join(fresh, "cluster", "left").select("cluster", F.coalesce(unit(F.col("_new")), F.col("c")).alias("c")), "centroids")
+    return best.select("id", "cluster"), cents
+
+
+def soft_confidence(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(id, cluster, confidence): .55 of the best similarity and .45 of its lead over the next one plus .2, between 0 and 1."""
+    best, second = F.col("sims")[0]["score"], F.coalesce(F.get("sims", F.lit(1))["score"], F.lit(0.0))
+    score = 0.55 * best + 0.45 * (best - second + 0.2)
+    return _similarities(vectors, centroids).select("id", (-F.col("sims")[0]["m"]).alias("cluster"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("confidence"))
+
+
 def duplicate_blobs(files: DataFrame) -> DataFrame:
     """(blob, n, first): contents that several files (path, text) share."""
     return files.groupBy(F.sha2("text", 256).alias("blob")).agg(F.count("*").alias("n"), F.min("path").alias("first")).filter("n > 1")
