@@ -48,6 +48,35 @@ def scalar_point(one: DataFrame, kind: str, when: Column, severity: Column) -> D
     return points(one.filter(when), kind, severity, None)
 
 
+def log_points(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, kind, path, severity): failure points of whole logs, a row each, from their scores; a null score makes none.
+
+    Columns: prod_touches, test_touches, dependency_rate, fragility, mastery_drop, fatigue, load_index, pressure.
+    """
+    c = F.col
+    rules = {
+        "test_gap": ("(repository)", (c("prod_touches") > 20) & (c("test_touches") < 0.25 * c("prod_touches")), F.lit(0.7)),
+        "dependency_shock": ("(manifests/lockfiles)", c("dependency_rate") > 0.12, 3 * c("dependency_rate")),
+        "dependency_fragility": ("(supply chain)", c("fragility") >= 0.4, 0.35 + c("fragility")),
+        "offboarding_risk": ("(knowledge)", c("mastery_drop") >= 0.35, 0.4 + c("mastery_drop")),
+        "sprint_fatigue": ("(work rhythm)", c("fatigue") >= 0.45, 0.4 + c("fatigue")),
+        "cognitive_load": ("(attention / ownership)", c("load_index") >= 0.5, 0.35 + c("load_index")),
+        "selection_pressure": ("(github issues/prs)", c("pressure") >= 0.35, 0.4 + c("pressure")),
+    }
+    made = [F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(path).alias("path"), F.least(F.lit(1.0), s.cast("double")).alias("severity"))) for kind, (path, when, s) in rules.items()]
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*made))).alias("p")).select(*keys, "p.*")
+
+
+def owner_points(single: DataFrame) -> DataFrame:
+    """Hot files (path) that one author alone touches."""
+    return points(single, "bus_factor", F.lit(0.55))
+
+
+def smell_points(found: DataFrame) -> DataFrame:
+    """Failure points of smells (smell, severity), each under its own name."""
+    return found.select(F.col("smell").alias("kind"), F.lit("(arch)").alias("path"), F.when(F.col("severity") == "high", 0.75).otherwise(0.5).alias("severity"))
+
+
 def rank_points(*kinds: DataFrame, limit: int | None = None) -> DataFrame:
     """(id, kind, path, severity, priority): the gravest of each kind and path, in order of severity; W1 is the first.
 
