@@ -2,7 +2,8 @@
 
 import hashlib
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -94,3 +95,73 @@ def groups(rows):
     for k, v in rows:
         out[k].append(v)
     return out
+
+
+def runs(words):
+    """All (start, period, length) of a list of words: every period, every maximal stretch; the smallest period of each stretch."""
+    n, out = len(words), {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(6, 4 * q):
+                out.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted((s, q, length) for (s, length), q in out.items())
+
+
+def planted_words(doc_id, text):
+    words = WORD.findall(text or "")
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    return words
+
+
+def periodic_runs(doc_id, text):
+    words = planted_words(doc_id, text)
+    found, gone = runs(words), set()
+    for s, q, length in found:
+        gone |= set(range(s + q, s + length))
+    best = min(((-length, s, q) for s, q, length in found), default=None)
+    said = "".join(f"{s},{length},{q}\n" for s, q, length in found)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    top = (None, None, None, None) if best is None else (best[1], -best[0], best[2], 1000 * -best[0] // best[2])
+    return (len(found), *top, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def spelling_variants(docs, every=199, least_length=6, least_count=5, ratio=5):
+    """(doc_id, text) -> {word: (form, root, n, n_near, form_n)}, comparing each word with all others of nearly its length."""
+    counts = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'null' if i is None else i}:{run}".encode())
+            if every and h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= least_length and c >= least_count}
+
+    def one_apart(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) - len(a) > 1 or a == b:
+            return False
+        k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+        return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
+
+    near = {w: [x for x in n if one_apart(w, x)] for w in n}
+    form = {w: min(((-n[x], x) for x in near[w] if n[x] >= ratio * n[w]), default=(0, None))[1] for w in n}
+    form = {w: f if f == min(((-n[x], x) for x in near[w]), default=(0, None))[1] else None for w, f in form.items()}
+    out = {}
+    for w in n:
+        last = w
+        while form[last] is not None:
+            last = form[last]
+        out[w] = (form[w], last, n[w], len(near[w]), n[form[w]] if form[w] else None)
+    return out

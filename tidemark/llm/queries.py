@@ -78,6 +78,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.spelling_variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), least_length=6, least_count=5, every=199, ratio=5)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.periodic_runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_exact_topk": op2_exact_topk,
@@ -89,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_token_files": op11_token_files,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -120,4 +141,30 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM (SELECT doc_id FROM documents) LEFT JOIN sums USING (doc_id)""",
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                                 lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+        runs AS (SELECT doc_id, r, count(*) AS n
+                 FROM (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+                                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents)
+                 GROUP BY doc_id, r),
+        bytes AS (SELECT r, n, flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END
+                                        FOR x IN string_split(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || r, '')]) AS b FROM runs),
+        hashed AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295, [CAST(x AS BIGINT) FOR x IN b]),
+                                    lambda c, x: xor(c >> 8, steps[xor(c & 255, x) + 1])), 4294967295) AS h FROM bytes, crc),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n
+                  FROM (SELECT CASE WHEN h % 199 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, n FROM hashed)
+                  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        less AS (SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+                 UNION SELECT word, rest FROM less WHERE rest IN (SELECT word FROM words)
+                 UNION SELECT rest, word FROM less WHERE rest IN (SELECT word FROM words)),
+        best AS (SELECT near.word, count(*) AS n_near, min({'m': -words.n, 'w': other}) AS b
+                 FROM near JOIN words ON words.word = other GROUP BY near.word),
+        forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 5 * n THEN b.w END AS form,
+                         CASE WHEN -b.m >= 5 * n THEN -b.m END AS form_n FROM words LEFT JOIN best USING (word)),
+        ways AS (SELECT word, word AS root FROM forms
+                 UNION ALL SELECT ways.word, forms.form FROM ways JOIN forms ON forms.word = ways.root WHERE forms.form IS NOT NULL)
+        SELECT forms.word, forms.form, ways.root, forms.n, forms.n_near, forms.form_n
+        FROM forms JOIN ways USING (word) JOIN forms last ON last.word = ways.root AND last.form IS NULL""",
 }
