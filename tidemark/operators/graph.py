@@ -209,32 +209,6 @@ def open_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("valid_to").isNull() | (F.col("valid_to").cast("string") == ""))
 
 
-def fitch(tree: DataFrame, states: DataFrame) -> tuple[DataFrame, int]:
-    """((id, set) of every node, parsimony steps) for a rooted tree (id, parent) with leaf states (id, state).
-
-    Level by level from the deepest: a parent takes its children's common states, or all of them at the cost of a step
-    for each child beyond the largest agreement of two.
-    """
-    depth = generations(tree.filter("parent is not null"), tree.select("id")).select("id", F.col("generation").alias("depth"))
-    levels = cut(tree.join(depth, "id"), "tree")
-    top = levels.agg(F.max("depth")).first()[0] or 0
-    sets = cut(states.groupBy("id").agg(F.array_sort(F.collect_set("state")).alias("set")), "sets")
-    steps = 0
-    for level in range(int(top), 0, -1):
-        kids = levels.filter(F.col("depth") == level).join(sets, "id").select("parent", "id", "set")
-        folded = kids.groupBy("parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "set"))), lambda s: s["set"]).alias("sets"))
-        start = F.struct(F.element_at("sets", 1).alias("s"), F.lit(0).alias("n"))
-
-        def join(acc: Column, x: Column) -> Column:
-            common = F.array_intersect(acc["s"], x)
-            return F.when(F.size(common) > 0, F.struct(common.alias("s"), acc["n"].alias("n"))).otherwise(F.struct(F.array_sort(F.array_union(acc["s"], x)).alias("s"), (acc["n"] + 1).alias("n")))
-
-        up = cut(folded.select(F.col("parent").alias("id"), F.aggregate(F.slice("sets", 2, F.size("sets")), start, join).alias("r")).select("id", F.col("r.s").alias("set"), F.col("r.n").alias("n")), "level")
-        steps += up.agg(F.sum("n")).first()[0] or 0
-        sets = sets.join(up.select("id"), "id", "left_anti").unionByName(up.select("id", "set"))
-    return sets, int(steps)
-
-
 def observed_length(tree: DataFrame, states: DataFrame) -> DataFrame:
     """One row: edges of a coded tree whose ends differ."""
     up = states.select(F.col("id").alias("parent"), F.col("state").alias("above"))
