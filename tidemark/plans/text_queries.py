@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import texts
+from tidemark.operators import retrieval, texts
 from tidemark.operators.taxonomy import first_rule
 from tidemark.plans.registry import query
 from tidemark.plans.testmap import table
@@ -182,18 +182,65 @@ def _(spark, d):
     return presence_shift(terms).withColumns({c: F.round(c, 6) for c in ("early", "late", "shift")})
 
 
-@query("retrieve_chunks")
+# Chunks of lines: from a first line on to the first one that may end it, and on from the last lines that make 80 letters.
+_CHUNKS = r""", ln AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text <> ''),
+    li AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY path ORDER BY i) AS p, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' OR regexp_matches(line, '^\s*(def |class |function |export |pub )') AS stop FROM ln),
+    ba AS (SELECT a.path, a.i, a.line, a.stop, a.p, a.p - length(a.line) - 1 AS before, (SELECT max(b.i) FROM li b WHERE b.path = a.path AND b.i <= a.i AND a.p - (b.p - length(b.line) - 1) >= 80) AS back FROM li a),
+    steps AS (SELECT path, 1 AS i, 1 AS first, 0::HUGEINT AS base, p, stop, back, p >= 700 AND (p >= 980 OR stop) AS ends FROM ba WHERE i = 1
+      UNION ALL SELECT n.path, n.i, x.first, f.before, n.p, n.stop, n.back, n.p - f.before >= 700 AND (n.p - f.before >= 980 OR n.stop)
+      FROM (SELECT path, i, CASE WHEN ends THEN greatest(first, coalesce(back, first)) ELSE first END AS first FROM steps) x JOIN ba n ON n.path = x.path AND n.i = x.i + 1 JOIN ba f ON f.path = x.path AND f.i = x.first),
+    spans AS (SELECT path, first, i AS last, false AS rest FROM steps WHERE ends UNION ALL
+      SELECT path, CASE WHEN ends THEN greatest(first, coalesce(back, first)) ELSE first END, i, true FROM steps s WHERE i = (SELECT max(i) FROM li WHERE li.path = s.path)),
+    bodies AS (SELECT s.path, s.first, s.last, s.rest, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM spans s JOIN ln ON ln.path = s.path AND i BETWEEN s.first AND s.last GROUP BY 1, 2, 3, 4),
+    nu AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rest, last) - 1 AS ix FROM bodies WHERE body <> ''),
+    ch AS (SELECT path || ':' || ix || ':' || substr(sha1(path || ':' || ix || ':' || substr(body, 1, 80)), 1, 12) AS id, path, ix AS index, first, last, 'FILE ' || path || ' L' || first || '-' || last || chr(10) || body AS text FROM nu)"""
+_NEAR = """, sq AS (SELECT id, sum(val * val) AS nn FROM e GROUP BY 1),
+    dots AS (SELECT a.id AS query_id, b.id, sum(a.val * b.val) AS dot FROM e a JOIN e b USING (idx) WHERE a.id IN (SELECT id FROM qs) AND b.id IN (SELECT id FROM ch) GROUP BY 1, 2),
+    cos AS (SELECT query_id, dots.id, CAST(dot AS DOUBLE) / sqrt(CAST(x.nn AS DOUBLE) * CAST(y.nn AS DOUBLE)) AS score FROM dots JOIN sq x ON x.id = query_id JOIN sq y ON y.id = dots.id),
+    zero AS (SELECT x.id AS query_id, y.id, 0.0::DOUBLE AS score FROM sq x JOIN sq y ON x.id IN (SELECT id FROM qs) AND y.id IN (SELECT id FROM ch) WHERE NOT EXISTS (FROM dots WHERE query_id = x.id AND dots.id = y.id)),
+    ra AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM (FROM cos UNION ALL FROM zero))"""
+
+
+@query("line_chunks", D.replace("WITH", "WITH RECURSIVE") + _CHUNKS + " SELECT id, path, index, first, last, sha256(text) AS sha FROM ch")
 def _(spark, d):
-    """Chunks of documents most similar to each benchmark passage, by sparse hash vectors."""
-    from pyspark.sql import Window
+    return retrieval.line_chunks(docs(spark, d)).select("id", "path", "index", "first", "last", F.sha2("text", 256).alias("sha"))
 
-    chunk = texts.chunks(docs(spark, d)).withColumn("id", F.concat("path", F.lit(":"), F.col("index").cast("string")))
-    q = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text").withColumn("text", F.col("text"))
-    qv = texts.unit(texts.hash_embedding(q)).select(F.col("id").alias("item_id"), "idx", F.col("val").alias("q"))
-    cv = texts.unit(texts.hash_embedding(chunk))
-    score = cv.join(qv, "idx").groupBy("item_id", "id").agg(F.sum(F.col("val") * F.col("q")).alias("score"))
-    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "id")
-    return score.withColumn("rank", F.row_number().over(best)).filter("rank <= 5")
+
+@query(
+    "retrieve_chunks",
+    D.replace("WITH", "WITH RECURSIVE")
+    + _CHUNKS
+    + ", qs AS (SELECT 'q' || item_id AS id, text FROM benchmark), r AS (SELECT id, text FROM ch UNION ALL SELECT id, text FROM qs)"
+    + _EMB
+    + _NEAR
+    + " SELECT query_id, CAST(k AS INTEGER) AS rank, ra.id, path, first, last, round(score, 6) AS score FROM ra JOIN ch ON ch.id = ra.id WHERE k <= 5",
+)
+def _(spark, d):
+    """Chunks of documents most similar to each benchmark passage."""
+    q = table(spark, d, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), "text")
+    return retrieval.retrieve(retrieval.line_chunks(docs(spark, d)), q, 5).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "clade_evidence",
+    D.replace("WITH", "WITH RECURSIVE")
+    + _CHUNKS
+    + """, own AS (SELECT source || '/' || doc_id AS path, source || '-' || coalesce(lang, 'none') AS clade FROM documents),
+    fi AS (SELECT *, row_number() OVER (PARTITION BY clade ORDER BY path) AS i FROM own),
+    qs AS (SELECT clade AS id, 'taxonomy role for clade ' || clade || ' labeled ' || clade || ' type ' || max(split_part(path, '/', 1)) || ' layer  files ' || string_agg(path, ' ' ORDER BY path) FILTER (i <= 12) AS text FROM fi GROUP BY clade),
+    r AS (SELECT id, text FROM ch UNION ALL SELECT id, text FROM qs)"""
+    + _EMB
+    + _NEAR
+    + """, soft AS (SELECT query_id, ch.id, ch.path, first, last, CASE WHEN own.path IS NULL THEN score * 0.55::DOUBLE ELSE score END AS score
+      FROM ra JOIN ch ON ch.id = ra.id LEFT JOIN own ON own.path = ch.path AND own.clade = query_id WHERE k <= 24)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, path, first, last, round(score, 6) AS score FROM soft QUALIFY rank <= 6""",
+)
+def _(spark, d):
+    """Chunks that bear out each clade of documents, one clade per source and language."""
+    clade = F.concat("source", F.lit("-"), F.coalesce("lang", F.lit("none")))
+    own = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), clade.alias("clade"), "source")
+    clades = own.groupBy("clade").agg(F.max("source").alias("code_type")).withColumns({"label": F.lit(None).cast("string"), "layer": F.lit(None).cast("string")})
+    return retrieval.clade_evidence(retrieval.line_chunks(docs(spark, d)), clades, own).withColumn("score", F.round("score", 6))
 
 
 @query(
