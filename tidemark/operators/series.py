@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tidemark.operators import asof
+from tidemark.operators.graph import cut
+
 
 def week_key(ts: Column) -> Column:
     """ISO week, as 2024-W05."""
@@ -95,8 +98,10 @@ def impulse_responses(samples: DataFrame, events: DataFrame, column: str, horizo
         "month", F.row_number().over(order).alias("k"), F.avg(column).over(order.rowsBetween(-horizon, -1)).alias("pre"), F.avg(column).over(order.rowsBetween(0, horizon - 1)).alias("post"),
         F.count("*").over(order.rowsBetween(-horizon, -1)).alias("n_pre"), F.count("*").over(order.rowsBetween(0, horizon - 1)).alias("n_post"),
     )
-    gap = F.abs(F.months_between(F.to_date("month", "yyyy-MM"), F.trunc("at", "month")))
-    near = events.select("label", F.col("at").cast("date").alias("at")).crossJoin(F.broadcast(ranked)).groupBy("label").agg(F.min(F.struct(gap.alias("gap"), "month", "pre", "post", "n_pre", "n_post")).alias("s")).select("label", "s.*")
+    number = lambda c: F.year(c) * 12 + F.month(c)
+    months = ranked.withColumn("at", number(F.to_date("month", "yyyy-MM")).cast("bigint"))
+    near = asof.nearest(events.select("label", number("at").cast("bigint").alias("at")), months, [], 12).select("label", "hit.*")
+    near = near.groupBy("label").agg(F.first(F.struct("month", "pre", "post", "n_pre", "n_post")).alias("s")).select("label", "s.*")
     return near.filter("n_pre > 0").select(
         "label", "month", "pre", "post", (F.col("post") - F.col("pre")).alias("response"), F.least(F.lit(0.9), 0.35 + 0.1 * F.col("n_pre") + 0.1 * F.col("n_post")).alias("confidence")
     )
@@ -276,26 +281,74 @@ def nearest_within(events: DataFrame, points: DataFrame, days: int = 45) -> Data
 
 
 def within_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """(span, n, churn): what lies inside each span (span, start, due); open ends reach all the way. Spans are few."""
-    inside = (F.col("start").isNull() | (F.col("ts") >= F.col("start"))) & (F.col("due").isNull() | (F.col("ts") <= F.col("due")))
-    return spans.join(rows.select("ts", "churn"), inside, "left").groupBy("span").agg(F.count("ts").alias("n"), F.coalesce(F.sum("churn"), F.lit(0)).alias("churn"))
+    """(span, n, churn): what lies inside each span (span, start, due); open ends reach all the way."""
+    bounds = spans.select("span", asof.micros(F.col("start")).alias("start"), asof.micros(F.col("due")).alias("due"))
+    return asof.within(bounds, rows.select(asof.micros(F.col("ts")).alias("at"), "churn"), ["churn"], asof.DAY).select("span", "n", "churn")
 
 
 def stage_at(times: DataFrame, segs: DataFrame) -> DataFrame:
-    """(label, stage, confidence): the segment that holds a time, else the last one before it at nine tenths of its confidence."""
-    joined = times.join(segs, F.col("at") >= F.col("start"), "left")
-    inside = F.col("at") < F.col("end")
-    pick = F.max(F.struct(inside.cast("int").alias("i"), "start", "stage", F.when(inside, F.col("confidence")).otherwise(F.col("confidence") * 0.9).alias("confidence")))
-    return joined.groupBy("label").agg(pick.alias("s")).select("label", "s.stage", "s.confidence")
+    """(label, stage, confidence): the segment that holds a time, else the last one before it at nine tenths of its confidence.
+
+    Segments follow each other, as those that ``stage_spans`` gives.
+    """
+    starts = segs.select(asof.micros(F.col("start")).alias("at"), asof.micros(F.col("end")).alias("end"), "stage", "confidence")
+    asked = times.select("label", asof.micros(F.col("at")).alias("at"))
+    confidence = F.when(F.col("at") < F.col("hit.end"), F.col("hit.confidence")).otherwise(F.col("hit.confidence") * 0.9)
+    return asof.last_before(asked, starts, [], asof.DAY, order="end").select("label", F.col("hit.stage").alias("stage"), confidence.alias("confidence"))
+
 
+def basins(samples: DataFrame, segs: DataFrame, fallback: int = 3) -> DataFrame:
+    """(stage, start, months, occupancy, mean_activity): months that fall into each segment.
 
-def basins(samples: DataFrame, segs: DataFrame) -> DataFrame:
-    """(stage, start, months, occupancy, mean_activity): months that fall into each segment."""
+    A segment without any takes the first ``fallback`` months from its start on. Segments are spread over their months, so months meet by equality.
+    """
     total = samples.agg(F.count("*").alias("_all"))
-    month = lambda c: F.date_format(c, "yyyy-MM")
-    inside = (F.col("month") >= month("start")) & (F.col("month") <= month("end"))
-    got = segs.join(samples, inside).groupBy("stage", "start").agg(F.count("*").alias("months"), F.avg("activity").alias("mean_activity"))
-    return got.crossJoin(F.broadcast(total)).select("stage", "start", "months", (F.col("months") / F.col("_all")).alias("occupancy"), "mean_activity")
+    first = F.trunc(F.col("start"), "month")
+    spread = segs.select("stage", "start", "end", F.explode(F.sequence(first, F.greatest(first, F.trunc(F.col("end"), "month")), F.expr("interval 1 month"))).alias("_m"))
+    inside = spread.filter(F.date_format("_m", "yyyy-MM") <= F.date_format("end", "yyyy-MM")).select("stage", "start", F.date_format("_m", "yyyy-MM").alias("month"))
+    got = inside.join(samples.select("month", "activity"), "month").select("stage", "start", "activity")
+    # Months that any segment without samples could start from, three on from each month: by a lead, then one as-of join.
+    order = Window.orderBy("month")  # months: few rows
+    ahead = samples.select(F.to_date("month", "yyyy-MM").alias("_d"), F.collect_list("activity").over(order.rowsBetween(0, fallback - 1)).alias("next"))
+    months = ahead.select((-(F.year("_d") * 12 + F.month("_d"))).cast("bigint").alias("at"), "next")
+    empty = segs.select("stage", "start").join(got.select("stage", "start").distinct(), ["stage", "start"], "left_anti")
+    asked = empty.withColumn("at", (-(F.year("start") * 12 + F.month("start"))).cast("bigint"))
+    late = asof.last_before(asked, months, [], 12).filter("hit IS NOT NULL").select("stage", "start", F.explode("hit.next").alias("activity"))
+    counted = got.unionByName(late).groupBy("stage", "start").agg(F.count("*").alias("months"), F.avg("activity").alias("mean_activity"))
+    return counted.crossJoin(F.broadcast(total)).select("stage", "start", "months", (F.col("months") / F.col("_all")).alias("occupancy"), "mean_activity")
+
+
+#: Series that speak for an event first, and those for events of trouble (fixed values).
+PREFERRED, TROUBLED = ("commits", "authors", "churn"), ("reverts", "commits", "churn")
+TROUBLE_KINDS = ("security", "revert_storm")
+
+
+def anchors(events: DataFrame, points: DataFrame, days: int = 45) -> DataFrame:
+    """(label, kind, at, series, direction, gap_days, stage, confidence) of events (label, kind, at, stage, confidence).
+
+    Each event takes the nearest changepoint (at, series, direction, magnitude) within ``days`` among the strongest third (six at least) of the
+    series its kind prefers, else the nearest of all. A changepoint adds confidence and may turn the stage; without one it falls.
+    """
+    strong = F.row_number().over(Window.orderBy(F.desc("magnitude"), "at", "series")) <= F.greatest(F.lit(6), F.floor(F.count("*").over(Window.partitionBy()) / 3))
+    ranked = points.select(asof.micros(F.col("at")).alias("at"), "series", "direction", "magnitude", strong.alias("strong"))  # changepoints of monthly series: few rows
+    ranked = cut(ranked.withColumn("place", F.struct(-F.col("magnitude"), "series")), "changepoints")
+    asked = events.select(F.col("label"), "kind", F.col("at").alias("_at"), "stage", "confidence", asof.micros(F.col("at")).alias("at"), F.col("kind").isin(*TROUBLE_KINDS).alias("trouble"))
+    asked = cut(asked, "events")
+    kinds = F.explode(F.array_compact(F.array(F.when(F.col("series").isin(*PREFERRED), False), F.when(F.col("series").isin(*TROUBLED), True))))
+    first = asof.nearest(asked, ranked.filter("strong").withColumn("trouble", kinds), ["trouble"], asof.DAY * days, "place")
+    close = lambda: F.col("gap") <= days * asof.DAY
+    first = first.select(*asked.columns, F.when(close(), F.struct("hit.series", "hit.direction", "gap")).alias("mine"))
+    first = cut(first, "preferred")
+    both = asof.nearest(first, ranked, [], asof.DAY * days, "place")
+    both = both.withColumn("hit", F.coalesce("mine", F.when(close(), F.struct("hit.series", "hit.direction", "gap")))).select(*asked.columns, "hit")
+    gap = F.col("hit.gap") / F.lit(float(asof.DAY))
+    stage = (
+        F.when((F.col("stage") == "growth") & (F.col("hit.direction") == "down") & F.col("hit.series").isin("commits", "churn"), "consolidation")
+        .when((F.col("stage") == "maturity") & (F.col("hit.direction") == "up") & (F.col("hit.series") == "reverts"), "disturbance")
+        .otherwise(F.col("stage"))
+    )
+    more = F.least(F.lit(0.98), F.col("confidence") + 0.08 + F.greatest(F.lit(0.0), 0.12 * (1 - gap / days)))
+    return both.select("label", "kind", F.col("_at").alias("at"), "hit.series", "hit.direction", gap.alias("gap_days"), stage.alias("stage"), F.when(F.col("hit").isNull(), F.col("confidence") * 0.85).otherwise(more).alias("confidence"))
 
 
 def path_episodes(rows: DataFrame, gap: int = 5) -> DataFrame:

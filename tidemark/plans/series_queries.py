@@ -159,6 +159,47 @@ def _(spark, d):
     return series.nearest_within(releases(spark, d), high).select("label", F.col("point").cast("string").alias("point"), "gap")
 
 
+_SERIES = ("n_commits", "n_authors", "churn", "n_reverts")
+_JUMPS = ", lv AS (" + " UNION ALL ".join(
+    f"SELECT CAST(strptime(month || '-01', '%Y-%m-%d') AS TIMESTAMP) AS at_, '{c.removeprefix('n_')}' AS series, ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z FROM months" for c in _SERIES
+) + """), cp AS (SELECT at_, series, CASE WHEN z > 0 THEN 'up' ELSE 'down' END AS direction, round(abs(z), 6) AS magnitude FROM lv WHERE abs(z) > 1),
+    ra AS (SELECT *, row_number() OVER (ORDER BY magnitude DESC, at_, series) <= greatest(6, floor(count(*) OVER () / 3)) AS strong FROM cp),
+    ev AS (SELECT label, 'release' AS kind, at_, 'growth' AS stage, 0.7::DOUBLE AS confidence FROM rel
+      UNION ALL SELECT 'r' || year(ts) || '-' || quarter(ts), 'revert_storm', min(ts), 'maturity', 0.6::DOUBLE FROM commits WHERE is_revert GROUP BY 1)"""
+
+
+@query(
+    "event_anchors",
+    C
+    + MONTHS
+    + RELEASES
+    + _JUMPS
+    + """, pr AS (SELECT label, ra.*, abs(epoch_us(ev.at_) - epoch_us(ra.at_)) AS gap, ra.strong AND series IN ('commits', 'churn', CASE WHEN kind = 'revert_storm' THEN 'reverts' ELSE 'authors' END) AS pref FROM ev, ra),
+    be AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pref DESC, gap, magnitude DESC, series) AS r FROM pr WHERE gap <= 45 * 86400000000)
+    SELECT ev.label, kind, series, direction, round(gap / 86400000000.0::DOUBLE, 6)::DOUBLE AS gap_days,
+      CASE WHEN stage = 'growth' AND direction = 'down' AND series IN ('commits', 'churn') THEN 'consolidation' WHEN stage = 'maturity' AND direction = 'up' AND series = 'reverts' THEN 'disturbance' ELSE stage END AS stage,
+      round(CASE WHEN gap IS NULL THEN confidence * 0.85 ELSE least(0.98, confidence + 0.08 + greatest(0, 0.12 * (1 - gap / 86400000000.0::DOUBLE / 45))) END, 6)::DOUBLE AS confidence
+    FROM ev LEFT JOIN be ON be.label = ev.label AND r = 1""",
+)
+def _(spark, d):
+    """Releases and first reverts of a quarter, tied to the months whose values lie a deviation from the mean."""
+    from functools import reduce
+
+    months = series.monthly(commits(spark, d))
+    parts = []
+    for c in _SERIES:
+        stats = months.agg(F.avg(c).alias("_m"), F.stddev_pop(c).alias("_s"))
+        z = (F.col(c) - F.col("_m")) / F.col("_s")
+        parts.append(months.crossJoin(F.broadcast(stats)).select(F.to_timestamp("month", "yyyy-MM").alias("at"), F.lit(c.removeprefix("n_")).alias("series"), z.alias("z")))
+    jumps = reduce(lambda a, b: a.unionByName(b), parts).filter("abs(z) > 1")
+    points = jumps.select("at", "series", F.when(F.col("z") > 0, "up").otherwise("down").alias("direction"), F.round(F.abs("z"), 6).alias("magnitude"))
+    storms = commits(spark, d).filter("is_revert").groupBy(F.concat(F.lit("r"), F.year("ts").cast("string"), F.lit("-"), F.quarter("ts").cast("string")).alias("label")).agg(F.min("ts").alias("at"))
+    rows = releases(spark, d).select("label", F.lit("release").alias("kind"), "at", F.lit("growth").alias("stage"), F.lit(0.7).alias("confidence")).unionByName(
+        storms.select("label", F.lit("revert_storm").alias("kind"), "at", F.lit("maturity").alias("stage"), F.lit(0.6).alias("confidence"))
+    )
+    return rounded(series.anchors(rows, points).drop("at"), "gap_days", "confidence")
+
+
 @query(
     "changepoint_hit_rate",
     C
