@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import retrieval, texts
+from tidemark.operators import reticulation, retrieval, texts, wordvectors
 from tidemark.operators.taxonomy import first_rule
 from tidemark.plans.registry import query
 from tidemark.plans.testmap import table
@@ -168,6 +168,64 @@ def _(spark, d):
     return texts.cooccurrence(turns(spark, d))
 
 
+_TV = R + f""", t AS (SELECT id, unnest({TOK}) AS term, generate_subscripts({TOK}, 1) AS i FROM r), tf AS (SELECT term, count(*) AS n, count(DISTINCT id) AS df FROM t GROUP BY 1), c AS (SELECT term FROM tf WHERE df >= 2),
+    co AS (SELECT x.term, y.term AS context, count(*) AS n FROM t x JOIN t y ON x.id = y.id AND x.term <> y.term AND abs(x.i - y.i) <= 2 WHERE x.term IN (FROM c) AND y.term IN (FROM c) GROUP BY 1, 2),
+    st AS (SELECT *, sha256(context) AS h, row_number() OVER (PARTITION BY term ORDER BY n DESC, context) AS k FROM co QUALIFY k <= 40),
+    tv AS (SELECT term, ({_HEX(7)} * 16 + {_HEX(8)}) % 64 AS idx, CAST(sum(n * CASE WHEN {_HEX(10)} % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS val FROM st GROUP BY 1, 2 HAVING sum(n * CASE WHEN {_HEX(10)} % 2 = 0 THEN 1 ELSE -1 END) <> 0)"""
+
+
+@query("term_vectors", _TV + " SELECT term, string_agg(idx || ':' || val, ' ' ORDER BY idx) AS vector FROM tv GROUP BY 1")
+def _(spark, d):
+    places = F.filter(F.transform("v", lambda x, i: F.when(x != 0, F.concat(i.cast("string"), F.lit(":"), x.cast("string")))), lambda x: x.isNotNull())
+    return wordvectors.term_vectors(turns(spark, d)).select(F.col("id").alias("term"), F.array_join(places, " ").alias("vector"))
+
+
+@query(
+    "term_neighbors",
+    _TV
+    + """, sq AS (SELECT term, sum(val * val) AS nn FROM tv GROUP BY 1), lead AS (SELECT term FROM tf ORDER BY n DESC, term LIMIT 12),
+    dots AS (SELECT a.term, b.term AS neighbor, sum(a.val * b.val) AS dot FROM tv a JOIN tv b USING (idx) WHERE a.term IN (FROM lead) AND a.term <> b.term GROUP BY 1, 2),
+    sc AS (SELECT x.term, y.term AS neighbor, CAST(coalesce(dot, 0) AS DOUBLE) / sqrt(CAST(x.nn AS DOUBLE) * CAST(y.nn AS DOUBLE)) AS score FROM sq x JOIN sq y ON x.term IN (FROM lead) AND x.term <> y.term LEFT JOIN dots ON dots.term = x.term AND dots.neighbor = y.term)
+    SELECT term, CAST(row_number() OVER (PARTITION BY term ORDER BY score DESC, neighbor) AS INTEGER) AS rank, neighbor, round(score, 6) AS score FROM sc QUALIFY rank <= 6""",
+)
+def _(spark, d):
+    rows = turns(spark, d)
+    return wordvectors.neighbors(wordvectors.term_vectors(rows), wordvectors.leading_terms(rows)).withColumn("score", F.round("score", 6))
+
+
+@query("skipgram_neighbors")
+def _(spark, d):
+    rows = turns(spark, d)
+    return wordvectors.neighbors(wordvectors.model_vectors(wordvectors.skipgram(rows)), wordvectors.leading_terms(rows)).withColumn("score", F.round("score", 6))
+
+
+_FP = D + r""", tk AS (SELECT path, list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][\p{L}\p{N}_]*|<=|>=|==|!=|&&|\|\||[(){}\[\];]|\p{L}'), lambda t: t NOT IN ('<=', '>=')),
+      lambda t: CASE WHEN regexp_matches(t, '^[\p{L}_]') THEN substr(regexp_replace(lower(t), '\p{Nd}+$', ''), 1, 24) ELSE t END) AS t FROM d),
+    fp AS (SELECT path, CASE WHEN len(t) < 8 THEN t ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || '|' || t[i + 1] || '|' || t[i + 2]) END AS f FROM tk)"""
+
+
+@query("structure_fingerprints", _FP + " SELECT path, len(f) AS n, substr(sha1(array_to_string(f, '|')), 1, 16) AS sha FROM fp")
+def _(spark, d):
+    return reticulation.fingerprints(docs(spark, d)).select("path", F.size("parts").cast("bigint").alias("n"), "sha")
+
+
+@query("similar_structures")
+def _(spark, d):
+    """Pairs of document classes at .25 or more; nearly all of them, see the operator."""
+    return reticulation.similar_structures(docs(spark, d))[0]
+
+
+@query(
+    "reticulation_edges",
+    _FP
+    + """, st AS (SELECT path, list_sort(list_distinct(f)) AS s FROM fp), na AS (SELECT s, min(path) AS class, min(split_part(path, '/', 1)) AS lo, max(split_part(path, '/', 1)) AS hi FROM st GROUP BY 1),
+    x AS (SELECT class, lo, hi, len(s) AS m, unnest(s) AS g FROM na), j AS (SELECT a.class AS a, b.class AS b, count(*) AS o, max(a.m) AS m1, max(b.m) AS m2, min(least(a.lo, b.lo)) AS lo, max(greatest(a.hi, b.hi)) AS hi FROM x a JOIN x b ON a.g = b.g AND a.class < b.class GROUP BY 1, 2)
+    SELECT a, b, round(o / (m1 + m2 - o), 6) AS similarity FROM j WHERE o / (m1 + m2 - o) >= 0.55 AND lo <> hi UNION ALL SELECT class, class, 1.0::DOUBLE FROM na WHERE lo <> hi""",
+)
+def _(spark, d):
+    return reticulation.reticulation_edges(docs(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     "term_shift",
     R
