@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, shuffle_width
 
 #: Repeats and words a run has at least.
 REPEATS, LEAST = 4, 6
@@ -268,7 +268,7 @@ def find_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, runs): the read documents (kind, row, doc_id, n, words, kept) and their runs (row, period, start, length)."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     read = cut(src.mapInArrow(_explore, _FOUND), "run-parts")
-    dealt = read.filter(F.col("kind") == _TILE).select("row", "octave", "lo", "hi", "codes").repartition("row", "octave", "lo")
+    dealt = read.filter(F.col("kind") == _TILE).select("row", "octave", "lo", "hi", "codes").repartition(shuffle_width(docs.sparkSession), "row", "octave", "lo")  # tiles are small but dear, so their bytes must not decide
     long = dealt.mapInArrow(_solve, "row bigint, period bigint, lo bigint, hi bigint")
     fragments = read.filter(F.col("kind") == _FRAGMENT).select("row", "period", "lo", "hi").unionByName(long)
     return read.filter(F.col("kind") <= _OPEN).select("kind", "row", "doc_id", "n", "words", "kept"), stitched(fragments)
