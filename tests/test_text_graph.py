@@ -63,13 +63,21 @@ def test_alleles_and_clones(spark):
 
 
 def test_path_types(spark):
-    gold = [("src/api/routes/user.py", ["code", "service", "route"]), ("tests/unit/test_x.py", ["checks", "unit"]), ("docs/guide.md", ["writing", "guide"]), ("zzz/q", ["unknown"])]
-    g = spark.createDataFrame(gold, "path string, expected array<string>")
+    arch = "architecture"
+    gold = [
+        ("src/api/routes/users.py", [arch, "api"]), ("src/api/handlers/orders.py", [arch, "api", "handler"]), ("src/data/models/user.py", [arch, "data", "model"]), ("src/data/repository/user_repo.py", [arch, "data"]),
+        ("src/ui/components/UserCard.tsx", [arch, "ui", "component"]), ("src/security/auth/login.py", [arch, "security"]), ("tests/unit/test_users.py", ["verification", "unit"]), ("tests/e2e/test_checkout.py", ["verification"]),
+        ("docs/ARCHITECTURE.md", ["knowledge"]), (".github/workflows/ci.yml", [arch, "infra"]), ("scripts/build.sh", ["tooling"]), ("src/utils/parse_json.py", ["utility"]), ("src/ml/embeddings/encoder.py", [arch, "ml"]),
+        ("src/infra/deploy/helm/values.yaml", [arch, "infra"]), ("zzz/q", ["unknown"]), ("", ["unknown"]), ("日本/é", ["unknown"]),
+    ]
+    g = spark.createDataFrame([*gold, (None, ["unknown"])], "path string, expected array<string>")
     types = ontology.path_types(g)
-    assert tuple(ontology.gold_accuracy(types, g).first()) == (4, 4)
+    assert tuple(ontology.gold_accuracy(types, g.filter("path is not null")).first()) == (17, 17)
     seeds = {r["path"]: r["s"] for r in types.select("path", ontology.breakout_seed(F.col("path"), F.col("type_path"), F.col("confidence")).alias("s")).collect()}
-    assert seeds["zzz/q"] == "dir:zzz" and seeds["src/api/routes/user.py"] == "type:code/service/route|dir:src"
-    assert ("code/service", 2, 3) in ontology.outline()
+    assert seeds["zzz/q"] == "dir:zzz" and seeds["src/api/handlers/orders.py"] == "type:architecture/api/handler|dir:src" and seeds["src/utils/parse_json.py"] == "type:utility/parsing|dir:src"
+    assert ("architecture/api", 2, 4) in ontology.outline() and max(d for _, d, _ in ontology.outline()) == 3
+    own = {"x": {"words": ["zzz"], "kinds": {"y": {"words": ["qqqq"]}}}}
+    assert {r["path"]: r["type_path"] for r in ontology.path_types(spark.createDataFrame([("zzz/aqqqqb",), ("zzz/b",)], "path string"), own).collect()} == {"zzz/aqqqqb": ["x", "y"], "zzz/b": ["x"]}
 
 
 def test_cycles_and_paths(spark):

@@ -2,84 +2,117 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A small ontology to begin with; users bring their own.
+#: An ontology to begin with, four ranks with the type of the whole; users bring their own, of any size.
 ONTOLOGY: dict[str, Any] = {
-    "code": {
+    "architecture": {
         "words": ["src", "lib", "core", "app"],
         "kinds": {
-            "service": {"words": ["api", "server", "service"], "kinds": {"route": {"words": ["route", "routes", "endpoint"]}, "handler": {"words": ["handler", "controller"]}}},
-            "storage": {"words": ["data", "storage", "database"], "kinds": {"model": {"words": ["model", "entity", "schema"]}, "cache": {"words": ["cache", "redis"]}}},
-            "screen": {"words": ["web", "page", "view"], "kinds": {"component": {"words": ["component", "widget"]}, "style": {"words": ["style", "theme"]}}},
+            "api": {
+                "words": ["api", "route", "routes", "endpoint"],
+                "kinds": {"rest": {"words": ["rest", "http"]}, "rpc": {"words": ["grpc", "proto"]}, "handler": {"words": ["handler", "handlers", "controller"]}, "client": {"words": ["client", "sdk"]}},
+            },
+            "data": {
+                "words": ["data", "database", "storage"],
+                "kinds": {"model": {"words": ["model", "models", "entity"]}, "repository": {"words": ["repo", "repository", "store"]}, "migration": {"words": ["migration", "schema"]}, "query": {"words": ["query", "sql"]}, "cache": {"words": ["cache", "redis"]}},
+            },
+            "ui": {"words": ["ui", "web", "frontend"], "kinds": {"component": {"words": ["component", "components", "widget"]}, "page": {"words": ["page", "view", "screen"]}, "style": {"words": ["style", "theme", "css"]}}},
+            "domain": {"words": ["domain", "business"], "kinds": {"service": {"words": ["service", "services", "manager"]}, "event": {"words": ["event", "events", "listener"]}, "policy": {"words": ["policy", "rules"]}}},
+            "security": {"words": ["security", "auth"], "kinds": {"authn": {"words": ["auth", "login", "session", "oauth"]}, "crypto": {"words": ["crypto", "encrypt", "hash"]}, "secrets": {"words": ["secret", "vault"]}}},
+            "infra": {
+                "words": ["infra", "ops", "platform"],
+                "kinds": {"ci": {"words": ["ci", "github", "workflows", "pipeline"]}, "deploy": {"words": ["deploy", "docker", "helm", "terraform"]}, "observability": {"words": ["metrics", "tracing", "logging"]}, "config": {"words": ["config", "settings", "env"]}},
+            },
+            "ml": {"words": ["ml", "training", "inference"], "kinds": {"training": {"words": ["train", "dataset"]}, "embeddings": {"words": ["embedding", "embeddings", "vector"]}, "eval": {"words": ["eval", "benchmark"]}}},
         },
     },
-    "checks": {"words": ["test", "tests", "spec"], "kinds": {"unit": {"words": ["unit", "pytest"]}, "fixture": {"words": ["fixture", "mock"]}}},
-    "writing": {"words": ["docs", "readme"], "kinds": {"guide": {"words": ["guide", "tutorial"]}}},
-    "tools": {"words": ["scripts", "tools", "build"], "kinds": {"deploy": {"words": ["deploy", "docker"]}}},
+    "verification": {"words": ["test", "tests", "spec"], "kinds": {"unit": {"words": ["unit", "pytest"]}, "e2e": {"words": ["e2e", "playwright"]}, "fixture": {"words": ["fixture", "mock", "stub"]}}},
+    "knowledge": {"words": ["docs", "readme", "changelog"], "kinds": {"guide": {"words": ["guide", "tutorial"]}, "architecture": {"words": ["architecture", "adr", "design"]}}},
+    "tooling": {"words": ["scripts", "tools"], "kinds": {"build": {"words": ["build", "cmake", "gradle"]}, "lint": {"words": ["lint", "format"]}, "scripts": {"words": ["script", "scripts", "cli"]}}},
+    "utility": {"words": ["utils", "helpers", "common"], "kinds": {"parsing": {"words": ["parse", "parser", "lexer"]}, "serialize": {"words": ["serialize", "json", "codec"]}, "time": {"words": ["time", "date", "clock"]}}},
 }
-_BREAK = re.compile(r"[^A-Za-z0-9]+")
-_CAMEL = re.compile(r"([a-z0-9])([A-Z])")
-
-
-def _words(text: str) -> set[str]:
-    return {w for w in _BREAK.split(_CAMEL.sub(r"\1 \2", text).lower()) if len(w) >= 2 and not w.isdigit()}
-
-
-def _match(words: list[str], tokens: set[str]) -> tuple[float, list[str]]:
-    """A node's own score: exact words count most, words of four letters or more inside a token less."""
-    exact = [w for w in words if w in tokens]
-    if exact:
-        return 1.0 + 0.35 * (len(exact) - 1), exact
-    inside = [w for w in words if len(w) >= 4 and any(w in t for t in tokens)]
-    return (0.45 + 0.1 * (len(inside) - 1), inside) if inside else (0.0, [])
-
-
-def classify(path: str, ontology: dict[str, Any]) -> tuple[list[str], float]:
-    """(type path, confidence). A branch's score goes to its deepest scored kinds; the last of them also gets its root's share."""
-    tokens, folders = _words(path), _words(path.rpartition("/")[0])
-    found: list[tuple[list[str], float, list[str]]] = []
-    for root, top in ontology.items():
-        root_score, root_words = _match(top["words"], tokens)
-        own = []
-        for name, mid in top.get("kinds", {}).items():
-            score, words = _match(mid["words"], tokens)
-            leaves = [([root, name, leaf], *_match(x["words"], tokens)) for leaf, x in mid.get("kinds", {}).items()]
-            leaves = [(p, s + 0.35 * score, list(dict.fromkeys(words + w))) for p, s, w in leaves if s > 0]
-            if not leaves and score > 0:
-                leaves = [([root, name], score, words)]
-            if leaves:
-                p, s, w = leaves[-1]
-                leaves[-1] = (p, s + 0.35 * root_score, list(dict.fromkeys(root_words + w)))
-            own += leaves
-        if not own and root_score > 0:
-            own = [([root], root_score, root_words)]
-        found += own
-    if not found:
-        return ["unknown"], 0.15
-    ranked = [(p, s + 0.85 * sum(x in folders for x in w) + 0.55 * sum(x in folders for x in p)) for p, s, w in found]
-    best, score = min(ranked, key=lambda r: (-r[1], -len(r[0])))
-    conf = min(0.98, score / (score + 1.8))
-    return best, round(min(0.99, conf + 0.08) if len(best) >= 3 else conf, 3)
+#: Words that a file's ending stands for (fixed values).
+HINTS = {
+    "py": ["architecture"], "ts": ["architecture", "ui"], "tsx": ["architecture", "ui", "component"], "jsx": ["architecture", "ui", "component"], "js": ["architecture"], "go": ["architecture"], "rs": ["architecture"],
+    "java": ["architecture"], "kt": ["architecture"], "css": ["architecture", "ui", "style"], "scss": ["architecture", "ui", "style"], "md": ["knowledge"], "rst": ["knowledge"], "yml": ["architecture", "infra", "config"],
+    "yaml": ["architecture", "infra", "config"], "toml": ["architecture", "infra", "config"], "json": ["architecture", "infra", "config"], "proto": ["architecture", "api", "rpc"], "sql": ["architecture", "data", "query"],
+    "tf": ["architecture", "infra", "deploy"],
+}
+#: Shares and bonuses of the score (fixed values).
+MORE_EXACT, INSIDE, MORE_INSIDE, FROM_ABOVE, WORD_FOLDER, NAME_FOLDER = 0.35, 0.45, 0.1, 0.35, 0.85, 0.55
 
 
-def path_types(paths: DataFrame, ontology: dict[str, Any] | None = None) -> DataFrame:
-    """(path, type_path, confidence) of distinct paths (path)."""
-    table = ontology or ONTOLOGY
+def ontology_rows(ontology: dict[str, Any]) -> list[tuple[int, list[str], list[str]]]:
+    """(place, names from the root, words) of all nodes, each before those below it."""
+    out: list[tuple[int, list[str], list[str]]] = []
+
+    def walk(nodes: dict[str, Any], at: list[str]) -> None:
+        for name, node in nodes.items():
+            out.append((len(out), [*at, name], [w.lower() for w in node["words"]]))
+            walk(node.get("kinds", {}), [*at, name])
+
+    walk(ontology, [])
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [classify(p, table) for p in pdf["path"]]
-            yield pd.DataFrame({"path": pdf["path"], "type_path": [t for t, _ in got], "confidence": [c for _, c in got]})
 
-    return paths.select("path").filter("path is not null").distinct().mapInPandas(run, "path string, type_path array<string>, confidence double")
+def _words(text: Column) -> Column:
+    spaced = F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")
+    both = F.concat(F.split(F.lower(text), r"[^a-z0-9]+"), F.split(F.lower(spaced), r"[^a-z0-9]+"))
+    return F.array_distinct(F.filter(both, lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$")))
+
+
+def path_types(paths: DataFrame, ontology: dict[str, Any] | None = None) -> DataFrame:
+    """(path, type_path, confidence) of distinct paths (path): the branch of the ontology whose words a path holds most.
+
+    A node scores by its words among those of the path (and of its file's ending): 1 and .35 for each further one, or .45 and .1
+    where words of four letters lie inside others. The deepest scored node of a branch takes the score, with .35 of the
+    scores above: of the middle rank by all its kinds, of the root by the last one of each middle. Names and words that are folders add to it.
+    Built of column expressions over one constant table, three ranks deep: nothing is shuffled but for the distinct paths.
+    """
+    nodes = ontology_rows(ontology or ONTOLOGY)
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*map(F.lit, at)).alias("at"), F.array(*map(F.lit, words)).alias("words")) for i, at, words in nodes])
+    rows = paths.select("path").filter("path is not null").distinct()
+    name = F.element_at(F.split("path", "/"), -1)
+    ending = F.when(name.contains("."), F.lower(F.element_at(F.split(name, r"\."), -1)))
+    hints = F.create_map(*[x for k, v in HINTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path"))
+    rows = rows.withColumns({"t": F.array_union(_words(F.col("path")), F.coalesce(hints[ending], F.array().cast("array<string>"))), "f": F.filter(F.split(F.lower(folder), "[^a-z0-9]+"), lambda w: F.length(w) >= 2)})
+
+    def scored(n: Column) -> Column:
+        exact = F.array_intersect(n["words"], F.col("t"))
+        inside = F.filter(n["words"], lambda w: (F.length(w) >= 4) & F.exists("t", lambda t: F.contains(t, w)))
+        by_exact = F.struct(n["i"].alias("i"), n["at"].alias("at"), (1.0 + MORE_EXACT * (F.size(exact) - 1)).alias("s"), exact.alias("w"))
+        by_part = F.struct(n["i"].alias("i"), n["at"].alias("at"), (INSIDE + MORE_INSIDE * (F.size(inside) - 1)).alias("s"), inside.alias("w"))
+        return F.when(F.size(exact) > 0, by_exact).when(F.size(inside) > 0, by_part)
+
+    def take(r: Column, above: Column) -> Column:
+        """An entry with its share of the first of the nodes above, if there is one."""
+        top = F.get(above, F.lit(0))
+        return F.struct(r["i"].alias("i"), r["at"].alias("at"), (r["s"] + F.coalesce(FROM_ABOVE * top["s"], F.lit(0.0))).alias("s"), F.array_union(F.coalesce(top["w"], F.array().cast("array<string>")), r["w"]).alias("w"))
+
+    part = lambda r, k: F.get(r["at"], F.lit(k))
+    same_middle = lambda a, b: (part(a, 0) == part(b, 0)) & (part(a, 1) == part(b, 1))
+    rows = rows.withColumn("r", F.filter(F.transform(table, scored), lambda x: x.isNotNull()))
+    leaves = F.transform(F.filter("r", lambda r: F.size(r["at"]) == 3), lambda r: take(r, F.filter("r", lambda m: (F.size(m["at"]) == 2) & same_middle(r, m))))
+    rows = rows.withColumn("leaves", leaves)
+    rows = rows.withColumn("base", F.concat("leaves", F.filter("r", lambda r: (F.size(r["at"]) == 2) & ~F.exists("leaves", lambda x: same_middle(r, x)))))
+    last = lambda e: ~F.exists("base", lambda x: same_middle(e, x) & (x["i"] > e["i"]))
+    with_root = F.transform("base", lambda e: F.when(last(e), take(e, F.filter("r", lambda m: (F.size(m["at"]) == 1) & (part(m, 0) == part(e, 0))))).otherwise(e))
+    roots = F.filter("r", lambda r: (F.size(r["at"]) == 1) & ~F.exists("base", lambda x: part(x, 0) == part(r, 0)))
+    rows = rows.withColumn("all", F.concat(with_root, roots))
+    folders = lambda e: WORD_FOLDER * F.size(F.array_intersect(e["w"], F.col("f"))) + NAME_FOLDER * F.size(F.filter(e["at"], lambda x: F.array_contains("f", x)))
+    ranked = F.transform("all", lambda e: F.struct(F.round(e["s"] + folders(e), 9).alias("s"), F.size(e["at"]).alias("n"), (-e["i"]).alias("i"), e["at"].alias("at")))
+    rows = rows.withColumn("best", F.array_max(ranked))
+    score = F.col("best.s")
+    conf = F.least(F.lit(0.98), score / (score + 1.8))
+    deep = F.when(F.size("best.at") >= 3, F.least(F.lit(0.99), conf + 0.08)).otherwise(conf)
+    none = F.col("best").isNull()
+    return rows.select("path", F.when(none, F.array(F.lit("unknown"))).otherwise(F.col("best.at")).alias("type_path"), F.when(none, 0.15).otherwise(F.round(deep, 3)).alias("confidence"))
 
 
 def breakout_seed(path: Column, type_path: Column, confidence: Column) -> Column:

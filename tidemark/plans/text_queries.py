@@ -310,10 +310,46 @@ def _(spark, d):
     return texts.structure_counts(table(spark, d, "documents").select((F.col("doc_id") % 4).alias("win"), "text"), {"and": r"\band\b", "number": "[0-9]+"})
 
 
-@query("path_types")
+def _ontology_sql() -> tuple[str, str]:
+    from tidemark.operators.ontology import HINTS, ONTOLOGY, ontology_rows
+
+    quote = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    nodes = ", ".join(f"({i}, {quote(at)}, {quote(words)})" for i, at, words in ontology_rows(ONTOLOGY))
+    hints = ", ".join(f"('{k}', {quote(v)})" for k, v in HINTS.items())
+    return f"(VALUES {nodes}) o(i, at_, words)", f"(VALUES {hints}) h(ending, hint)"
+
+
+_NODES, _HINTS = _ontology_sql()
+_TYPES = rf""", w AS (SELECT path, list_distinct(list_concat(list_filter(list_concat(regexp_split_to_array(lower(path), '[^a-z0-9]+'), regexp_split_to_array(lower(regexp_replace(path, '([a-z0-9])([A-Z])', ' ', 'g')), '[^a-z0-9]+')),
+        lambda x: length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$')), coalesce(hint, []))) AS t,
+      list_filter(regexp_split_to_array(lower(CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE path END), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS f
+      FROM pa LEFT JOIN {_HINTS} ON ending = CASE WHEN contains(split_part(path, '/', -1), '.') THEN lower(split_part(split_part(path, '/', -1), '.', -1)) END),
+    m AS (SELECT path, i, at_, list_filter(words, lambda x: list_contains(t, x)) AS ex, list_filter(words, lambda x: length(x) >= 4 AND len(list_filter(t, lambda y: contains(y, x))) > 0) AS ins FROM w, {_NODES}),
+    r AS (SELECT path, i, at_, len(at_) AS depth, at_[1] AS a, at_[2] AS b, CASE WHEN len(ex) > 0 THEN ex ELSE ins END AS ws, CASE WHEN len(ex) > 0 THEN 1.0::DOUBLE + 0.35::DOUBLE * (len(ex) - 1) ELSE 0.45::DOUBLE + 0.1::DOUBLE * (len(ins) - 1) END AS s FROM m WHERE len(ex) + len(ins) > 0),
+    ba AS (SELECT l.path, l.i, l.at_, l.a, l.b, l.s + coalesce(0.35::DOUBLE * k.s, 0) AS s, list_distinct(list_concat(coalesce(k.ws, []), l.ws)) AS ws FROM r l LEFT JOIN r k ON k.path = l.path AND k.depth = 2 AND k.a = l.a AND k.b = l.b WHERE l.depth = 3
+      UNION ALL SELECT path, i, at_, a, b, s, ws FROM r WHERE depth = 2 AND NOT EXISTS (FROM r x WHERE x.path = r.path AND x.depth = 3 AND x.a = r.a AND x.b = r.b)),
+    la AS (SELECT *, row_number() OVER (PARTITION BY path, a, b ORDER BY i DESC) AS k FROM ba),
+    en AS (SELECT la.path, la.i, la.at_, la.s + CASE WHEN k = 1 THEN coalesce(0.35::DOUBLE * ro.s, 0) ELSE 0 END AS s, CASE WHEN k = 1 THEN list_distinct(list_concat(coalesce(ro.ws, []), la.ws)) ELSE la.ws END AS ws FROM la LEFT JOIN r ro ON ro.path = la.path AND ro.depth = 1 AND ro.a = la.a
+      UNION ALL SELECT path, i, at_, s, ws FROM r WHERE depth = 1 AND NOT EXISTS (FROM ba x WHERE x.path = r.path AND x.a = r.a)),
+    sc AS (SELECT en.path, i, at_, round(s + 0.85::DOUBLE * len(list_filter(ws, lambda x: list_contains(f, x))) + 0.55::DOUBLE * len(list_filter(at_, lambda x: list_contains(f, x))), 9) AS s FROM en JOIN w ON w.path = en.path),
+    be AS (SELECT *, least(0.98, s / (s + 1.8::DOUBLE)) AS conf FROM sc QUALIFY row_number() OVER (PARTITION BY path ORDER BY s DESC, len(at_) DESC, i) = 1),
+    ty AS (SELECT pa.path, coalesce(at_, ['unknown']) AS type_path, CASE WHEN at_ IS NULL THEN 0.15::DOUBLE ELSE round(CASE WHEN len(at_) >= 3 THEN least(0.99, conf + 0.08::DOUBLE) ELSE conf END, 3)::DOUBLE END AS confidence FROM pa LEFT JOIN be ON be.path = pa.path)"""
+_MADE = ["src/api/routes/users.py", "src/data/models/user.py", "web/ui/components/UserCard.tsx", "tests/unit/test_users.py", "docs/ARCHITECTURE.md", "scripts/build.sh", "infra/deploy/helm/values.yaml", "src/utils/parse_json.py", "x"]
+
+
+@query(
+    "path_types",
+    f"""WITH pa AS (SELECT DISTINCT path FROM (SELECT 'src/' || regexp_extract(url, '^[a-z]+://(.*)$', 1) AS path FROM pages UNION ALL
+      SELECT 'repo' || page_id % 50 || '/' || unnest([{", ".join(f"'{m}'" for m in _MADE)}]) FROM pages))"""
+    + _TYPES
+    + """ SELECT path, array_to_string(type_path, '/') AS type_key, confidence, CASE WHEN confidence >= 0.42 AND type_path[1] <> 'unknown'
+      THEN 'type:' || array_to_string(type_path[1:CASE WHEN confidence >= 0.55 THEN 3 ELSE 2 END], '/') || '|' ELSE '' END || 'dir:' || split_part(path, '/', 1) AS seed FROM ty""",
+)
 def _(spark, d):
     from tidemark.operators.ontology import breakout_seed, path_types
 
-    paths = table(spark, d, "pages").select(F.concat(F.lit("src/"), F.regexp_extract("url", r"^[a-z]+://(.*)$", 1)).alias("path"))
+    pages = table(spark, d, "pages")
+    made = pages.select(F.explode(F.array(*[F.concat(F.lit("repo"), (F.col("page_id") % 50).cast("string"), F.lit("/" + m)) for m in _MADE])).alias("path"))
+    paths = pages.select(F.concat(F.lit("src/"), F.regexp_extract("url", r"^[a-z]+://(.*)$", 1)).alias("path")).unionByName(made)
     out = path_types(paths)
-    return out.withColumn("seed", breakout_seed(F.col("path"), F.col("type_path"), F.col("confidence")))
+    return out.select("path", F.array_join("type_path", "/").alias("type_key"), "confidence", breakout_seed(F.col("path"), F.col("type_path"), F.col("confidence")).alias("seed"))
