@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import clusters, coupling, trees
+from tidemark.operators import clusters, coupling, fences, trees
 from tidemark.plans.core_queries import EDGES, C
 from tidemark.plans.registry import query
 from tidemark.plans.testmap import SQL_PARENTS, commit_files, commit_headers, commits, parents
@@ -101,3 +101,34 @@ def _(spark, d):
     paths = files.select("path", "clade", "layer").distinct().select("path", seed.alias("seed"))
     touches = files.groupBy("path").agg(F.count("*").alias("touches"))
     return clusters.clade_clusters(paths, coupling.cochange_edges(files, commits(spark, d)), touches, share=0.05)
+
+
+@query(
+    "fence_previews",
+    C
+    + EDGES
+    + """, ed AS (SELECT DISTINCT sha AS edit, path FROM files WHERE sha % 20 = 0), fe AS (SELECT edit, min(path) AS path FROM ed GROUP BY 1),
+    hot AS (SELECT path, count(*) AS t FROM files GROUP BY 1), ri AS (SELECT 'hot:' || path AS id, path AS at_, 'hotspot_blast' AS kind, t / (SELECT max(t) FROM hot) AS severity FROM hot WHERE t >= 0.75 * (SELECT max(t) FROM hot)
+      UNION ALL SELECT 'clade:' || clade, clade, 'change_coupling', count(*) / (SELECT count(*) FROM files) * 30 FROM files GROUP BY clade),
+    pa AS (SELECT DISTINCT path FROM ed), co AS (SELECT path, ri.* FROM pa JOIN ri ON at_ = path OR at_ = split_part(path, '/', 1)),
+    bo AS (SELECT a AS path, b AS near, weight::DOUBLE AS w FROM edges WHERE weight >= 2 UNION ALL SELECT b, a, weight FROM edges WHERE weight >= 2 UNION ALL SELECT path, at_, severity FROM co),
+    kn AS (SELECT path, near, max(w) AS w, row_number() OVER (PARTITION BY path ORDER BY max(w) DESC, near) AS k FROM bo WHERE path IN (FROM pa) AND path <> near GROUP BY 1, 2 QUALIFY k <= 12),
+    dr AS (SELECT edit, near, max(w) AS w FROM ed JOIN kn USING (path) GROUP BY 1, 2), tot AS (SELECT edit, max(w) AS w, count(*) AS n FROM dr GROUP BY 1),
+    gr AS (SELECT edit, max(severity) AS s, list_sort(list(DISTINCT id))[1:20] AS risk_ids FROM ed JOIN co USING (path) GROUP BY 1),
+    ou AS (SELECT *, row_number() OVER (PARTITION BY edit ORDER BY w DESC, near) AS k FROM dr WHERE (edit, near) NOT IN (SELECT (edit, path) FROM ed) QUALIFY k <= 6),
+    ad AS (SELECT edit, list(near ORDER BY k) AS added FROM ou GROUP BY 1)
+    SELECT fe.edit, round(greatest(coalesce(w, 0), 3 * coalesce(s, 0)), 6)::DOUBLE AS blast, coalesce(n, 0) AS n_neighbors, array_to_string(coalesce(added, []), ',') AS added, array_to_string(list_concat([fe.path], coalesce(added, [])), ',') AS fence,
+      array_to_string(coalesce(risk_ids, []), ',') AS risk_ids, greatest(coalesce(w, 0), 3 * coalesce(s, 0)) >= 8 AND coalesce(n, 0) >= 6 AS refuse
+    FROM fe LEFT JOIN tot USING (edit) LEFT JOIN gr USING (edit) LEFT JOIN ad USING (edit)""",
+)
+def _(spark, d):
+    """Every twentieth commit as an edit, fenced by its first file; hot files and clades are its risks."""
+    files = commit_files(spark, d)
+    edits = files.filter(F.col("sha") % 20 == 0).select(F.col("sha").alias("edit"), "path").distinct()
+    hot = files.groupBy("path").agg(F.count("*").alias("t"))
+    top = hot.agg(F.max("t").alias("m"))
+    grave = hot.crossJoin(F.broadcast(top)).filter(F.col("t") >= 0.75 * F.col("m")).select(F.concat(F.lit("hot:"), "path").alias("id"), "path", F.lit("hotspot_blast").alias("kind"), (F.col("t") / F.col("m")).alias("severity"))
+    every = files.agg(F.count("*").alias("m"))
+    wide = files.groupBy("clade").agg(F.count("*").alias("t")).crossJoin(F.broadcast(every)).select(F.concat(F.lit("clade:"), "clade").alias("id"), F.col("clade").alias("path"), F.lit("change_coupling").alias("kind"), (F.col("t") / F.col("m") * 30).alias("severity"))
+    out = fences.fence_previews(edits, coupling.cochange_edges(files, commits(spark, d)), edits.groupBy("edit").agg(F.min("path").alias("path")), grave.unionByName(wide))
+    return out.withColumns({"blast": F.round("blast", 6), **{c: F.array_join(c, ",") for c in ("added", "fence", "risk_ids")}})
