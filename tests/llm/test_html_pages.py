@@ -36,6 +36,43 @@ CASES = {
 }
 
 
+D = "Harbour staff handed out tea, and a school class from the mainland sang until the wind took the roof of the booth."
+#: Pages without article or main, of ten make-ups and more.
+BARE = {
+    "blog": (f"<div class='hentry'><h2 class='entry-title'>Late</h2><div class='entry-meta'><a href=/x>May</a></div><div class='entry-content'><p>{A}</p><p>{B}</p></div></div><div class=widget><h3>Archive</h3>{MENU}</div>", f"Late\n{A}\n{B}"),
+    "bare divs": (f"<div><a href=/>Ferry Watch</a> <a href=/b>Blog</a></div><div><h2>Late</h2><p>{A}</p><p>{B}</p></div><div>Copyright 2020 Ferry Watch</div>", f"Late\n{A}\n{B}"),
+    "numbered classes": (f"<div class=c1>{MENU}</div><div class=c2><div><h2>Late</h2><p>{A}</p><p>{B}</p></div></div><div class=c3>Copyright 2020 Ferry Watch</div>", f"Late\n{A}\n{B}"),
+    "nested frames": (f"<div><div><div>{MENU}</div><div><div><h1>Late</h1><p>{A}</p><p>{D}</p></div></div></div><div><a href=/i>Imprint</a></div></div>", f"Late\n{A}\n{D}"),
+    "divs as paragraphs": (f"<div>{MENU}</div><div><h1>Late</h1><div>{A}</div><div>{B}</div><div>{D}</div></div><div>(c) Ferry Watch</div>", f"Late\n{A}\n{B}\n{D}"),
+    "table layout": (f"<table width=100%><tr><td colspan=2><a href=/>Ferry Watch</a></td></tr><tr><td>{MENU}</td><td><h1>Late</h1><p>{A}</p><p>{B}</p></td></tr></table>", f"Late\n{A}\n{B}"),
+    "no frame at all": (f"<h1>Late</h1><p>{A}</p><p>{B}</p><p>{D}</p>", f"Late\n{A}\n{B}\n{D}"),
+    "sections": (f"<section>{MENU}</section><section><h2>Late</h2><p>{A}</p><p>{B}</p></section><section><p>All rights reserved.</p></section>", f"Late\n{A}\n{B}"),
+    "columns": (f"<div class=row><div class=col><h1>Late</h1><p>{A}</p><p>{B}</p></div><div class=col><h4>Popular</h4>{MENU}</div></div>", f"Late\n{A}\n{B}"),
+    "list of comments": (f"<div class=post-body><h1>Late</h1><p>{A}</p><p>{B}</p></div><ol class=comment-list><li><div><p>{D}</p></div></li><li><div><p>So it was.</p></div></li></ol>", f"Late\n{A}\n{B}"),
+    "articles as comments": (f"<article><h1>Late</h1><p>{A}</p><p>{B}</p></article><section id=comments><article><p>{D}</p></article><article><p>I was there too, and it was late.</p></article></section>", f"Late\n{A}\n{B}"),
+    "discussion": (f"<div><h1>Late</h1><p>{A}</p><p>{B}</p></div><div class=discussion><h3>Discussion</h3><div><p>{D}</p></div></div>", f"Late\n{A}\n{B}"),
+    "site name above": (f"<header><a href=/>Ferry Watch</a></header><article><p>Ok.</p></article>", "Ok."),
+    "small print below a rule": (f"<article><h1>Late</h1><p>{A}</p></article><hr><small>Copyright Ferry Watch</small>", f"Late\n{A}"),
+    "button": (f"<article><h1>Late</h1><p>{A}</p><button>Read more</button><p>{B}</p></article>", f"Late\n{A}\n{B}"),
+    "lists of a choice": (f"<div><h1>Late</h1><p>{A}</p><select><option>One<option>Two</select><p>{B}</p></div>", f"Late\n{A}\n{B}"),
+    "centred": (f"<center><a href=/>Home</a> | <a href=/l>Links</a></center><div><h2>Late</h2><p>{A}</p><p>{B}</p></div><center>Made with care</center>", f"Late\n{A}\n{B}"),
+    "definition list": (f"<div>{MENU}</div><div><h1>Words</h1><p>{A}</p><dl><dt>Ferry</dt><dd>{C}</dd></dl><p>{B}</p></div>", f"Words\n{A}\nFerry\n{C}\n{B}"),
+    "side bar of text": (f"<div id=main-content><h1>Late</h1><p>{A}</p><p>{B}</p></div><div id=sidebar><h3>About</h3><p>{D}</p></div>", f"Late\n{A}\n{B}"),
+    "quotation in divs": (f"<div class=x9><a href=/>Up</a></div><div class=x7><h2>Late</h2><p>{A}</p><blockquote>{C}</blockquote><p>{D}</p></div>", f"Late\n{A}\n{C}\n{D}"),
+    "newsletter box": (f"<div class=text><h1>Late</h1><p>{A}</p><div class=newsletter-signup><p>Get our letter each week, free of charge and without any advertisements at all.</p></div><p>{B}</p></div>", f"Late\n{A}\n{B}"),
+    "menus alone": (f"<div>{MENU}</div><div>{MENU}</div><div>Copyright Ferry Watch</div>", ""),
+}
+
+
+def test_pages_without_telling_elements():
+    got = {name: main_text(page, trained()) for name, (page, _) in BARE.items()}
+    wrong = {name: got[name] for name, (_, want) in BARE.items() if got[name] != want}
+    assert len(wrong) <= 1, wrong
+    for name in ("blog", "bare divs", "numbered classes", "articles as comments", "site name above", "small print below a rule", "button"):
+        assert name not in wrong, got[name]
+    assert not {page for page, _ in BARE.values()} & set(PAGES)
+
+
 def test_pages_labelled_by_hand():
     got = {name: main_text(page, trained()) for name, (page, _) in CASES.items()}
     wrong = {name: got[name] for name, (_, want) in CASES.items() if got[name] != want}
@@ -45,7 +82,7 @@ def test_pages_labelled_by_hand():
     assert not {page for page, _ in CASES.values()} & set(PAGES)
 
 
-@pytest.mark.parametrize("make", [lambda n: "<a " * n, lambda n: "<div>" * n + "</b>" * n, lambda n: "<b>" * n + "<p>x" * n, lambda n: "<!-- " * n, lambda n: "<div><p>" * n + "x", lambda n: "<ul>" + "<li>x" * n])
+@pytest.mark.parametrize("make", [lambda n: "<a " * n, lambda n: "<div>" * n + "</b>" * n, lambda n: "<b>" * n + "<p>x" * n, lambda n: "<!-- " * n, lambda n: "<div><p>" * n + "x", lambda n: "<ul>" + "<li>x" * n, lambda n: "<span>" * n + "<li>x" * n, lambda n: "<span>" * n + "<td>x" * n, lambda n: "<b><article>" + "<i>" * n + "</b>" * n, lambda n: "<svg>" + "<g>" * n + "<div>x" * n, lambda n: "<dl>" + "<dt><b>" * n + "<dd>" * n])
 def test_broken_pages_take_time_in_proportion(make):
     def took(n):
         page, best = make(n), 9.0

@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page's block elements form a tree; inline markup belongs to the block around it. Each block is content or not. Its
-own features (kind of element, words of its class and id, length, share of links, punctuation) give a potential, and
-each parent-child pair one that depends on both states and on the kind of child. Sum-product messages, upward and then
+own features (kind of element, words of its class and id and of those above, length, share of links, punctuation, paragraphs
+beside and within it, its share of the page's text) give a potential, and each parent-child pair one that depends on both states and on the kind of child. Sum-product messages, upward and then
 downward, yield every block's exact marginal; blocks more likely content than not make the text. Weights are fitted by
 gradient ascent on the likelihood of labelled pages (``PAGES``, written for this purpose), whose gradient is the
 observed less the expected features under the same marginals.
@@ -11,7 +11,7 @@ Everything runs page by page, so nothing is shuffled. Text of scripts, styles, c
 text of their own never counts. Character references are decoded, white space within a block becomes one space, blocks
 are joined by a newline in page order; nothing else is dropped or cut.
 
-Edge cases: null or empty html gives an empty text; text outside any element is a block of its own; broken markup is
+Edge cases: null or empty html gives an empty text; a page of any length is read whole, in time that grows in proportion, broken or not; text outside any element is a block of its own; broken markup is
 read as browsers would, roughly; nesting may be of any depth; repeated rows are extracted each; extra columns are ignored.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -35,7 +36,8 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg annotation annotation-xml object head".split())
+# What shows no text of its own in a page, controls of forms included.
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg annotation annotation-xml object head button select datalist".split())
 _RAW_TEXT = frozenset("script style textarea title iframe noembed noframes xmp".split())
 # What may stand in a head, whose end tag is optional; anything else ends it.
 _IN_HEAD = frozenset("html head title meta link base style script noscript template".split())
@@ -87,23 +89,27 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[str]], list[int], list[
             linked[block] += len(plain.strip())
 
     split = [False]  # whether the next text starts a new run
-    held: dict[str, int] = {}  # how many elements of each kind are open, so that none is looked for in vain
+    depths: dict[str, list[int]] = {}  # where elements of each kind are open, so that none is looked for by a walk
+    block_depths: list[int] = []
+
+    def top(*tags: str) -> int:
+        """The innermost open element of some kinds, 0 where there is none."""
+        return max((d[-1] for t in tags if (d := depths.get(t))), default=0)
 
     def close(depth: int) -> None:
         nonlocal hidden, links
         while len(stack) > depth:
             tag, _ = stack.pop()
-            held[tag] -= 1
+            depths[tag].pop()
             hidden -= tag in RAW
             links -= tag == "a"
             if tag in BLOCKS:
+                block_depths.pop()
                 split[0] = True
 
     def end_head() -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] == "head":
-                close(depth)
-                break
+        if depth := top("head"):
+            close(depth)
 
     last = page.rfind(">")
     while at < n:
@@ -120,22 +126,14 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[str]], list[int], list[
             continue
         tag = tag.lower()
         if slash:
-            for depth in range(len(stack) - 1 if held.get(tag) else 0, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if stack[depth][0] in ("table", "article", "main", "body") and tag not in BLOCKS:
-                    break
+            depth = top(tag)
+            if depth and (tag in BLOCKS or depth >= top("table", "article", "main", "body")):
+                close(depth)
             continue
-        if tag not in _IN_HEAD and (stack[-1][0] == "head" or tag == "body") and held.get("head"):
+        if tag not in _IN_HEAD and (stack[-1][0] == "head" or tag == "body") and depths.get("head"):
             end_head()
-        if tag in BLOCKS and held.get("svg"):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in _SVG_HTML or stack[depth][0] in BLOCKS:
-                    break
-                if stack[depth][0] == "svg":
-                    close(depth)
-                    break
+        if tag in BLOCKS and (depth := top("svg")) > max(top(*_SVG_HTML), block_depths[-1] if block_depths else 0):
+            close(depth)
         if tag in _RAW_TEXT:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -146,20 +144,14 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[str]], list[int], list[
                     split[0] = True
                 text(" ")
             continue
-        if tag in _ENDS_P and held.get("p"):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close(depth)
-                    break
-                if stack[depth][0] in BLOCKS:
-                    break
+        if tag in _ENDS_P and block_depths and stack[block_depths[-1]][0] == "p":
+            close(block_depths[-1])
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
-            for depth in range(len(stack) - 1 if any(held.get(t) for t in ends) else 0, 0, -1):
-                if stack[depth][0] in stops:
-                    break
-                if stack[depth][0] in ends:
-                    close(depth)
+            stop = top(*stops)
+            above = [d[k] for t in ends if (d := depths.get(t)) and (k := bisect_right(d, stop)) < len(d)]
+            if above:
+                close(min(above))
         block = stack[-1][1]
         if tag in BLOCKS:
             names = " ".join(x for a in _ATTR.findall(attrs) for x in a[1:] if x)
@@ -170,8 +162,10 @@ def blocks_of(page: str) -> tuple[list[Block], list[list[str]], list[int], list[
             block, split[0] = len(blocks) - 1, True
         if attrs.rstrip().endswith("/") and tag not in BLOCKS:
             continue
+        depths.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            block_depths.append(len(stack))
         stack.append((tag, block))
-        held[tag] = held.get(tag, 0) + 1
         hidden += tag in RAW
         links += tag == "a"
     return blocks, own, linked, [(b, " ".join("".join(p).split())) for b, p in runs]
@@ -183,30 +177,61 @@ OUTER = frozenset(
     "cookie cookies consent notice alert popup modal newsletter subscribe signup login form search share sharing social related recommended more comment comments discussion reply replies respondent "
     "widget toolbar pager pagination tags meta legal copyright disclaimer contentinfo complementary".split()
 )
-INNER = frozenset("article content main post story entry text body copy prose page-content articlebody maincontent".split())
+INNER = frozenset("article content main post story entry hentry text body copy prose page-content articlebody maincontent".split())
 COMMENT = frozenset("comment comments discussion reply replies respondent".split())
-_TAGS = {t: t for t in "p li td div section article main aside nav header footer form ul ol table tr blockquote pre h1 body html dd".split()} | dict.fromkeys(("h2", "h3", "h4", "h5", "h6"), "h2")
+_TAGS = {t: t for t in "center p li td div section article main aside nav header footer form ul ol table tr blockquote pre h1 body html dd".split()} | dict.fromkeys(("h2", "h3", "h4", "h5", "h6"), "h2")
 _NAME = re.compile(r"[a-z]+")
 
 
-def block_features(block: Block, text: str, linked: int, depth: int, below: tuple[int, int] = (0, 0)) -> list[str]:
-    """``below``: letters of the block and all within it, and how many of them are links."""
+#: Letters from which on a text is a paragraph, and the share of links from which on it isn't (for features alone).
+_PARAGRAPH, _LINKED = 80, 0.25
+
+
+class Around(NamedTuple):
+    """What lies about a block: letters and linked letters within it, paragraphs among its children and siblings, letters of the page, what is above."""
+
+    letters: int = 0
+    linked: int = 0
+    kids: int = 0
+    company: int = 0
+    page: int = 0
+    in_outer: bool = False
+    in_reader: bool = False
+
+
+def _few(n: int) -> str:
+    return ("none", "one")[n] if n < 2 else "more"
+
+
+def named(block: Block) -> tuple[bool, bool, bool]:
+    """Whether a block's names or kind say that it is outside the text, inside it, or for readers' comments."""
     names = set(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", block.names).lower()))
+    return bool(names & OUTER and not names & INNER), bool(names & INNER and not names & OUTER), bool(names & COMMENT)
+
+
+def block_features(block: Block, text: str, linked: int, depth: int, around: Around) -> list[str]:
+    outer, inner, reader = named(block)
     size = len(text)
     share = linked / size if size else 0.0
     kind = _TAGS.get(block.tag, "other")
     length = "none" if not size else "short" if size < 25 else "line" if size < 80 else "some" if size < 250 else "long"
     out = ["bias", f"tag={kind}", f"length={length}", f"{kind}:{length}"]
-    out += ["outer"] * bool(names & OUTER and not names & INNER) + ["inner"] * bool(names & INNER and not names & OUTER) + ["reader"] * bool(names & COMMENT)
+    out += ["outer"] * outer + ["inner"] * inner + ["reader"] * reader + ["in-outer"] * around.in_outer + ["in-reader"] * around.in_reader
     if size:
         out.append("links=" + ("most" if share > 0.6 else "many" if share > 0.25 else "few" if linked else "none"))
-        out += ["stop"] * (text[-1:] in ".!?…\"”»") + ["rights"] * ("©" in text[:40])
-    if below[0]:
-        lies = below[1] / below[0]
+        out += ["stop"] * (text[-1:] in ".!?…\"”»") + ["rights"] * bool(_RIGHTS.search(text[:60]))
+        out += [f"company={_few(around.company)}", f"{length}:company={_few(around.company)}"]
+    if around.letters:
+        lies = around.linked / around.letters
         out.append(f"{kind}:below=" + ("links" if lies > 0.6 else "mixed" if lies > 0.25 else "text"))
+        part = (around.letters - around.linked) / max(1, around.page)
+        out.append("page=" + ("most" if part > 0.5 else "half" if part > 0.25 else "some" if part > 0.08 else "little"))
+    out += [f"kids={_few(around.kids)}"] * (not size)
     return out + ["deep"] * (depth > 8)
 
 
+#: How a note on rights begins (a fixed value).
+_RIGHTS = re.compile(r"©|\(c\)|copyright|all rights", re.I)
 #: Pairs: child kinds whose state hangs together with the parent's in their own way.
 _PAIR = {t: t for t in "p nav aside footer header form ul li div section article main h1 td table".split()}
 
@@ -219,16 +244,27 @@ class Tree(NamedTuple):
 
 
 def tree_of(blocks: list[Block], own: list[list[str]], linked: list[int]) -> Tree:
-    depth = [0] * len(blocks)
+    n = len(blocks)
+    depth, in_outer, in_reader, kids = [0] * n, [False] * n, [False] * n, [0] * n
     texts = [" ".join("".join(x).split()) for x in own]
     below = [[len(t), k] for t, k in zip(texts, linked, strict=True)]
-    for i in range(len(blocks) - 1, 0, -1):
+    told = [named(b) for b in blocks]
+    paragraph = [len(t) >= _PARAGRAPH and k <= _LINKED * len(t) for t, k in zip(texts, linked, strict=True)]
+    for i in range(n - 1, 0, -1):
+        up = blocks[i].parent
+        kids[up] += paragraph[i]
         for j in (0, 1):
-            below[blocks[i].parent][j] += below[i][j]
+            below[up][j] += below[i][j]
+    page = below[0][0] - below[0][1]
     features = []
     for i, b in enumerate(blocks):
-        depth[i] = depth[b.parent] + 1 if i else 0
-        features.append(block_features(b, texts[i], linked[i], depth[i], (below[i][0], below[i][1])))
+        if i:
+            up = b.parent
+            depth[i] = depth[up] + 1
+            in_outer[i] = in_outer[up] or told[up][0] or blocks[up].tag in ("nav", "aside", "footer")
+            in_reader[i] = in_reader[up] or told[up][2]
+        company = kids[b.parent] - paragraph[i] if i else 0
+        features.append(block_features(b, texts[i], linked[i], depth[i], Around(*below[i], kids[i], company, page, in_outer[i], in_reader[i])))
     return Tree([b.parent for b in blocks], features, [_PAIR.get(b.tag, "other") for b in blocks], [b.label for b in blocks])
 
 
@@ -331,6 +367,56 @@ def _other_page(i: int) -> str:
 
 
 PAGES += [_other_page(i) for i in range(24)]
+# Pages of divs without telling names, blogs, tables and bare bodies: what surrounds a text must tell.
+_TEXTS = (f"<p>{_LONG}</p><p>{_MORE}</p>", f"<p>{_LONG}</p><p>{_LINE}</p><p>{_MORE}</p>", f"<div>{_LONG}</div><div>{_MORE}</div><div>{_LINE}</div>", f"<p>{_MORE}</p><ul><li>{_LINE}</li><li>Go home.</li></ul><p>{_LONG}</p>",
+          f"{_LONG}<br><br>{_MORE}", f"<p>{_LONG}</p><h3>Boats</h3><p>{_MORE}</p>", f"<p>{_MORE}</p>", f"<p>{_LONG}</p><table><tr><th>Day</th><td>Noon</td></tr><tr><td>Level</td><td>Four metres</td></tr></table><p>{_MORE}</p>")
+_LINKS = ("<a href='/'>Home</a> <a href='/n'>News</a> <a href='/s'>Sport</a>", _MENU, "<span><a href='/a'>About us</a></span> | <span><a href='/c'>Write to us</a></span>", "<a href='/'>The Valley Post</a>")
+_ENDS = ("Copyright 2021 The Valley Post", "&copy; The Valley Post. All rights reserved.", "Printed in the valley", "(c) a.example", "Copyright of the Post. Nothing may be copied without asking us first, and then only in part.")
+_ASIDES = (f"<h3>Most read</h3>{_MENU}", "<h4>Search</h4><form><input></form>", "<p>Five walks along the river for the weekend.</p>", f"<h3>Archive</h3><ul><li><a href='/1'>May</a></li><li><a href='/2'>June</a></li></ul>", "")
+
+
+def _bare_page(i: int) -> str:
+    text, links, end, side = _TEXTS[i % 8], _LINKS[i // 2 % 4], _ENDS[i % 5], _ASIDES[i // 3 % 5]
+    title = f"<{'h1 h2 h3 h2'.split()[i % 4]}>{_BITS[i % 5]}</{'h1 h2 h3 h2'.split()[i % 4]}>"
+    said = f"<div><p>{(_MORE, _LINE, _LONG)[i % 3]}</p></div>"
+    comments = ("", f"<section id='comments' data-rest><h3>Two comments</h3><article><p>{_LONG}</p></article><article><p>{_LINE}</p></article></section>", f"<div class='discussion' data-rest>{said}{said}</div>", f"<ol class='comment-list' data-rest><li>{said}</li><li>{said}</li></ol>")[i % 4]
+    kind = i % 9
+    if kind == 0:
+        return _SHELL % f"<div>{links}</div><div data-main>{title}{text}</div><div>{end}</div>"
+    if kind == 1:
+        return _SHELL % f"<div class='c1'>{links}</div><div class='c2'><div class='c3' data-main>{title}{text}</div><div class='c4'>{side}</div></div><div class='c5'>{end}</div>"
+    if kind == 2:
+        return _SHELL % f"<div id='page'><div id='masthead'>{links}</div><div class='hentry' data-main><h2 class='entry-title'>{_BITS[i % 5]}</h2><div class='entry-meta' data-rest><a href='/d'>May 4</a> by <a href='/w'>a writer</a></div><div class='entry-content'>{text}</div></div>{comments}<div class='widget-area'>{side}</div><div id='colophon'>{end}</div></div>"
+    if kind == 3:
+        return _SHELL % f"<table><tr><td>{_LINKS[3 - i // 9 % 4]}</td></tr><tr><td>{links}</td><td data-main>{title}{text}</td><td>{side}</td></tr><tr><td>{end}</td></tr></table>"
+    if kind == 4:
+        return f"<html><body data-rest><p>{links}</p><h1 data-main>{_BITS[i % 5]}</h1>" + "".join(f"<p data-main>{t}</p>" for t in (_LONG, _MORE, _LINE)[: 2 + i % 2]) + f"<hr><p>{end}</p></body></html>"
+    if kind == 5:
+        return _SHELL % f"<header>{_LINKS[3]}</header><article data-main>{title if i % 2 else ''}{(text, f'<p>{_BITS[i % 5]}</p>')[i // 9 % 2]}</article>{comments}<footer>{end}</footer>"
+    if kind == 6:
+        return _SHELL % f"<div class='wrap'><div class='row'><div class='col-8' data-main>{title}{text}</div><div class='col-4'>{side}{links}</div></div>{comments}</div><div class='row'><small>{end}</small></div>"
+    if kind == 7:
+        return _SHELL % f"<center>{links}</center><div><div><div data-main>{title}{text}</div></div></div><center><font>{end}</font></center>"
+    return _SHELL % f"<section>{links}</section><section data-main>{title}{text}<p data-rest><a href='/m'>Read more about the flood</a></p></section>{comments}<section><p>{end}</p></section>"
+
+
+PAGES += [_bare_page(i) for i in range(63)]
+# Adverts, notices and site names of any length beside and within plainly marked texts.
+_AD = ("ad", "advert", "sponsored", "banner-top", "promo", "notice", "cookie-consent", "ads")
+
+
+def _advert_page(i: int) -> str:
+    said = _BITS[(3 * i + 1) % len(_BITS)]
+    ad = f"<div class='{_AD[i % 8]}' data-rest>{said if i % 3 else f'<p>{said}</p>'}</div>"
+    text = f"<h1>{_BITS[(i + 2) % 5]}</h1>{_TEXTS[i % 8]}"
+    tag = ("article", "main", "article", "div class='story'")[i % 4]
+    inside = text.replace("</p><p>", f"</p>{ad}<p>", 1) if i % 2 and "</p><p>" in text else text
+    before = (f"<nav>{_MENU}</nav>", "<header><a href='/'>The Valley Post</a></header>", f"<header><a href='/'>Post</a></header><nav>{_MENU}</nav>", "")[i // 2 % 4]
+    side = ("", f"<aside class='sidebar'><p>More on the valley</p>{_MENU}</aside>")[i // 4 % 2]
+    return _SHELL % f"{before}{ad if inside is text else ''}<{tag} data-main>{inside}</{tag.split()[0]}>{side}<footer>{_ENDS[i % 5]}</footer>"
+
+
+PAGES += [_advert_page(i) for i in range(44)]
 # Fragments without the page around them.
 PAGES += [f"<article data-main>{''.join(f'<p>{w}</p>' for w in _BITS[i : i + 1 + i % 3])}</article>" for i in range(len(_BITS))]
 PAGES += [f"<nav>{_MENU}</nav><main data-main><h1>{_BITS[i]}</h1><p>{_BITS[i + 1]}</main><footer>{_BITS[i + 2]}</footer>" for i in range(0, 8, 2)]
