@@ -53,24 +53,28 @@ _TOK = "list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{2,}'))"
 
 @query(
     "snapshot_similarity",
-    f"""WITH t AS (SELECT conv_id AS path, turn, {_TOK} AS items FROM conversations WHERE turn < 2), p AS (SELECT a.path, a.items AS a, b.items AS b FROM t a JOIN t b ON a.path = b.path AND a.turn = 0 AND b.turn = 1)
+    f"""WITH t AS (SELECT conv_id, turn, {_TOK} AS items FROM conversations), p AS (SELECT a.conv_id || ':' || a.turn AS path, a.items AS a, b.items AS b FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
     SELECT path, round(len(list_intersect(a, b)) / greatest(1, len(list_distinct(list_concat(a, b)))), 6) AS similarity FROM p""",
 )
 def _(spark, d):
-    snaps = table(spark, d, "conversations").filter("turn < 2").select(F.col("conv_id").alias("path"), F.col("turn").alias("snap"), F.array_distinct(T.tokenize(F.col("text"))).alias("items"))
+    """Every turn of a conversation is a snapshot; it is compared with the next one."""
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(T.tokenize(F.col("text"))).alias("items"))
+    path = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string")).alias("path")
+    snaps = said.select(path(F.col("turn")), F.lit(0).alias("snap"), "items").unionByName(said.select(path(F.col("turn") - 1), F.lit(1).alias("snap"), "items"))
     return lineage.snapshot_similarity(snaps).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
     "evidence_overlap",
-    f"""WITH t AS (SELECT conv_id, turn, {_TOK} AS items FROM conversations WHERE turn < 2) SELECT a.conv_id, round(len(list_intersect(a.items, b.items)) / greatest(1, least(len(a.items), len(b.items))), 6) AS share,
-    len(list_intersect(a.items, b.items)) / greatest(1, least(len(a.items), len(b.items))) >= 0.08 AS faithful FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1""",
+    f"""WITH t AS (SELECT conv_id, turn, {_TOK} AS items FROM conversations) SELECT a.conv_id, a.turn, round(len(list_intersect(a.items, b.items)) / greatest(1, least(len(a.items), len(b.items))), 6) AS share,
+    len(list_intersect(a.items, b.items)) / greatest(1, least(len(a.items), len(b.items))) >= 0.08 AS faithful FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
 )
 def _(spark, d):
+    """What each turn says against the turn before it."""
     t = table(spark, d, "conversations").select("conv_id", "turn", T.tokenize(F.col("text")).alias("items"))
-    j = t.filter("turn = 0").select("conv_id", F.col("items").alias("a")).join(t.filter("turn = 1").select("conv_id", F.col("items").alias("b")), "conv_id")
+    j = t.select("conv_id", "turn", F.col("items").alias("a")).join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("items").alias("b")), ["conv_id", "turn"])
     share = traces.overlap(F.col("a"), F.col("b"))
-    return j.select("conv_id", F.round(share, 6).alias("share"), (share >= 0.08).alias("faithful"))
+    return j.select("conv_id", "turn", F.round(share, 6).alias("share"), (share >= 0.08).alias("faithful"))
 
 
 @query(

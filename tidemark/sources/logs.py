@@ -86,14 +86,15 @@ def _folders(path: Column) -> Column:
     return F.split(path, "/")
 
 
-def source_files(spark: SparkSession, path: str, contents: bool = True) -> DataFrame:
-    """(path, size, text, blob) of source files below a folder, without the skipped folders; contents to 200 000 letters."""
+def source_files(spark: SparkSession, path: str, contents: bool = True, most: int | None = None) -> DataFrame:
+    """(path, size, text, blob) of source files below a folder, without the skipped folders; whole contents, or ``most`` letters of them."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kept = raw.filter(ext.isin(*SOURCE_EXTENSIONS) & ~F.arrays_overlap(_folders(F.col("path")), F.array(*map(F.lit, SKIPPED))))
     if not contents:
         return kept.select("path", F.col("length").alias("size"))
-    return kept.select("path", F.col("length").alias("size"), F.substring(F.decode("content", "UTF-8"), 1, 200_000).alias("text"), F.sha1("content").alias("blob"))
+    text = F.decode("content", "UTF-8")
+    return kept.select("path", F.col("length").alias("size"), (F.substring(text, 1, most) if most else text).alias("text"), F.sha1("content").alias("blob"))
 
 
 def packages(manifests: DataFrame) -> DataFrame:
