@@ -93,6 +93,45 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = True)
     return seen
 
 
+def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, rels: list[str] | None = None, kinds: list[str] | None = None, family: str | None = None, directed: bool = False) -> DataFrame:
+    """(id, hops, parent, via) of the nodes within ``depth`` steps of the seeds (id), and how each was come to first; of several ways the least parent, then relation.
+
+    Walks over some relations only and through nodes of some kinds or one family only; seeds need not be of them.
+    """
+    links = edges if rels is None else edges.filter(F.col("rel").isin(*rels))
+    back = links.select(F.col("target").alias("source"), F.col("source").alias("target"), "rel")
+    step = links.select("source", "target", "rel") if directed else links.select("source", "target", "rel").unionByName(back)
+    allowed = nodes.filter(F.col("kind").isin(*kinds)) if kinds is not None else nodes
+    allowed = allowed.filter(family_of(F.col("kind")) == family) if family else allowed
+    step = cut(step.distinct().join(allowed.select(F.col("id").alias("target")), "target", "left_semi"), "steps")
+    none = F.lit(None).cast("string")
+    seen = cut(seeds.select("id").distinct().join(nodes.select("id"), "id", "left_semi").select("id", F.lit(0).alias("hops"), none.alias("parent"), none.alias("via")), "expand")
+    frontier = seen
+    for hop in range(1, depth + 1):
+        ways = frontier.select(F.col("id").alias("source")).join(step, "source").groupBy(F.col("target").alias("id")).agg(F.min(F.struct(F.col("source").alias("parent"), F.col("rel").alias("via"))).alias("w"))
+        frontier = cut(ways.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hops"), "w.parent", "w.via"), "expand")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def induced(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) among some ids (id) alone."""
+    own = ids.select("id").distinct()
+    kept = edges.join(own.withColumnRenamed("id", "source"), "source", "left_semi").join(own.withColumnRenamed("id", "target"), "target", "left_semi")
+    return nodes.join(own, "id", "left_semi"), kept.select("source", "target", "rel")
+
+
+def search_near(nodes: DataFrame, edges: DataFrame, tokens: list[str], depth: int = 2, first: int = 16) -> DataFrame:
+    """(id, score): nodes that hold query words, and those near the best of these, each by the greater of its own score and what a wave from the hits lends it."""
+    hits = search(nodes, tokens).select("id", "score")
+    best = cut(hits.orderBy(F.desc("score"), "id").limit(first), "hits")
+    wave = wavefront(edges, best.select("id"), hits.select("id", F.col("score").alias("own")), depth)
+    both = hits.unionByName(wave.join(nodes.select("id"), "id", "left_semi").select("id", "score"))
+    return both.groupBy("id").agg(F.max("score").alias("score"))
+
+
 def ancestors(edges: DataFrame, starts: DataFrame, rel: str = "parent_of", depth: int = 64) -> DataFrame:
     """(id, hops) of what leads to the starts over one relation; cycles end where they meet what was seen."""
     back = edges.filter(F.col("rel") == rel).select(F.col("target").alias("source"), F.col("source").alias("target"))

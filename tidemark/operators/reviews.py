@@ -193,8 +193,11 @@ def commit_model(commits: DataFrame, parents: DataFrame, files: DataFrame, types
     return out.select("sha", intent(F.col("subject"), n0)["kind"].alias("intent"), "division", "score", n0.cast("bigint").alias("parents"), F.coalesce(F.col("division") != F.col("_above"), F.lit(False)).alias("shift"))
 
 
-def query_context(nodes: DataFrame, edges: DataFrame, search: list[str] | None = None, flow: DataFrame | None = None, family: tuple[str, DataFrame] | None = None, pivot: str | None = None, precedent: list[str] | None = None, depth: int = 4) -> DataFrame:
-    """(mode, id, score) of all that is asked for at once: words, a flow from seeds (id), a family from seeds, members of a pivot type, precedents."""
+def query_context(nodes: DataFrame, edges: DataFrame, search: list[str] | None = None, flow: DataFrame | None = None, family: tuple[str, DataFrame] | None = None, pivot: str | None = None, precedent: list[str] | None = None, depth: int = 4, traverse: DataFrame | None = None, previous: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(mode, id, score) of all that is asked for at once: words, a flow from seeds (id), a family from seeds, members of a pivot type, precedents.
+
+    ``traverse`` (id) asks for what lies around; ``previous`` (nodes, state before, state now) for what changed since, by urgency: see ``delta_events``.
+    """
     as_rows = lambda df, mode, score: df.select(F.lit(mode).alias("mode"), "id", score.cast("double").alias("score"))
     near = 1 / (1 + F.col("hops"))
     parts = [
@@ -203,10 +206,12 @@ def query_context(nodes: DataFrame, edges: DataFrame, search: list[str] | None =
         as_rows(reports.family_walk(nodes, edges, family[1], family[0], depth), "family", near) if family else None,
         as_rows(reports.pivot_join(nodes, edges, pivot), "pivot", F.lit(1.0)) if pivot else None,
         as_rows(graph.precedents(nodes, edges, precedent), "precedent", F.col("score")) if precedent else None,
+        as_rows(graph.expand(nodes, edges, traverse, depth), "traverse", near) if traverse is not None else None,
+        as_rows(delta_events(previous[0], nodes, previous[1], previous[2]).withColumnRenamed("ref", "id"), "delta", F.col("urgency")) if previous is not None else None,
     ]
     asked = [p for p in parts if p is not None]
     if not asked:
-        raise ValueError("name at least one of search, flow, family, pivot and precedent")
+        raise ValueError("name at least one of search, flow, family, pivot, precedent, traverse and previous")
     return reduce(DataFrame.unionByName, asked)
 
 

@@ -169,6 +169,21 @@ def gate(stability: DataFrame, fresh: DataFrame, fatigue: DataFrame, min_stabili
     return one.select((F.size(fails) == 0).alias("passed"), F.array_join(fails, ",").alias("failures"), F.array_join(warns, ",").alias("warnings"), "new_p0")
 
 
+def gate_with_tests(gates: DataFrame, tests: DataFrame, *keys: str, require_coverage: bool = False, least_gain: float = 0.0) -> DataFrame:
+    """(keys, passed, failures, warnings): a gate's rows (keys, passed, failures, warnings) with those of test runs (keys, ok, coverage, previous_coverage).
+
+    A run that failed, a coverage that is asked for and missing, or one that gained less than ``least_gain``, fails the gate. Without a test run nothing changes.
+    """
+    ran = tests.select(*keys, F.col("ok").alias("_ok"), F.col("coverage").alias("_now"), F.col("previous_coverage").alias("_then"), F.lit(True).alias("_ran"))
+    rows = gates.join(ran, list(keys), "left") if keys else gates.crossJoin(F.broadcast(ran))
+    there = F.coalesce("_ran", F.lit(False))
+    more = F.array_compact(F.array(
+        F.when(F.col("failures") != "", F.col("failures")), F.when(there & ~F.coalesce("_ok", F.lit(False)), F.lit("tests")), F.when(there & F.lit(require_coverage) & F.col("_now").isNull(), F.lit("coverage_missing")),
+        F.when(there & (F.col("_now") - F.col("_then") + 1e-12 < least_gain), F.lit("coverage")),
+    ))
+    return rows.select(*keys, (F.size(more) == 0).alias("passed"), F.array_join(more, ",").alias("failures"), "warnings")
+
+
 def budget_breach(usage: DataFrame, prices: DataFrame, limit: float) -> DataFrame:
     """(run, at, spent): where each run's running cost first passes the limit. usage(run, at, model, tokens), prices(model, per_1k)."""
     cost = usage.join(prices, "model", "left").withColumn("cost", F.col("tokens") / 1000 * F.coalesce("per_1k", F.lit(0.0)))

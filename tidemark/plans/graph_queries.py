@@ -130,3 +130,30 @@ def _(spark, d):
 def _(spark, d):
     nodes = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("valid_from"))
     return graph.close_windows(nodes).select("id", "key", F.date_format(F.col("valid_to").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("valid_to"))
+
+
+@query(
+    "graph_expand",
+    G
+    + """, both_ AS (SELECT source, target, rel FROM edges UNION SELECT target, source, rel FROM edges), ok AS (SELECT b.* FROM both_ b JOIN nodes n ON n.id = target WHERE kind IN ('context', 'commit')),
+    w AS (SELECT 'n3' AS id, 0 AS hops UNION SELECT target, hops + 1 FROM w JOIN ok ON source = id WHERE hops < 3), h AS (SELECT id, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY 1),
+    p AS (SELECT h.id, h.hops, ok.source AS parent, ok.rel AS via, row_number() OVER (PARTITION BY h.id ORDER BY ok.source, ok.rel) AS k FROM h JOIN ok ON ok.target = h.id JOIN h u ON u.id = ok.source AND u.hops = h.hops - 1)
+    SELECT id, hops, parent, via FROM p WHERE k = 1 UNION ALL SELECT 'n3', 0, NULL, NULL""",
+)
+def _(spark, d):
+    """What lies around a nation through customers and orders alone, and by which way."""
+    nodes, edges = context(spark, d)
+    return graph.expand(nodes, edges, spark.createDataFrame([("n3",)], "id string"), 3, kinds=["context", "commit"])
+
+
+@query(
+    "graph_search_near",
+    G
+    + """, se AS (SELECT id, CASE WHEN contains(b, 'cold') THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN contains(b, 'widget') THEN 0.5 ELSE 0 END::DOUBLE + 0.2::DOUBLE AS score FROM (SELECT id, lower(concat_ws(' ', id, kind, label)) AS b FROM nodes) WHERE contains(b, 'cold') OR contains(b, 'widget')),
+    be AS (SELECT id FROM se ORDER BY score DESC, id LIMIT 16), und AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges),
+    w AS (SELECT id, 0 AS hops FROM be UNION SELECT und.target, hops + 1 FROM w JOIN und ON und.source = w.id WHERE hops < 2), wv AS (SELECT w.id, 0.4::DOUBLE / (1 + min(hops)) + coalesce(max(se.score), 0) AS score FROM w LEFT JOIN se ON se.id = w.id GROUP BY 1)
+    SELECT id, round(max(score), 6) AS score FROM (FROM se UNION ALL FROM wv) GROUP BY 1""",
+)
+def _(spark, d):
+    nodes, edges = context(spark, d)
+    return graph.search_near(nodes, edges, ["cold", "widget"]).withColumn("score", F.round("score", 6))

@@ -91,6 +91,23 @@ def _(spark, d):
     return risk.gate(stable, risk.new_critical(now, now.filter("kind = 'low_fitness'")), stable.select(F.lit(0.2).alias("fatigue")))
 
 
+@query(
+    "test_gate",
+    C + """, g AS (SELECT author AS run, 1 / (1 + 0.002 * avg(churn) + 3 * avg(is_revert::INT)) AS st, count(*) FILTER (subject = '1-URGENT') % 3 > 0 AS ok, CASE WHEN count(*) % 5 > 0 THEN avg((subject = '5-LOW')::INT) END AS now, 0.2::DOUBLE AS prev FROM commits GROUP BY 1),
+    f AS (SELECT *, list_filter([CASE WHEN st < 0.7 THEN 'stability' END, CASE WHEN NOT ok THEN 'tests' END, CASE WHEN now IS NULL THEN 'coverage_missing' END, CASE WHEN now - prev + 1e-12 < 0.005 THEN 'coverage' END], lambda x: x IS NOT NULL) AS l FROM g)
+    SELECT run, len(l) = 0 AS passed, array_to_string(l, ',') AS failures, '' AS warnings FROM f""",
+)
+def _(spark, d):
+    """Every nation's log as a run: its gate, then its tests and their coverage."""
+    from tidemark.operators.graph import cut
+
+    c = cut(commits(spark, d), "runs").groupBy(F.col("author").alias("run")).agg(
+        (1 / (1 + 0.002 * F.avg("churn") + 3 * F.avg(F.col("is_revert").cast("int")))).alias("st"), (F.count_if(F.col("subject") == "1-URGENT") % 3 > 0).alias("ok"), F.when(F.count("*") % 5 > 0, F.avg((F.col("subject") == "5-LOW").cast("int"))).alias("coverage"), F.lit(0.2).alias("previous_coverage")
+    )
+    gates = c.select("run", (F.col("st") >= 0.7).alias("passed"), F.when(F.col("st") < 0.7, "stability").otherwise("").alias("failures"), F.lit("").alias("warnings"))
+    return risk.gate_with_tests(gates, c, "run", require_coverage=True, least_gain=0.005)
+
+
 @query(
     "budget_breach",
     """WITH c AS (SELECT user_id AS run, event_id AS at_, value / 1000 * CASE event_type WHEN 'error' THEN 2.0::DOUBLE WHEN 'signup' THEN 1.0::DOUBLE ELSE 0 END AS cost FROM events),
