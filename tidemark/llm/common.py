@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's checkpoint directory.
 
-    Where the session names none (tests), a temporary one is set, which is only right on one machine.
+    Where the session names none, a local master (tests) gets a temporary one; a cluster is refused.
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
     return jsc.getCheckpointDir().get()
 

@@ -16,6 +16,7 @@ table gives an empty result. Scores are exact whole numbers up to 2**62 - 1; com
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -112,6 +113,13 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "h": [total.tobytes()]})
 
 
+def _totals(parts: DataFrame, tasks: int) -> DataFrame:
+    """(chunk, h) summed over all tasks in two steps, so that no group holds more than about the square root of their number."""
+    some = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(tasks)))))
+    once = some.groupBy("chunk", "g").applyInPandas(_sum, "chunk bigint, h binary")
+    return once.groupBy("chunk").applyInPandas(_sum, "chunk bigint, h binary")
+
+
 def _winners(shared, kth, need, dim: int, k: int) -> Callable:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qvecs = shared.value
@@ -190,10 +198,11 @@ def _search_block(spark, cand: DataFrame, qids: np.ndarray, qvecs: np.ndarray, r
     width = 1
     while width * BINS < 2 * bound + 1:
         width *= 2
+    tasks = cand.rdd.getNumPartitions()
     lows, widths, above, bins = np.full(n, -(width * BINS) // 2, np.int64), np.full(n, width, np.int64), np.zeros(n, np.int64), BINS
     while True:
         parts = cand.mapInArrow(_histograms(shared, lows, widths, bins, dim), "chunk bigint, h binary")
-        sums = parts.groupBy("chunk").applyInPandas(_sum, "chunk bigint, h binary").orderBy("chunk").toPandas()
+        sums = _totals(parts, tasks).orderBy("chunk").toPandas()
         hist = np.concatenate([np.frombuffer(h, "<i8").reshape(-1, BINS) for h in sums["h"]]) if len(sums) else np.zeros((n, BINS), np.int64)
         downward = above[:, None] + np.cumsum(hist[:, ::-1], axis=1)
         enough = downward >= k
