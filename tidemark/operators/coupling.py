@@ -35,11 +35,19 @@ def pairs_within(items: DataFrame, key: str, item: str) -> DataFrame:
     return met.filter(F.size("_all") > 1).select(F.col("_key").alias(key), F.explode(F.flatten(later)).alias("p")).select(key, "p.a", "p.b")
 
 
+def pairs_of_few(items: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, a, b) of all distinct items of one key, a < b, where the caller has bounded the items of a key: one small array each."""
+    own = items.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("_all")).filter(F.size("_all") > 1)
+    later = F.transform("_all", lambda x, i: F.transform(F.slice("_all", i + 2, F.size("_all")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    return own.select(key, F.explode(F.flatten(later)).alias("p")).select(key, "p.a", "p.b")
+
+
 def cochange_edges(files: DataFrame, commits: DataFrame, min_weight: int = 2) -> DataFrame:
     """(a, b, weight): in how many commits both files change."""
     small, _ = split_large(commits)
     kept = files.select("sha", "path").join(small.select("sha"), "sha", "left_semi")
-    return pairs_within(kept, "sha", "path").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
+    # A commit that couples its files has at most MAX_FILES of them.
+    return pairs_of_few(kept, "sha", "path").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
 
 
 def ticket_edges(files: DataFrame, tickets: DataFrame, min_weight: int = 1) -> DataFrame:
