@@ -94,3 +94,21 @@ def test_empty_tables(tables):
     none = {k: v.limit(0) for k, v in tables.items()}
     ledger = records.records(none)
     assert ledger.count() == 0 and records.claim_frames(none, ledger).count() == 0 and records.path_packs(ledger).count() == 0
+
+
+def test_records_by_path_tag_and_time(tables):
+    ledger = records.records(tables)
+    ids = lambda **k: {r["id"] for r in records.select_records(ledger, **k).collect()}
+    assert ids(tag="genetics") == {"flow:k:k", "hgt:0123456789abcdef", "clone:x", "fork:h", "ret:a.py:b.py"} and ids(clade="micro") == {"sym:f", "cst:a.py:call:1", "cstwin:1"}
+    assert ids(clade="k", kinds=["lineage", "clade"]) == {"clade:k", "lineage:a.py"} and "delta:0123456789:a.py" in ids(path="a.py") and "lineage:a.py" in ids(since="2025-01-01") and "delta:0123456789:a.py" not in ids(since="2025-01-01")
+    assert len(ids()) == len(records.KINDS) + 1
+
+
+def test_frames_by_key_and_focus(tables, spark):
+    ledger = records.records(tables)
+    frames = records.claim_frames(tables, ledger)
+    keys = spark.createDataFrame([("frame:stage",), ("exp:x",), ("response",), ("nothing",)], "key string")
+    assert {r["key"]: r["id"] for r in records.find_frames(frames, keys).collect()} == {"frame:stage": "frame:stage", "exp:x": "frame:exp:x", "response": "frame:response:v1"}
+    assert {r["id"] for r in records.frames_on(frames, ledger, path="a.py").collect()} == {"frame:risk:x", "frame:exp:x", "frame:branch:ui/form"}
+    assert records.frames_on(frames, ledger, path="nowhere").count() == frames.count() and records.frames_on(frames, ledger, path="nowhere", most=2).count() == 2
+    assert records.find_frames(frames.limit(0), keys).count() == 0

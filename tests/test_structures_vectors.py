@@ -78,3 +78,20 @@ def test_terms_keep_their_strongest_contexts(spark):
     assert len(near) == 6 and all(r["term"] != r["neighbor"] for r in near)
     model = wordvectors.model_vectors(wordvectors.skipgram(rows, size=8))
     assert model.count() == 4 and model.select(F.size("v")).first()[0] == 8
+
+
+def test_cohesion_counts_every_pair(spark):
+    from tidemark.operators.texts import cohesion
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 3.0]), (4, [0.0, 1.0])], "id int, v array<double>")
+    clusters = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "id int, cluster string")
+    got = {r["cluster"]: (r["size"], round(r["cohesion"], 9)) for r in cohesion(vectors, clusters).collect()}
+    assert got == {"a": (3, round(1 / 3, 9)), "b": (1, 0.0)}
+
+
+def test_symbols_as_a_table_function(spark):
+    from tidemark.operators.texts import register_tables
+
+    register_tables(spark)
+    got = spark.sql("SELECT * FROM symbols('python', 'class A:\n  async def b(x):\n    pass\n') UNION ALL SELECT * FROM symbols('cobol', 'def c()') UNION ALL SELECT * FROM symbols('go', NULL)").collect()
+    assert [tuple(r) for r in got] == [("A", "class", 1), ("b", "function", 2)]

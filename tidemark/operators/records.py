@@ -224,3 +224,38 @@ def path_packs(ledger: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     gathered = first.groupBy("path").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("slot") == n, F.struct("k", "id")))), lambda x: x["id"]).alias(n) for n in names])
     clade = rows.filter("path IS NOT NULL AND clade IS NOT NULL").groupBy("path").agg(F.min(F.struct((F.col("kind") != "lineage").alias("other"), "clade")).getField("clade").alias("clade"))
     return gathered.join(clade, "path", "left")
+
+
+def select_records(ledger: DataFrame, path: str | None = None, clade: str | None = None, kinds: list[str] | None = None, tag: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Records that pass all filters: a path held in theirs or in their label, a clade or a tag of that name, kinds, a tag, and a span of time, which those without a time pass too."""
+    out = ledger
+    if path:
+        out = out.filter(F.coalesce(F.contains("path", F.lit(path)), F.lit(False)) | F.coalesce(F.contains("label", F.lit(path)), F.lit(False)))
+    if clade:
+        out = out.filter(F.coalesce(F.col("clade") == clade, F.lit(False)) | F.array_contains("tags", clade))
+    if kinds:
+        out = out.filter(F.col("kind").isin(*kinds))
+    if tag:
+        out = out.filter(F.array_contains("tags", tag))
+    if since:
+        out = out.filter(F.col("at").isNull() | (F.col("at") >= F.lit(since).cast("timestamp")))
+    if until:
+        out = out.filter(F.col("at").isNull() | (F.col("at") <= F.lit(until).cast("timestamp")))
+    return out
+
+
+def find_frames(frames: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, id): for each key the first frame of that id, or that ends with it, or that holds it. Frames are few, so they are dealt to all keys as one array."""
+    named = F.array(*[F.lit(r["id"]) for r in frames.orderBy("place").select("id").collect()])  # FRAMES at most
+    hit = F.get(F.filter(named, lambda i: F.contains(i, F.col("key"))), F.lit(0))
+    return keys.select("key", hit.alias("id")).filter("id IS NOT NULL")
+
+
+def frames_on(frames: DataFrame, ledger: DataFrame, path: str | None = None, clade: str | None = None, most: int = 12) -> DataFrame:
+    """The frames that a path or clade concerns, by their evidence or their claim, the first ``most``; all of the first where it concerns none."""
+    ids = select_records(ledger, path, clade).select("id")
+    cited = frames.select(F.col("id").alias("frame"), F.explode("evidence.record_id").alias("rid")).join(ids.withColumnRenamed("id", "rid"), "rid", "left_semi").select("frame").distinct()
+    said = F.contains("claim", F.lit(path)) if path else F.lit(False)
+    said = said | F.contains("claim", F.lit(clade)) if clade else said
+    focused = cut(frames.join(cited, frames["id"] == cited["frame"], "left").filter(F.col("frame").isNotNull() | F.coalesce(said, F.lit(False))).drop("frame"), "focused")
+    return (frames if focused.isEmpty() else focused).orderBy("place").limit(most)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ def debt_score(deprecations: Column, todos: Column, mistakes: Column) -> Column:
     return 0.45 * F.log1p(deprecations) / F.log(F.lit(81.0)) + 0.25 * F.log1p(todos) / F.log(F.lit(41.0)) + 0.30 * F.least(F.lit(1.0), mistakes / 4)
 
 
+#: What opens a definition, by language (fixed values).
 _DEFS = {
     "python": [("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\("), ("class", r"^\s*class\s+([A-Za-z_]\w*)\s*[\(:]")],
     "javascript": [("function", r"(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_]\w*)"), ("class", r"(?:export\s+)?class\s+([A-Za-z_]\w*)")],
@@ -84,7 +86,16 @@ def chunks(files: DataFrame, size: int = 700, overlap: int = 80, most: int | Non
 
 
 def register_tables(spark) -> None:
-    """Table functions for SQL: chunk_text(text) -> (start, chunk)."""
+    """Table functions for SQL: chunk_text(text) -> (start, chunk), symbols(lang, text) -> (name, kind, line)."""
+    rules = {lang: [(kind, re.compile(p)) for kind, p in ps] for lang, ps in _DEFS.items()}
+
+    @F.udtf(returnType="name string, kind string, line int")
+    class Symbols:
+        def eval(self, lang: str, text: str):
+            for n, line in enumerate((text or "").split("\n"), 1):
+                for kind, pattern in rules.get(lang, ()):
+                    if found := pattern.search(line):
+                        yield found[1], kind, n
 
     @F.udtf(returnType="start bigint, chunk string")
     class ChunkText:
@@ -93,6 +104,7 @@ def register_tables(spark) -> None:
                 yield a, text[a:b]
 
     spark.udtf.register("chunk_text", ChunkText)
+    spark.udtf.register("symbols", Symbols)
 
 
 def hash_embedding(rows: DataFrame, dim: int = 64) -> DataFrame:
@@ -213,6 +225,19 @@ def soft_confidence(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return _similarities(vectors, centroids).select("id", (-F.col("sims")[0]["m"]).alias("cluster"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("confidence"))
 
 
+def cohesion(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster, size, cohesion): mean cosine of all pairs in each cluster (id, cluster) of vectors (id, v); 0 for one vector.
+
+    From the length of the sum of unit vectors, so every pair counts and none is made: |sum|**2 = n + 2 x the sum over pairs.
+    """
+    unit_ = F.transform("v", lambda x: x.cast("double") / F.sqrt(dot(F.col("v"), F.col("v"))))
+    own = clusters.select("id", "cluster").join(vectors.select("id", unit_.alias("u")), "id")
+    sums = own.select("cluster", F.posexplode("u").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("x")).groupBy("cluster").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
+    n = F.col("size")
+    pairs = F.when(n > 1, (F.col("q") - n) / (n * (n - 1))).otherwise(0.0)
+    return own.groupBy("cluster").agg(F.count("*").alias("size")).join(sums, "cluster").select("cluster", "size", pairs.alias("cohesion"))
+
+
 def duplicate_blobs(files: DataFrame) -> DataFrame:
     """(blob, n, first): contents that several files (path, text) share."""
     return files.groupBy(F.sha2("text", 256).alias("blob")).agg(F.count("*").alias("n"), F.min("path").alias("first")).filter("n > 1")

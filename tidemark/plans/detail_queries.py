@@ -96,6 +96,17 @@ def _(spark, d):
     return rounded(texts.soft_confidence(*_vectors(spark, d)), "confidence")
 
 
+@query(
+    "cluster_cohesion",
+    f"""WITH v AS (SELECT vec_id, label AS cluster, [CAST(x AS DOUBLE) / sqrt({_DOT.format(a="embedding", b="embedding")}) FOR x IN embedding] AS u FROM embeddings)
+    SELECT a.cluster, (SELECT count(*) FROM v WHERE cluster = a.cluster) AS size, round(avg({_DOT.format(a="a.u", b="b.u")}), 6) AS cohesion FROM v a JOIN v b ON a.cluster = b.cluster AND a.vec_id < b.vec_id GROUP BY 1""",
+)
+def _(spark, d):
+    """The labels of vectors as clusters; the SQL makes all pairs."""
+    e = table(spark, d, "embeddings")
+    return rounded(texts.cohesion(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))), "cohesion")
+
+
 def _attention_sql(rounds):
     out, last = G + ", und AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), links AS (SELECT source, target, count(*) OVER (PARTITION BY source) AS deg FROM und), v0 AS (SELECT 'n3' AS id, 1.0::DOUBLE AS value UNION ALL SELECT 'p7', 1.2)", "v0"
     for i in range(1, rounds + 1):

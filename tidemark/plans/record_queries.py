@@ -144,3 +144,17 @@ def _(spark, d):
     """All nine kinds of frames."""
     given = results(spark, d)
     return records.claim_frames(given, records.records(given)).withColumn("evidence", F.array_join("evidence.record_id", ","))
+
+
+@query(
+    "tagged_records",
+    _RECORDS + """ SELECT id, kind FROM rec WHERE kind IN ('lineage', 'commit_delta', 'regime_basin', 'path_episode', 'blast_radius') AND contains(coalesce(path, ''), 'ring') AND (at_ IS NULL OR (at_ >= TIMESTAMP '1995-01-01' AND at_ <= TIMESTAMP '1996-12-31'))
+      UNION ALL SELECT id, kind FROM rec WHERE kind IN ('symbol', 'cst_delta') AND clade = 'Brand#1'
+      UNION ALL SELECT id, kind FROM rec WHERE kind = 'path_episode' AND clade = 'Brand#2'""",
+)
+def _(spark, d):
+    """Records on paths with a word in a span of years, those of a clade and a tag, and episodes of another clade."""
+    rows = cut(records.records(results(spark, d)), "ledger")
+    on_path = records.select_records(rows, path="ring", kinds=["lineage", "commit_delta", "regime_basin", "path_episode", "blast_radius"], since="1995-01-01", until="1996-12-31")
+    tagged, episodes = records.select_records(rows, clade="Brand#1", tag="micro"), records.select_records(rows, clade="Brand#2", tag="episode")
+    return on_path.unionByName(tagged).unionByName(episodes).select("id", "kind")
