@@ -1,3 +1,5 @@
+import random
+import time
 import re
 import zlib
 
@@ -203,3 +205,27 @@ def test_limit_is_set_on_held_out_labels():
     assert limit_of(np.array([]), np.array([0.1])) == REJECT
     assert limit_of(np.array([0.12, 0.9]), np.array([0.01, 0.02])) == 0.1
     assert limit_of(np.array([0.12] + [0.9] * 99), np.array([0.3, 0.01])) == 0.35
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_long_texts_that_repeat_a_sample_are_parsed_whole_and_soon(monkeypatch, few):
+    monkeypatch.setattr("tidemark.llm.language_id.FEW", few)
+    rng = random.Random(1)
+    words = lambda n, letters: " " + " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(n)) + " "
+    samples = [words(3000, "abcdefghijklm"), words(3000, "hijklmnopqrst")]
+    transitions = [suffix_automaton(list(s)) for s in samples]
+
+    def plain(text, nxt):
+        phrases = state = 0
+        for c in text:
+            if not state or c not in nxt[state]:
+                phrases, state = phrases + 1, nxt[0].get(c, 0)
+            else:
+                state = nxt[state][c]
+        return phrases
+
+    texts = [(samples[0] * 200)[: 1_000_000 if few else 60_000], (samples[0][:9000] + "é" + samples[1]) * 3, samples[0][777:] + samples[0][3:9000], words(30_000, "abcdefghijklmnopqrst"), "x" * 5000, " a "]
+    began = time.process_time()
+    got = Parser(tuple(zip("ab", samples, strict=True))).phrases(texts)
+    assert not few or time.process_time() - began < 8
+    assert got.tolist() == [[plain(t, n) for n in transitions] for t in texts]
