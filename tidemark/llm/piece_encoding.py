@@ -6,7 +6,7 @@ together from their words' ids. Nothing is shuffled. The public vocabulary at ha
 no Viterbi sum gives; its cells follow the exact rule in ``pieces``, unigram models' cells are Viterbi's.
 
 Edge cases: null text is an empty text, which has no ids; a word mark in a text decodes to a space, as in the library;
-rows keep their order and number; an empty table gives an empty result; extra columns are ignored.
+rows keep their order and number, repeated ones too; a text of any length is encoded whole; of two merges as good the one further to the left is made, as in the library; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

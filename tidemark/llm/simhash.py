@@ -8,7 +8,7 @@ the radius are left out from then on. A bucket over ``CHUNK`` is dealt out as pa
 bucket, and a task returns a spanning forest of the links it found, never all pairs. Forests are merged into groups by
 alternating star contractions, tables all the way.
 
-Edge cases: null text is an empty text; a text without words has fingerprint zero, and links like any other; a null id
+Edge cases: null text is an empty text; a text of any length is hashed whole; a bit set in exactly half of the hashes is 0; a text without words has fingerprint zero, and links like any other; a null id
 counts as the largest, so it names a group only if all its ids are null; repeated rows are one group; an empty table
 gives an empty result; extra columns are ignored.
 """

@@ -23,7 +23,7 @@ that can share a window, and documents meet only those:
 In shards words are compared by 64-bit fingerprints, and repeated contexts by a sum of these, so two words whose
 fingerprints collide count as equal there (2**-64 for a pair). No window is skipped and nothing is capped.
 
-Edge cases: null text has no words; a null id sorts before all others; rows that repeat an id are one document in the
+Edge cases: null text has no words; a text of any length is read whole; of equal windows the smallest id, then the earliest start stays; a null id sorts before all others; rows that repeat an id are one document in the
 order of windows, so they take nothing from each other at equal starts; an empty table gives an empty result; extra
 columns are ignored.
 """

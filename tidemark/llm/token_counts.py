@@ -5,7 +5,7 @@ that ends at every letter; no piece crosses from one word into the next. A cell
 tokenizer's choice (best score, or the last piece of a byte-pair model) and the number of pieces so far. Ties follow
 the tokenizer: the piece that starts earliest. A letter without a piece counts its bytes.
 
-Edge cases: null text is an empty text with no tokens; an empty table gives an empty result; extra columns are ignored.
+Edge cases: null text is an empty text with no tokens; a text of any length is counted whole; ties between merges or scores go as in the library; repeated rows are counted each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
