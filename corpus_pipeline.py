@@ -2,6 +2,10 @@
 
 Toxic documents go, then exact copies, then near copies, then repeated passages; what is left is packed into windows.
 All stages but the last return the columns of ``documents``.
+
+Edge cases, through the whole chain: a null or empty text has no words, so it is never toxic; of all such rows one stays and ends as a window piece of one
+end id; repeated rows are exact copies, of which one stays; a null id is kept as it is and sorts first; texts of any length go through whole; of equal
+copies the smallest id stays; an empty table, or one without labels, gives an empty plan or rejects nothing; extra columns are carried to the last stage, which drops them.
 """
 
 from __future__ import annotations
