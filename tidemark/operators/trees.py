@@ -236,13 +236,13 @@ def _along(rows: DataFrame, order: str, begin: str, rule: Callable, follow: Call
     return _streamed(ready, ["head", "block"], order, fold, schema)
 
 
-def fitch(tree: DataFrame, states: DataFrame) -> DataFrame:
+def fitch(tree: DataFrame, states: DataFrame, along: DataFrame | None = None) -> DataFrame:
     """(id, parent, set, steps, state) of every node of a forest (id, parent) with states (id, state) of some nodes, unordered parsimony.
 
     Upwards a node takes the states that all its coded children share, or all of theirs at the cost of one step; a
-    node without coded children takes its own. Downwards it keeps its parent's state if it can, else its own, else the least; ``?`` where nothing is known.
+    node without coded children takes its own. Downwards it keeps its parent's state if it can, else its own, else the least; ``?`` where nothing is known. ``along`` are the tree's heavy paths, where they are at hand.
     """
-    paths = heavy_paths(tree).join(states.filter("state <> ''").groupBy("id").agg(F.min(F.col("state").cast("string")).alias("state")), "id", "left")
+    paths = (heavy_paths(tree) if along is None else along).join(states.filter("state <> ''").groupBy("id").agg(F.min(F.col("state").cast("string")).alias("state")), "id", "left")
     lengths = paths.groupBy("head").agg(F.max("pos").alias("last"))
     paths = cut(paths.join(lengths, "head").withColumn("height", F.col("last") - F.col("pos")), "coded")
     top = paths.agg(F.max("level")).first()[0]
@@ -309,9 +309,22 @@ def fitch_by_depth(tree: DataFrame, types: DataFrame, depths: int = 4) -> DataFr
     """
     parts = types.withColumn("_p", F.split("type", "/"))
     deepest = parts.agg(F.max(F.size("_p"))).first()[0] or 0
-    out = None
+    out, along = None, heavy_paths(tree)
     for depth in range(1, min(depths, deepest) + 1):
         states = parts.filter(F.size("_p") >= depth).select("id", F.array_join(F.slice("_p", 1, depth), "/").alias("state"))
-        own = fitch(tree, states).withColumn("depth", F.lit(depth))
+        own = fitch(tree, states, along).withColumn("depth", F.lit(depth))
         out = own if out is None else out.unionByName(own)
     return out
+
+
+def parsimony_flags(tree: DataFrame, states: DataFrame) -> DataFrame:
+    """(id, reconstructed, change) of every node: its state by parsimony, and whether its edge is a change.
+
+    Changes are edges between coded nodes of different states (id, state); where there is none, those between reconstructed states.
+    """
+    coded = states.filter("state <> ''").groupBy("id").agg(F.min(F.col("state").cast("string")).alias("state"))
+    settled = cut(fitch(tree, states).select("id", "parent", F.col("state").alias("reconstructed")), "reconstructed")
+    own = settled.select("id", "parent").join(coded, "id", "left")
+    observed = cut(change_edges(own.select("id", "parent", F.coalesce("state", F.lit("")).alias("state"))).select("id"), "observed")
+    edges = observed if not observed.isEmpty() else change_edges(settled.withColumnRenamed("reconstructed", "state")).select("id")
+    return settled.join(edges.distinct().withColumn("_c", F.lit(True)), "id", "left").select("id", "reconstructed", F.coalesce("_c", F.lit(False)).alias("change"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import coupling, evidence, series, texts
+from tidemark.operators import coupling, evidence, objectives, series, texts
 from tidemark.operators.graph import cut
 from tidemark.plans.core_queries import EDGES, C
 from tidemark.plans.registry import query
@@ -120,3 +120,27 @@ def _(spark, d):
     out = evidence.state_trajectory(series.state_samples(series.monthly(c), series.monthly_load(c)), c.agg(F.avg(F.col("is_revert").cast("int")).alias("score")), heat)
     keep = [x for x in out.columns if x.startswith("z_")] + ["selection", "typed_heat"]
     return rounded(out.select("month", *keep), *keep)
+
+
+_SPECS = ["debt", "raise_stability", "metric:churn.mean:min:60", "metric:churn.mean:MAX", "metric", "tests", "Coverage", "", "metric:absent:up:1"]
+
+
+@query(
+    "objective_runs",
+    C
+    + """, y AS (SELECT author AS repo, year(ts) AS run, avg(churn) AS churn, avg(is_revert::INT) AS debt, 1 / (1 + 0.002 * avg(churn) + 3 * avg(is_revert::INT)) AS st, count(*) % 6 AS worse FROM commits GROUP BY 1, 2),
+    o AS (SELECT * FROM (VALUES ('debt', 'debt.score', false, NULL), ('raise_stability', 'stability.composite', true, NULL), ('metric:churn.mean:min:60', 'churn.mean', false, 60.0), ('metric:churn.mean:MAX', 'churn.mean', true, NULL), ('metric', 'debt.score', false, NULL),
+      ('tests', 'tests.score', true, NULL), ('Coverage', 'tests.score', true, NULL), ('', 'debt.score', false, NULL), ('metric:absent:up:1', 'absent', true, 1.0)) v(spec, metric, higher, target)),
+    s AS (SELECT repo, run, spec, higher, target, worse, st, CASE metric WHEN 'debt.score' THEN debt WHEN 'stability.composite' THEN st WHEN 'churn.mean' THEN churn ELSE 0 END AS value FROM y, o),
+    l AS (SELECT *, lag(value) OVER (PARTITION BY repo, spec ORDER BY run) AS previous, value - lag(value) OVER (PARTITION BY repo, spec ORDER BY run) AS delta FROM s),
+    i AS (SELECT *, coalesce(abs(delta) >= 1e-9 AND CASE WHEN higher THEN delta > 0 ELSE delta < 0 END, false) AS improved, st >= 0.6 AND worse <= 3 AS held FROM l)
+    SELECT repo, CAST(run AS INTEGER) AS run, spec, round(value, 6) AS value, round(delta, 6) AS delta, improved, coalesce(CASE WHEN higher THEN value >= target ELSE value <= target END, false) AS reached, held AS constraints_ok,
+      CASE WHEN previous IS NULL THEN 'baseline' WHEN improved AND held THEN 'improved' WHEN improved THEN 'improved, constraints failed' ELSE 'not improved' END AS note FROM i""",
+)
+def _(spark, d):
+    """Objectives by their specs, over every nation's years as runs."""
+    y = cut(commits(spark, d).groupBy(F.col("author").alias("repo"), F.year("ts").alias("run")).agg(F.avg("churn").alias("churn"), F.avg(F.col("is_revert").cast("int")).alias("debt"), (F.count("*") % 6).alias("n")), "years")
+    y = y.withColumn("st", 1 / (1 + 0.002 * F.col("churn") + 3 * F.col("debt")))
+    signals = y.select("repo", "run", F.stack(F.lit(3), F.lit("churn.mean"), F.col("churn"), F.lit("debt.score"), F.col("debt"), F.lit("stability.composite"), F.col("st")).alias("metric", "value"))
+    wanted = objectives.parsed(spark.createDataFrame([(x,) for x in _SPECS], "spec string"))
+    return rounded(objectives.scored(wanted, signals, y, "repo", least_stability=0.6).drop("previous"), "value", "delta")

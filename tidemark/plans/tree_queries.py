@@ -64,6 +64,14 @@ def _(spark, d):
     return trees.fitch_by_depth(commit_forest(spark, d), files.select("id", kind.alias("type")))
 
 
+@query("parsimony_flags")
+def _(spark, d):
+    """Commits whose type differs from their parent's, beside the type that parsimony gives each."""
+    tree = commit_forest(spark, d)
+    main = commit_files(spark, d).groupBy(F.col("sha").alias("id"), "layer").agg(F.sum("insertions").alias("w")).groupBy("id").agg(F.max(F.struct("w", "layer")).getField("layer").alias("state"))
+    return trees.parsimony_flags(tree, main)
+
+
 _FAM = "CASE WHEN starts_with({0}, 'type:') THEN regexp_extract({0}, '^type:([^|/]*)', 1) ELSE '' END"
 
 
