@@ -251,7 +251,7 @@ _CHUNKS = r""", ln AS (SELECT path, unnest(string_split(text, chr(10))) AS line,
       SELECT path, CASE WHEN ends THEN greatest(first, coalesce(back, first)) ELSE first END, i, true FROM steps s WHERE i = (SELECT max(i) FROM li WHERE li.path = s.path)),
     bodies AS (SELECT s.path, s.first, s.last, s.rest, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM spans s JOIN ln ON ln.path = s.path AND i BETWEEN s.first AND s.last GROUP BY 1, 2, 3, 4),
     nu AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rest, last) - 1 AS ix FROM bodies WHERE body <> ''),
-    ch AS (SELECT path || ':' || ix || ':' || substr(sha1(path || ':' || ix || ':' || substr(body, 1, 80)), 1, 12) AS id, path, ix AS index, first, last, 'FILE ' || path || ' L' || first || '-' || last || chr(10) || body AS text FROM nu)"""
+    ch AS (SELECT path || ':' || ix || ':' || substr(sha1(path || ':' || ix || ':' || substr(body, 1, 80)), 1, 12) AS id, path, ix AS index, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, 'FILE ' || path || ' L' || first || '-' || last || chr(10) || body AS text FROM nu)"""
 _NEAR = """, sq AS (SELECT id, sum(val * val) AS nn FROM e GROUP BY 1),
     dots AS (SELECT a.id AS query_id, b.id, sum(a.val * b.val) AS dot FROM e a JOIN e b USING (idx) WHERE a.id IN (SELECT id FROM qs) AND b.id IN (SELECT id FROM ch) GROUP BY 1, 2),
     cos AS (SELECT query_id, dots.id, CAST(dot AS DOUBLE) / sqrt(CAST(x.nn AS DOUBLE) * CAST(y.nn AS DOUBLE)) AS score FROM dots JOIN sq x ON x.id = query_id JOIN sq y ON y.id = dots.id),
