@@ -67,3 +67,41 @@ def test_marked_words_hold_the_whole_text():
     pieces = load_pieces(PATH)
     for t in texts(3):
         assert "".join(pieces.marked_words(t)) == ("▁" + t.replace(" ", "▁") if t else "")
+
+
+class Counted(dict):
+    """A vocabulary that counts how often it is asked."""
+
+    asked = 0
+
+    def __contains__(self, piece):
+        self.asked += 1
+        return super().__contains__(piece)
+
+    def get(self, piece, other=None):
+        self.asked += 1
+        return super().get(piece, other)
+
+
+def test_known_words_are_walked_without_the_vocabulary():
+    pieces, rows = Pieces(PATH), texts(4)
+    first = encode_texts(pieces, rows)
+    pieces.id = Counted(pieces.id)
+    assert [x.tolist() for x in encode_texts(pieces, rows)] == [x.tolist() for x in first] and pieces.id.asked == 0
+
+
+def test_states_hold_the_pieces_that_end_at_a_letter():
+    pieces, rng = load_pieces(PATH), random.Random(5)
+    vocabulary = list(pieces.id)
+    for _ in range(300):
+        word, state = "".join(rng.choice(vocabulary)[: rng.randrange(1, 9)] for _ in range(4)), pieces.states[""]
+        for end, letter in enumerate(word, 1):
+            state = pieces.step(state, letter)
+            assert [p for _, p, _ in state.ends] == [word[i:end] for i in range(end - 1) if word[i:end] in pieces.id]
+
+
+def test_a_small_memory_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr("tidemark.llm.pieces.REMEMBERED", 40)
+    pieces, rows = Pieces(PATH), texts(6)
+    assert [x.tolist() for x in encode_texts(pieces, rows)] == sentencepiece.SentencePieceProcessor(model_file=PATH).encode(rows)
+    assert sum(map(len, pieces.followers.values())) + sum(len(s.steps) for s in pieces.states.values()) <= 40

@@ -26,20 +26,19 @@ from tidemark.llm.pieces import MARK, Cells, Pieces, load_pieces
 BATCH_CHARS = 8_000_000
 
 
-def encode_words(pieces: Pieces, words: Iterable[str]) -> dict[str, np.ndarray]:
-    """Distinct marked words -> ids, by one walk of their trie."""
+def encode_words(pieces: Pieces, words: Iterable[str]) -> dict[str, bytes]:
+    """Distinct marked words -> ids as little-endian unsigned 32-bit integers, by one walk of their trie."""
     cells, out = Cells(pieces), {}
     for word in sorted(words):
         cells.move_to(word)
-        out[word] = np.array(cells.ids(), "<u4")
+        out[word] = cells.ids()
     return out
 
 
 def encode_texts(pieces: Pieces, texts: list[str]) -> list[np.ndarray]:
     split = [pieces.marked_words(t) for t in texts]
-    known = encode_words(pieces, set().union(*split)) if split else {}
-    none = np.zeros(0, "<u4")
-    return [np.concatenate([known[w] for w in words]) if words else none for words in split]
+    known = encode_words(pieces, set().union(*split))
+    return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
 
 
 def decode_ids(pieces: Pieces, ids: Iterable[int]) -> str:

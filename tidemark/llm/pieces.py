@@ -12,6 +12,8 @@ prefixes:
 
 No piece of these vocabularies has a word mark inside, so a text falls into marked words that are tokenised by
 themselves; a model with such pieces is refused.
+
+Which pieces end at a letter is read off a state, the longest end of the letters so far that begins a piece.
 """
 
 from __future__ import annotations
@@ -23,10 +25,32 @@ import numpy as np
 MARK = "▁"
 
 
-#: So many pairs of pieces are remembered in a worker; beyond, all are forgotten.
+#: So many pairs of pieces, and steps from state to state, are remembered in a worker; beyond, all are forgotten.
 REMEMBERED = 1 << 21
 
 
+class State:
+    """The longest end of the letters so far that begins a piece, and the pieces of two letters or more that end there."""
+
+    __slots__ = ("begun", "ends", "steps")
+
+    def __init__(self, begun: str, ends: tuple[tuple[int, str, dict[str, bool]], ...]):
+        self.begun = begun
+        self.ends = ends  # longest first: length, piece, and which pieces before it stay apart from it
+        self.steps: dict[str, State] = {}
+
+
+class _Codes(dict):
+    """piece -> its id, or the ids a letter without a piece is spelled with, as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__((p, i.to_bytes(4, "little")) for p, i in pieces.id.items())
+        self.spelled = pieces.spelled
+
+    def __missing__(self, letter: str) -> bytes:
+        return np.array(self.spelled(letter), "<u4").tobytes()
+
+
 class Pieces:
     """A model's vocabulary: piece -> id, scores, and the byte pieces for letters that have none."""
 
@@ -60,12 +84,11 @@ class Pieces:
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == model.SentencePiece.UNKNOWN), 0)
         self.penalty = np.float32(min(self.score[i] for i in self.id.values()) - 10)
         self.apart: dict[tuple, bool] = {}
-        # Lengths, longest first, of the pieces of three letters or more that end in three given letters.
-        tails: dict[str, set[int]] = {}
-        for p in self.id:
-            if len(p) > 2:
-                tails.setdefault(p[-3:], set()).add(len(p))
-        self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
+        self.codes = _Codes(self)
+        self.beginnings = {p[:n] for p in self.id for n in range(1, len(p) + 1)} | {""}
+        self.followers: dict[str, dict[str, bool]] = {p: {} for p in self.id if len(p) > 1}
+        self.states = {"": State("", ())}
+        self.room = REMEMBERED
 
     def spelled(self, letter: str) -> list[int]:
         """A letter without a piece: its bytes, or the unknown piece."""
@@ -100,14 +123,48 @@ class Pieces:
                 return parts
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
+    def settled(self, left: str, right: str) -> bool:
+        """Whether the merges of two pieces, written on end, give just those two."""
+        return self.merged(left + right) == ([left, right] if left else [right])
+
     def stay_apart(self, left: str, right: str) -> bool:
         known = self.apart.get((left, right))
         if known is None:
             if len(self.apart) >= REMEMBERED:
                 self.apart.clear()
-            known = self.apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            known = self.apart[left, right] = self.settled(left, right)
         return known
 
+    def _note(self) -> None:
+        """Room for one more step or pair; when there is none, all are forgotten. States stay, at most one for each beginning."""
+        self.room -= 1
+        if self.room < 0:
+            self.room = REMEMBERED - 1
+            for pairs in self.followers.values():
+                pairs.clear()
+            for state in self.states.values():
+                state.steps.clear()
+
+    def step(self, state: State, letter: str) -> State:
+        """The state after one more letter; remembered."""
+        begun = state.begun + letter
+        while begun not in self.beginnings:
+            begun = begun[1:]
+        found = self.states.get(begun)
+        if found is None:
+            ends = [begun[i:] for i in range(len(begun) - 1)]
+            found = self.states[begun] = State(begun, tuple((len(p), p, self.followers[p]) for p in ends if p in self.id))
+        self._note()
+        state.steps[letter] = found
+        return found
+
+    def follows(self, left: str, right: str) -> bool:
+        """``settled``, remembered with the states of the piece on the right."""
+        fits = self.settled(left, right)
+        self._note()
+        self.followers[right][left] = fits
+        return fits
+
 
 @lru_cache(maxsize=2)
 def load_pieces(path: str) -> Pieces:
@@ -115,49 +172,44 @@ def load_pieces(path: str) -> Pieces:
 
 
 class Cells:
-    """Forward cells of a word's prefixes, as a stack: ``push`` a letter, ``drop`` back to a shared prefix."""
+    """Forward cells of a word's prefixes, as a stack: letters are added to the prefix that a word shares with the one before."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.word = ""
-        self.start = [0]  # where the last piece of each prefix starts
-        self.last = [""]
+        self.last = [""]  # the last piece of each prefix
         self.best: list[float] = [0.0]
+        self.states = [pieces.states[""]]
 
     def move_to(self, word: str) -> None:
-        old, keep = self.word, 0
-        for a, b in zip(old, word, strict=False):
+        keep = 0
+        for a, b in zip(self.word, word, strict=False):
             if a != b:
                 break
             keep += 1
-        del self.start[keep + 1 :], self.last[keep + 1 :], self.best[keep + 1 :]
         self.word = word
         (self._extend_unigram if self.pieces.unigram else self._extend_merges)(keep)
 
     def _extend_merges(self, keep: int) -> None:
         """Longest pieces first; one alone fits, so a single letter needs no test once the others have failed."""
-        word, known, apart, tails, seen = self.word, self.pieces.id, self.pieces.stay_apart, self.pieces.tails, self.pieces.apart
-        last, starts = self.last, self.start
-        for end in range(keep + 1, len(word) + 1):
-            at, piece = end - 1, word[end - 1]
-            if end > 1:
-                for size in (*tails.get(word[end - 3 : end], ()), 2) if end > 2 else (2,):
-                    start = end - size
-                    if start < 0:
-                        continue
-                    longer = word[start:end]
-                    if longer in known:
-                        pair = (last[start], longer)
-                        fits = seen.get(pair)
-                        if apart(*pair) if fits is None else fits:
-                            at, piece = start, longer
-                            break
-            starts.append(at)
+        last, states, step, follows = self.last, self.states, self.pieces.step, self.pieces.follows
+        del last[keep + 1 :], states[keep + 1 :]
+        state, end = states[keep], keep
+        for piece in self.word[keep:]:
+            state = state.steps.get(piece) or step(state, piece)
+            end += 1
+            for size, longer, pairs in state.ends:
+                left = last[end - size]
+                fits = pairs.get(left)
+                if follows(left, longer) if fits is None else fits:
+                    piece = longer
+                    break
+            states.append(state)
             last.append(piece)
-            self.best.append(0.0)
 
     def _extend_unigram(self, keep: int) -> None:
         word, known, score, longest = self.word, self.pieces.id, self.pieces.score, self.pieces.longest
+        del self.last[keep + 1 :], self.best[keep + 1 :]
         for end in range(keep + 1, len(word) + 1):
             best, at = None, 0
             for start in range(max(0, end - longest), end):
@@ -170,15 +222,15 @@ class Cells:
                     value = np.float32(self.best[start]) + np.float32(score[piece])
                 if best is None or value > best:
                     best, at = value, start
-            self.start.append(at)
             self.last.append(word[at:end])
             self.best.append(float(best))
 
-    def ids(self) -> list[int]:
-        out, end = [], len(self.word)
+    def ids(self) -> bytes:
+        """The word's ids as little-endian unsigned 32-bit integers."""
+        out, end, last, codes = [], len(self.word), self.last, self.pieces.codes
         while end:
-            piece = self.last[end]
-            number = self.pieces.id.get(piece)
-            out += [number] if number is not None else self.pieces.spelled(piece)[::-1]
-            end = self.start[end]
-        return out[::-1]
+            piece = last[end]
+            out.append(codes[piece])
+            end -= len(piece)
+        out.reverse()
+        return b"".join(out)
