@@ -66,6 +66,32 @@ def test_drop_repeated_passages_keeps_columns_and_clean_texts(spark):
     assert drop_repeated_passages(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("operator", [substring_dedup, drop_repeated_passages])
+def test_texts_are_shuffled_once_for_both_joins(spark, operator):
+    p = " ".join(f"p{i}" for i in range(30))
+    # Other words before and after, so that the passage's contexts differ and shards are needed: both joins have rows.
+    docs = frame(spark, [(i, " ".join([*[f"a{i}_{j}" for j in range(20)], p, *[f"b{i}_{j}" for j in range(20)]])) for i in range(40)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = operator(docs)
+        assert out.count() == 40 and len(out.collect()) == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 1, final
+
+
+def test_drop_repeated_passages_with_columns_of_any_name_and_place(spark):
+    p = " ".join(f"p{i}" for i in range(30))
+    rows = [("x", 7, f"a {p} b", 1, {"k": [1]}, f"a {p} b", 2), ("y", 8, f"c {p} d", None, None, "z", 3), (None, 9, None, 2, {}, None, 4), ("w", 0, "", 2, {}, "", None)]
+    docs = spark.createDataFrame(rows, "gone string, n_chars int, text string, d int, rest map<string, array<int>>, row string, doc_id int")
+    out = drop_repeated_passages(docs)
+    assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
+    want = [("x", len(rows[0][2]), *rows[0][2:]), ("y", 3, "c\nd", *rows[1][3:]), (None, None, *rows[2][2:]), ("w", 0, *rows[3][2:])]
+    assert {tuple(map(str, r)) for r in out.collect()} == {tuple(map(str, r)) for r in want}
+    assert drop_repeated_passages(docs.select("text", "doc_id")).columns == ["text", "doc_id"]
+
+
 def test_automaton_keeps_earliest_places():
     a = list(range(25))
     found = set(repeated_windows([(1, 0, a), (1, 30, a), (2, 5, [99, *a[3:24], 98])], 20))

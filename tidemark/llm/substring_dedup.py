@@ -446,14 +446,14 @@ def _results(length: int) -> Callable:
 
 
 def _rewrite(length: int, schema: pa.Schema) -> Callable:
-    """(row, gone) -> the rows' fields, texts without what goes; texts that lose nothing stay as they are, white space too."""
+    """(text, rest, gone) -> the rows' fields, texts without what goes; texts that lose nothing stay as they are, white space too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone, rows = batch.column("gone"), batch.column("row")
-            fields = dict(zip(schema.names, rows.flatten(), strict=True))
+            gone = batch.column("gone")
+            fields = dict(zip((c for c in schema.names if c != "text"), batch.column("rest").flatten(), strict=True))
             new, sizes = [], []
-            for i, value in enumerate(fields["text"]):
+            for i, value in enumerate(batch.column("text")):
                 text = value.as_py()
                 if text is not None and gone[i].is_valid:
                     raw = text.encode("utf-8", "surrogatepass")
@@ -468,17 +468,20 @@ def _rewrite(length: int, schema: pa.Schema) -> Callable:
             fields["text"] = pa.array(new, schema.field("text").type)
             if "n_chars" in fields:
                 fields["n_chars"] = pa.array(sizes, schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(fields.values()), names=schema.names)
+            yield pa.RecordBatch.from_arrays([fields[c] for c in schema.names], names=schema.names)
 
     return run
 
 
 def removals(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(d, t, gone) of documents (d, t, text): anchors' places (0 and up) and windows' starts (-1 - start) that go."""
-    spark = keyed.sparkSession
-    frequent = keyed.mapInArrow(_frequent(length, LEAST_HOT), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT)
+    """(d, t, gone) of documents (d, t, text; more may follow): anchors' places (0 and up) and windows' starts (-1 - start) that go.
+
+    The documents are dealt by (d, t) with all their columns, so a caller that joins the same ``keyed`` by (d, t) reads that shuffle again and texts travel once.
+    """
+    spark, texts = keyed.sparkSession, keyed.select("d", "t", "text")
+    frequent = texts.mapInArrow(_frequent(length, LEAST_HOT), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT)
     shared = spark.sparkContext.broadcast(np.array([r["h"] for r in frequent.collect()], np.int64).view(U))  # at most HOT numbers
-    rows = keyed.mapInArrow(_place_rows(length, shared), "h bigint, c bigint, d bigint, t bigint, pos int, settled boolean, hot boolean")
+    rows = texts.mapInArrow(_place_rows(length, shared), "h bigint, c bigint, d bigint, t bigint, pos int, settled boolean, hot boolean")
     met, same = Window.partitionBy("h"), Window.partitionBy("h", "c")
     rows = (
         rows.repartition("h")
@@ -516,9 +519,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def drop_repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all columns, texts without what also starts earlier (n_chars follows); texts without any stay as they are."""
     _check(length)
-    gone = removals(_keyed(docs), length)
-    rows = _keyed(docs, F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
-    return rows.join(gone, ["d", "t"], "left").select("row", "gone").mapInArrow(_rewrite(length, to_arrow_schema(docs.schema)), docs.schema)
+    keyed = _keyed(docs, "text", F.struct(*[f"`{c}`" for c in docs.columns if c != "text"]).alias("rest"))
+    return keyed.join(removals(keyed, length), ["d", "t"], "left").select("text", "rest", "gone").mapInArrow(_rewrite(length, to_arrow_schema(docs.schema)), docs.schema)
 
 
 def matching_spans(docs: DataFrame, references: DataFrame, length: int = LENGTH, shard_words: int = 1 << 16) -> DataFrame:
