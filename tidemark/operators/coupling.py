@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import cut
+
 #: Commits beyond these are counted, not coupled (fixed values); they also bound the pairs a commit can make.
 MAX_FILES, MAX_CHURN = 12, 2500
 
@@ -35,25 +41,205 @@ def pairs_within(items: DataFrame, key: str, item: str) -> DataFrame:
     return met.filter(F.size("_all") > 1).select(F.col("_key").alias(key), F.explode(F.flatten(later)).alias("p")).select(key, "p.a", "p.b")
 
 
-def pairs_of_few(items: DataFrame, key: str, item: str) -> DataFrame:
-    """(key, a, b) of all distinct items of one key, a < b, where the caller has bounded the items of a key: one small array each."""
-    own = items.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("_all")).filter(F.size("_all") > 1)
-    later = F.transform("_all", lambda x, i: F.transform(F.slice("_all", i + 2, F.size("_all")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    return own.select(key, F.explode(F.flatten(later)).alias("p")).select(key, "p.a", "p.b")
+#: Items of a key that make pairs in one row, and pairs that a task holds at once.
+RUN, HELD = 1024, 1 << 21
+#: Pairs that a round makes for each item of a key, and rounds at most: what bounds the disk that pairs take.
+ROUND, ROUNDS = 8, 32
+
+
+def numbered(items: DataFrame, key: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """((key, id), (id, item)) of all items of keys, nulls left out: ids are places in the order of the items, so they compare as these do."""
+    spark = items.sparkSession
+    own = cut(items.select(F.col(key).alias("key"), F.col(item).alias("item")).filter("key IS NOT NULL AND item IS NOT NULL"), "items")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(own.select("item").distinct().repartitionByRange(width, "item").sortWithinPartitions("item").select("item", F.monotonically_increasing_id().alias("at")), "names")
+    part = F.shiftrightunsigned("at", 33)
+    sizes = dict(placed.groupBy(part.alias("p")).count().collect())  # one for each partition
+    before = np.cumsum([0, *[n for _, n in sorted(sizes.items())]]).tolist()
+    offsets = spark.createDataFrame(list(zip(sorted(sizes), before, strict=False)), "p bigint, before bigint")
+    names = placed.join(F.broadcast(offsets), part == F.col("p")).select((F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("id"), "item")
+    return own.join(names, "item").select("key", "id"), names
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id) in order -> rows (own, others) whose ids make pairs: those of ``own`` among themselves, or each of them with each of ``others``."""
+    lists = lambda ids, ends: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+    no_others = lambda n: pa.nulls(n, pa.list_(pa.int32()))
+    row = lambda own, others: pa.RecordBatch.from_arrays([own, others], names=["own", "others"])
+
+    def large(ids):
+        # The ids of a large key are cut into runs; each run meets itself and all later ones.
+        runs = [ids[i : i + RUN] for i in range(0, len(ids), RUN)]
+        for i, x in enumerate(runs):
+            yield row(lists(x, np.array([0, len(x)])), no_others(1))
+            for y in runs[i + 1 :]:
+                yield row(lists(x, np.array([0, len(x)])), lists(y, np.array([0, len(y)])))
+
+    def sets(rows: pa.RecordBatch):
+        keys, ids = rows.column("key").dictionary_encode().indices.to_numpy(), rows.column("id").to_numpy()
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        kept = np.flatnonzero(new | np.concatenate([[True], ids[1:] != ids[:-1]]))
+        ids, ends = ids[kept], np.append(np.flatnonzero(new[kept]), len(kept))
+        n = np.diff(ends)
+        small = (n > 1) & (n <= RUN)
+        yield row(lists(ids[np.repeat(small, n)], np.concatenate([[0], np.cumsum(n[small])])), no_others(int(small.sum())))
+        for k in np.flatnonzero(n > RUN):
+            yield from large(ids[ends[k] : ends[k + 1]])
+
+    held: list[pa.RecordBatch] = []  # rows of a key that may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("key")
+        if held and held[-1].column("key")[-1] != keys[0]:
+            yield from sets(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            held = []
+        at = keys.index(keys[-1]).as_py()  # rows are in order, so the last key's are at the end
+        if at:
+            done = batch.slice(0, at)
+            yield from sets(pa.Table.from_batches([*held, done]).combine_chunks().to_batches()[0])
+            held = []
+        held.append(batch.slice(at))
+    if held:
+        yield from sets(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _met(batch: pa.RecordBatch, rounds: int, turn: int, both: bool) -> Iterator[np.ndarray]:
+    """Pairs of a batch of sets as a << 32 | b, of those a whose turn it is; ``both`` ways or a < b."""
+    own, others = batch.column("own"), batch.column("others")
+    n, m = (np.asarray(x.value_lengths().fill_null(0)) for x in (own, others))
+    flat, at = own.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]])
+    flat2, at2 = others.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(m)[:-1]])
+
+    def packed(a, b):
+        for x, y in ((a, b), (b, a)) if both else ((a, b),):
+            mine = slice(None) if rounds == 1 else x % rounds == turn
+            yield x[mine] << 32 | y[mine]
+
+    for size in np.unique(n[m == 0]):
+        of = np.flatnonzero((m == 0) & (n == size))
+        i, j = np.triu_indices(size, 1)
+        step = max(1, HELD // max(1, len(i)))
+        for k in range(0, len(of), step):
+            ids = flat[at[of[k : k + step], None] + np.arange(size)]
+            yield from packed(ids[:, i].ravel(), ids[:, j].ravel())
+    for k in np.flatnonzero(m):
+        x, y = flat[at[k] : at[k] + n[k]], flat2[at2[k] : at2[k] + m[k]]
+        yield from packed(np.repeat(x, len(y)), np.tile(y, len(x)))
+
+
+def _by_first(rounds: int, turn: int, both: bool):
+    """Sets -> rows (a, bs): what each id meets."""
+
+    def rows(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(pairs))
+        a = every >> 32
+        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, [len(a)]]).astype(np.int32)), pa.array((every & 0xFFFFFFFF).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(a[starts].astype(np.int32)), lists], names=["a", "bs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for pairs in _met(batch, rounds, turn, both):
+                held.append(pairs)
+                n += len(pairs)
+                if n > HELD:
+                    yield rows(held)
+                    held, n = [], 0
+        if n:
+            yield rows(held)
+
+    return run
+
+
+def _counted(least: int, degrees: bool):
+    """Rows (a, bs) in order of a -> (a, b, n) of the pairs that come ``least`` times, or (a, n) with the number of different b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n, summed = [], 0, None
+
+        def settle(last: int | None) -> Iterator[pa.RecordBatch]:
+            """Sums what is held; the pairs of ``last`` go on."""
+            nonlocal keys, n, summed
+            every = np.sort(np.concatenate(keys))
+            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[: len(every)])
+            every, count = every[starts], np.diff(np.append(starts, len(every)))
+            if summed is not None and len(summed[0]):
+                every, count = np.concatenate([summed[0], every]), np.concatenate([summed[1], count])
+                order = np.argsort(every, kind="stable")
+                every, count = every[order], count[order]
+                starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+                every, count = every[starts], np.add.reduceat(count, starts)
+            done = len(every) if last is None else int(np.searchsorted(every, last << 32))
+            keys, n, summed = [], 0, (every[done:], count[done:])
+            a, b, count = every[:done] >> 32, every[:done] & 0xFFFFFFFF, count[:done]
+            if degrees:
+                own, of = np.unique(a, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(of.astype(np.int64))], names=["a", "n"])
+            else:
+                kept = count >= least
+                yield pa.RecordBatch.from_arrays([pa.array(a[kept].astype(np.int32)), pa.array(b[kept].astype(np.int32)), pa.array(count[kept])], names=["a", "b", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists, a = batch.column("bs"), batch.column("a").to_numpy().astype(np.int64)
+            b = lists.flatten().to_numpy().astype(np.int64)
+            keys.append(np.repeat(a, np.asarray(lists.value_lengths())) << 32 | b)
+            n += len(b)
+            if n > HELD + (0 if summed is None else len(summed[0])):
+                yield from settle(int(a[-1]))
+        if keys or summed is not None:
+            keys.append(np.empty(0, np.int64))
+            yield from settle(None)
+
+    return run
+
+
+def _paired(items: DataFrame, key: str, item: str, least: int, degrees: bool) -> tuple[DataFrame, DataFrame]:
+    own, names = numbered(items, key, item)
+    dealt = own.repartition(F.col("key")).sortWithinPartitions("key", "id")
+    sets = cut(dealt.mapInArrow(_sets, "own array<int>, others array<int>"), "sets")
+    n, m = F.size("own").cast("bigint"), F.size("others").cast("bigint")
+    made, held = sets.agg(F.sum(F.when(F.col("others").isNull(), n * (n - 1) / 2).otherwise(n * m)), F.sum(F.when(F.col("others").isNull(), n))).first()
+    rounds = max(1, min(ROUNDS, int(-(-(made or 0) * (1 + degrees) // (ROUND * (held or 1))))))
+    schema, out = "a int, n bigint" if degrees else "a int, b int, n bigint", None
+    for turn in range(rounds):
+        met = sets.mapInArrow(_by_first(rounds, turn, degrees), "a int, bs array<int>").repartition(F.col("a")).sortWithinPartitions("a")
+        found = cut(met.mapInArrow(_counted(least, degrees), schema), "counts")
+        out = found if out is None else out.unionByName(found)
+    return out, names
+
+
+def pair_counts(items: DataFrame, key: str, item: str, least: int = 1) -> DataFrame:
+    """(a, b, n): how many keys hold both items, a < b, where ``least`` do.
+
+    Items are numbered in their order, so that a pair takes a few bytes. A key's ids are made into pairs in tasks of bounded size, go to the task of
+    their first item and are summed there; in as many rounds as keep what a round sends small beside the items, each written before the next begins.
+    """
+    counts, names = _paired(items, key, item, least, False)
+    first, second = (names.select(F.col("id").alias(c), F.col("item").alias(f"{c}_")) for c in "ab")
+    return counts.join(first, "a").drop("a").join(second, "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"), "n")
+
+
+def partner_counts(items: DataFrame, key: str, item: str) -> DataFrame:
+    """(item, n): with how many different others an item is held by some key; items without any have no row."""
+    counts, names = _paired(items, key, item, 1, True)
+    return counts.join(names, counts["a"] == names["id"]).select(F.col("item").alias(item), "n")
 
 
 def cochange_edges(files: DataFrame, commits: DataFrame, min_weight: int = 2) -> DataFrame:
     """(a, b, weight): in how many commits both files change."""
     small, _ = split_large(commits)
     kept = files.select("sha", "path").join(small.select("sha"), "sha", "left_semi")
-    # A commit that couples its files has at most MAX_FILES of them.
-    return pairs_of_few(kept, "sha", "path").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
+    return pair_counts(kept, "sha", "path", min_weight).withColumnRenamed("n", "weight")
 
 
 def ticket_edges(files: DataFrame, tickets: DataFrame, min_weight: int = 1) -> DataFrame:
     """(a, b, weight): files linked by tickets (sha, ticket)."""
-    per = files.select("sha", "path").join(tickets.select("sha", "ticket").distinct(), "sha").select("ticket", "path").distinct()
-    return pairs_within(per, "ticket", "path").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
+    per = files.select("sha", "path").join(tickets.select("sha", "ticket").distinct(), "sha").select("ticket", "path")
+    return pair_counts(per, "ticket", "path", min_weight).withColumnRenamed("n", "weight")
 
 
 def sum_of_coupling(edges: DataFrame) -> DataFrame:
@@ -64,9 +250,7 @@ def sum_of_coupling(edges: DataFrame) -> DataFrame:
 
 def blast_radius(files: DataFrame) -> DataFrame:
     """(path, degree, score): how many other files change with it, over forty and at most one."""
-    both = pairs_within(files, "sha", "path").select(F.explode(F.array(F.struct(F.col("a").alias("path"), F.col("b").alias("other")), F.struct(F.col("b").alias("path"), F.col("a").alias("other")))).alias("e"))
-    degree = both.select("e.path", "e.other").distinct().groupBy("path").agg(F.count("*").alias("degree"))
-    return degree.withColumn("score", F.least(F.lit(1.0), F.col("degree") / 40))
+    return partner_counts(files, "sha", "path").withColumnRenamed("n", "degree").withColumn("score", F.least(F.lit(1.0), F.col("degree") / 40))
 
 
 def coupled_neighbors(edges: DataFrame, edit: DataFrame, k: int | None = None) -> DataFrame:

@@ -41,11 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Spark's setting that removes a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Rows written to the folder all executors share (spark.checkpoint.dir) and read again."""
+    """Rows written to the folder all executors share (spark.checkpoint.dir) and read again.
+
+    The shuffles that made them are removed at once, so those of one step at a time take disk.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/walk-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

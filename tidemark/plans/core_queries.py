@@ -41,7 +41,7 @@ def _(spark, d):
     SELECT x.path AS a, y.path AS b, count(*) AS weight FROM f x JOIN f y ON x.ticket = y.ticket AND x.path < y.path GROUP BY 1, 2 HAVING count(*) >= 2""",
 )
 def _(spark, d):
-    tickets = commits(spark, d).select("sha", F.col("email").cast("string").alias("ticket"))
+    tickets = commit_headers(spark, d).select("sha", F.col("email").cast("string").alias("ticket"))
     return coupling.ticket_edges(commit_files(spark, d), tickets, 2)
 
 
