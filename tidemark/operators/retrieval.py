@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import hash_index, hash_sign, tokenize
 from tidemark.operators.graph import cut
-from tidemark.operators.texts import hash_embedding
 
 #: A line at which a chunk may end: blank, or one that opens a definition (a fixed value).
 BOUNDARY = re.compile(r"^\s*(def |class |function |export |pub )")
@@ -56,10 +57,27 @@ def line_chunks(files: DataFrame, size: int = 700, overlap: int = 80) -> DataFra
     return got.select(F.concat(name, F.lit(":"), digest).alias("id"), "path", "index", "first", "last", head.alias("text"))
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, index, sign) -> (id, v): the signs of each row's words summed by index."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at, sign = (batch.column(c) for c in ("index", "sign"))
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(at.value_lengths()))
+        sums = np.bincount(row * DIM + at.flatten().to_numpy(), sign.flatten().to_numpy(), batch.num_rows * DIM).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * DIM), pa.array(sums))], names=["id", "v"])
+
+
 def dense(rows: DataFrame) -> DataFrame:
-    """(id, v): hash vectors of rows (id, text) as arrays of whole numbers; texts without words have none."""
-    sparse = hash_embedding(rows, DIM).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "val"))).alias("m"))
-    return sparse.select("id", F.array(*[F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0)).cast("bigint") for i in range(DIM)]).alias("v"))
+    """(id, v): hash vectors of rows (id, text) as arrays of whole numbers; texts without words have none.
+
+    A row's words are summed where it is read, so only its vector is shuffled, to add up rows of one id.
+    """
+    words = rows.select("id", tokenize(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    hashed = words.select("id", F.transform("w", lambda t: hash_index(t, DIM).cast("int")).alias("index"), F.transform("w", lambda t: hash_sign(t).cast("int")).alias("sign"))
+    own = hashed.mapInArrow(_vectors, f"id {dict(rows.dtypes)['id']}, v array<bigint>")
+    every = own.groupBy("id").agg(F.collect_list("v").alias("vs"))
+    return every.select("id", F.aggregate(F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(0))), F.col("vs")[0], lambda s, v: F.zip_with(s, v, lambda x, y: x + y)).alias("v")).filter(F.exists("v", lambda x: x != 0))
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = 1024) -> DataFrame:
