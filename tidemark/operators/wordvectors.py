@@ -39,14 +39,21 @@ def leading_terms(rows: DataFrame, n: int = 12) -> DataFrame:
     return term_frequency(rows).filter(~F.col("term").isin(*SIZES)).orderBy(F.desc("n"), "term").limit(n).select(F.col("term").alias("id"))
 
 
-def skipgram(rows: DataFrame, size: int = DIM, window: int = 5, least: int = 2, rounds: int = 8, partitions: int = 1, seed: int = 42):
+#: Words that one task of a training round learns from.
+WORDS = 500_000
+
+
+def skipgram(rows: DataFrame, size: int = DIM, window: int = 5, least: int = 2, rounds: int = 8, partitions: int | None = None, seed: int = 42):
     """A skip-gram model of texts (id, text), trained by Spark's own learner; ``partitions`` deals the training out, which changes the vectors.
 
+    Where they are not given there is one for each ``WORDS`` words, so that a round takes as long for a large corpus, given the cores; small ones have one.
     Its vocabulary, terms that occur ``least`` times, is held by the driver: raise ``least`` with the corpus.
     """
     from pyspark.ml.feature import Word2Vec
 
     words = rows.select(tokenize(F.col("text")).alias("words"))
+    if partitions is None:
+        partitions = max(1, -(-(words.agg(F.sum(F.size("words"))).first()[0] or 0) // WORDS))
     return Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=rounds, numPartitions=partitions, seed=seed, inputCol="words", outputCol="v").fit(words)
 
 
