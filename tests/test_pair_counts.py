@@ -46,3 +46,13 @@ def test_cut_leaves_no_shuffle_files(spark):
     before = known()
     rows = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
     assert known() <= before and rows.count() == 7
+
+
+def test_path_packs_shuffle_their_records_once(spark):
+    from tidemark.operators import records
+
+    rows = spark.createDataFrame([("a:1", "symbol", None, "p", "k", []), ("b", "signal", None, None, "k", [])], f"id string, kind string, at timestamp, path string, clade string, links {records._LINKS}")
+    packs = records.path_packs(rows)
+    assert [(r["path"], r["clade"], r["symbols"]) for r in packs.collect()] == [("p", "k", ["a:1"])]
+    plan = packs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(path") <= 2

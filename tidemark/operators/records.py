@@ -211,9 +211,11 @@ def path_packs(ledger: DataFrame, frames: DataFrame | None = None) -> DataFrame:
 
     All paths at once: each record is dealt to its path, links between two paths to both, and only the first of each slot are gathered.
     """
-    rows = cut(ledger.select("id", "kind", "at", "path", "clade", "links"), "pack-records")
-    ends = rows.filter(F.col("kind").isin("coupling_edge", "reticulation")).select("id", "kind", "at", F.explode("links").alias("l")).filter("l.kind = 'lineage'").select("id", "kind", "at", F.substring("l.record_id", len("lineage:") + 1, ID).alias("path"))
-    own = rows.filter("path IS NOT NULL AND path <> ''").select("id", "kind", "at", "path").unionByName(ends).distinct()
+    linking = F.col("kind").isin("coupling_edge", "reticulation")
+    rows = cut(ledger.filter(F.col("path").isNotNull() | linking).select("id", "kind", "at", "path", "clade", F.when(linking, F.col("links")).alias("links")), "pack-records")
+    ends = rows.filter(linking).select("id", "kind", "at", F.explode("links").alias("l")).filter("l.kind = 'lineage'").select("id", "kind", "at", F.substring("l.record_id", len("lineage:") + 1, ID).alias("path"))
+    own = rows.filter("path IS NOT NULL AND path <> ''").select("id", "kind", "at", "path").unionByName(ends)
+    own = own.repartition(F.col("path")).distinct()  # all that follows is by path, so records are shuffled once
     slots = F.array_compact(F.array(*[F.when(F.col("kind").isin(*kinds), F.struct(F.lit(name).alias("slot"), F.lit(most).alias("most"))) for name, kinds, most in SLOTS], F.when(F.col("at").isNotNull(), F.struct(F.lit("timeline").alias("slot"), F.lit(20).alias("most")))))
     dealt = own.withColumn("s", F.explode(slots)).select("path", "id", "at", "s.slot", "s.most")
     if frames is not None:
